@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from gaugewright.llm import chat_format, line_dedup, warc
+from gaugewright.llm import bpe, chat_format, line_dedup, simhash, warc
 
 QUERIES = {
     "op2_warc": warc.op2_warc,
     "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op4_simhash": simhash.op4_simhash,
+    "op7_bpe": bpe.op7_bpe,
     "op10_chat_format": chat_format.op10_chat_format,
 }
 
