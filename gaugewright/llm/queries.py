@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from gaugewright.llm import bpe, chat_format, line_dedup, simhash, warc
+from gaugewright.llm import bpe, chat_format, decontam, language_id, line_dedup, quality, simhash, warc
 
 QUERIES = {
     "op2_warc": warc.op2_warc,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_simhash": simhash.op4_simhash,
+    "op6_language_id": language_id.op6_language_id,
     "op7_bpe": bpe.op7_bpe,
+    "op8_quality": quality.op8_quality,
+    "op9_decontamination": decontam.op9_decontamination,
     "op10_chat_format": chat_format.op10_chat_format,
 }
 
