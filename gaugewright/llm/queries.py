@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from gaugewright.llm import bpe, chat_format, decontam, language_id, line_dedup, quality, simhash, warc
+from gaugewright.llm import bpe, chat_format, decontam, language_id, line_dedup, quality, simhash, suffix_dedup, warc
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_warc": warc.op2_warc,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_simhash": simhash.op4_simhash,
