@@ -130,7 +130,7 @@ def _parsed(batches):
                     payload = block[block.index(b"\r\n\r\n") + 4 :]
                     held += len(payload)
                 rows.append((kind, headers["warc-record-id"], headers.get("warc-concurrent-to"), headers.get("warc-target-uri"), headers.get("warc-refers-to"), headers.get("warc-payload-digest"), fields, payload))
-                if held > 4_000_000:
+                if held > 4_000_000 and kind != "response":
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
                     rows, held = [], 0
             if rows:
@@ -139,27 +139,57 @@ def _parsed(batches):
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """Every record under path (RECORDS); a file is parsed in one piece, files are bounded by the writer."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content").mapInArrow(_parsed, RECORDS)
+    return _files(spark, path).mapInArrow(_parsed, RECORDS)
 
 
-def assemble(records: DataFrame) -> DataFrame:
-    """One nested row per capture: capture_id, target_uri, response, request, metadata.
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
 
-    Requests and metadata join their response or revisit by WARC-Concurrent-To. Records that are concurrent to nothing
-    in the archive make a row of their own with a null response.
+
+RESPONSE = T.StructType([RECORDS[c] for c in ("type", "target_uri", "payload_digest", "refers_to_record", "payload")])
+CAPTURES = T.StructType(
+    [
+        T.StructField("capture_id", T.StringType()),
+        T.StructField("response", RESPONSE),
+        T.StructField("request", T.StructType([RECORDS["record_id"]])),
+        T.StructField("metadata", T.StructType([RECORDS["record_id"], RECORDS["fields"]])),
+    ]
+)
+
+
+def _transactions(whole: bool):
+    """Joins what one file holds of each transaction; gives those that are whole, or those that lack a part."""
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        schema = to_arrow_schema(CAPTURES)
+        for batch in _parsed(batches):
+            found: dict[str, dict] = {}
+            for r in batch.to_pylist():
+                own = r["type"] in ("response", "revisit")
+                one = found.setdefault(r["record_id"] if own else r["concurrent_to"] or r["record_id"], dict.fromkeys(CAPTURES.names))
+                part = "response" if own else r["type"] if r["type"] in ("request", "metadata") else None
+                if part and one[part] is None:
+                    one[part] = {f.name: r[f.name] for f in CAPTURES[part].dataType}
+            rows = [v | {"capture_id": k} for k, v in found.items() if whole == all(v[p] is not None for p in ("response", "request", "metadata"))]
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return run
+
+
+def read_captures(spark: SparkSession, path: str) -> DataFrame:
+    """One nested row per capture: capture_id, response, request, metadata, target_uri.
+
+    Requests and metadata join their response or revisit by WARC-Concurrent-To. A transaction whose records lie
+    together is joined where its file is parsed; the parts of the others meet in a shuffle. Records that are
+    concurrent to nothing in the archive make a row of their own with a null response.
     """
-    own = F.col("type").isin("response", "revisit")
-    key = F.when(own, F.col("record_id")).otherwise(F.coalesce("concurrent_to", "record_id"))
-    part = lambda cond, *cols: F.max(F.when(cond, F.struct(*cols)))
-    return (
-        records.groupBy(key.alias("capture_id"))
-        .agg(
-            F.first(F.when(own, F.struct("type", "target_uri", "payload_digest", "refers_to_record", "payload")), ignorenulls=True).alias("response"),
-            part(F.col("type") == "request", "record_id").alias("request"),
-            F.first(F.when(F.col("type") == "metadata", F.struct("record_id", "fields")), ignorenulls=True).alias("metadata"),
-        )
-        .withColumn("target_uri", F.nullif(F.col("response.target_uri"), F.lit("urn:unknown")))
-    )
+    files = _files(spark, path)
+    parts = [F.first(c, ignorenulls=True).alias(c) for c in ("response", "request", "metadata")]
+    scattered = files.mapInArrow(_transactions(False), CAPTURES).groupBy("capture_id").agg(*parts)
+    return files.mapInArrow(_transactions(True), CAPTURES).unionByName(scattered).withColumn("target_uri", F.nullif(F.col("response.target_uri"), F.lit("urn:unknown")))
 
 
 def op2_warc(spark, sf_dir):
@@ -167,7 +197,7 @@ def op2_warc(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     path = work_path(spark, "warc")
     write_warc(pages, path)
-    captures = assemble(read_records(spark, path))
+    captures = read_captures(spark, path)
     field = lambda name: F.try_element_at("metadata.fields", F.lit(name))
     page_type = pages.schema["page_id"].dataType
     return captures.select(
