@@ -84,6 +84,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keys = T.StructType([T.StructField("id", id_type), T.StructField(KEY, T.BinaryType())])
     held = materialize(docs.select(id_col, text_col).where(F.col(id_col).isNotNull()).mapInArrow(_keys(min_chars), keys).distinct(), "lines")
     shared = held.groupBy(KEY).agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs).select(KEY, "first")
+    shared = materialize(shared, "shared")  # so that both sides are exchanged for the join, and a hot key's rows can be split
     gone = held.join(shared, KEY).where(F.col("id") > F.col("first")).groupBy("id").agg(F.collect_list(KEY).alias(LIST)).withColumnRenamed("id", "__gw_id")
     joined = docs.select(*keep).join(gone, F.col(id_col) == F.col("__gw_id"), "left").select(*keep, LIST)
     out = T.StructType([docs.schema[c] for c in keep] + [T.StructField(f"__gw_{LINES}", T.LongType()), T.StructField(f"__gw_{DROPPED}", T.LongType())])
