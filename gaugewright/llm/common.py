@@ -35,7 +35,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = work_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._work_path = path
+    return back
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete materialised steps that nothing lazy reads any more."""
+    for df in frames:
+        remove_path(df.sparkSession, df._work_path)
 
 
 def remove_path(spark: SparkSession, path: str) -> None:

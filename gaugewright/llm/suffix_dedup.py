@@ -29,11 +29,12 @@ import os
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugewright.llm.common import materialize, utf8_views
+from gaugewright.llm.common import discard, materialize, utf8_views
 
 PART = 1 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -199,7 +200,7 @@ def _contexts(length: int, seed: int, names: list[str]):
         for batch in batches:
             ids, marks, lists = batch.column(0), batch.column(1), batch.column(3)
             rows, out = [], []
-            for i, view in enumerate(utf8_views(batch.column(2))):
+            for i, view in enumerate(_unpacked(batch.column(2))):
                 for r in lists[i].as_py() or ():
                     p = r["at"]
                     rows.append(i)
@@ -279,13 +280,30 @@ def merged(spans: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def _packed(batches):
+    """Texts compressed one by one, for the shuffles that only carry them."""
+    z = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        packed = [z.compress(v) for v in utf8_views(batch.column(2))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["id", "mark", "packed"])
+
+
+def _carried(texts: DataFrame) -> DataFrame:
+    return texts.mapInArrow(_packed, T.StructType([texts.schema["id"], texts.schema["mark"], T.StructField("packed", T.BinaryType())]))
+
+
+def _unpacked(column: pa.Array):
+    z = zstandard.ZstdDecompressor()
+    return (z.decompress(v) for v in utf8_views(column))
+
+
 def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, mark (tells texts of one id apart), text."""
     text = F.coalesce(text_col, F.lit(""))
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("mark"), text.alias("text"))
 
 
-def repeat_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, seed: int = 200, group_rows: int = 1024) -> DataFrame:
+def repeat_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, seed: int = 200, group_rows: int = 16384) -> DataFrame:
     """id, mark, spans (array<struct<from:int,to:int>>, overlapping): the repeated stretches of each text that has some."""
     texts = _marked(docs, id_col, text_col)
     kind = docs.schema[id_col].dataType
@@ -295,6 +313,7 @@ def repeat_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = materialize(texts.mapInArrow(_anchor_rows(length, seed), T.StructType([*key, field("at", int_), field("head", long), field("whole", long)])), "anchors")
     twice = materialize(found.groupBy("head").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("head"), "heads")
     kept = materialize(found.join(twice, "head", "left_semi"), "repeated")
+    discard(found, twice)
     first = F.min(F.struct("id", "mark", "at")).alias("rep")
     classes = materialize(kept.groupBy("head", "whole").agg(F.count(F.lit(1)).alias("n"), first), "classes")
     many = classes.groupBy("head").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1")
@@ -303,7 +322,7 @@ def repeat_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # One representative of each class of a prefix with several.
     reps = classes.join(many, "head").select("rep.id", "rep.mark", F.struct("rep.at", "head", (F.col("n") == 1).alias("alone"), (F.col("classes") > group_rows).alias("hot")).alias("r"))
     lists = reps.groupBy("id", "mark").agg(F.collect_list("r").alias("reps")).select(F.col("id").alias("rid"), F.col("mark").alias("rmark"), "reps")
-    joined = texts.join(lists, F.col("id").eqNullSafe(F.col("rid")) & (F.col("mark") == F.col("rmark"))).select("id", "mark", "text", "reps")
+    joined = _carried(texts).join(lists, F.col("id").eqNullSafe(F.col("rid")) & (F.col("mark") == F.col("rmark"))).select("id", "mark", "packed", "reps")
     shape = T.StructType([*key, field("at", int_), field("head", long), field("alone", T.BooleanType()), field("hot", T.BooleanType()), field("left", T.BinaryType()), field("right", T.BinaryType())])
     contexts = materialize(joined.mapInArrow(_contexts(length, seed, shape.names), shape), "contexts")
     span = T.StructType([*key, field("from", int_), field("to", int_)])
@@ -314,14 +333,16 @@ def repeat_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shared = materialize(strings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "strings")
     hot = strings.where("alone").join(shared, "key", "left_semi").select("id", "mark", F.col("start").alias("from"), (F.col("start") + length).alias("to"))
     spans = proven.unionByName(scanned).unionByName(hot)
-    return spans.groupBy("id", "mark").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
+    out = materialize(spans.groupBy("id", "mark").agg(F.collect_list(F.struct("from", "to")).alias("spans")), "spans")
+    discard(kept, classes, contexts, shared)
+    return out
 
 
 def _removed(batches):
     for batch in batches:
         spans = batch.column(2)
         out = []
-        for i, view in enumerate(utf8_views(batch.column(1))):
+        for i, view in enumerate(_unpacked(batch.column(1))):
             n = len(view)
             runs = merged([(s["from"], s["to"]) for s in spans[i].as_py()], n) if spans[i].is_valid else []
             if not runs:
@@ -337,7 +358,7 @@ def _removed(batches):
 def remove_repeats(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_bytes, n_removed, n_spans, kept (binary: the bytes that stay) of every document."""
     texts = _marked(docs, id_col, text_col)
-    joined = texts.join(spans.withColumnsRenamed({"id": "sid", "mark": "smark"}), F.col("id").eqNullSafe(F.col("sid")) & (F.col("mark") == F.col("smark")), "left").select("id", "text", "spans")
+    joined = _carried(texts).join(spans.withColumnsRenamed({"id": "sid", "mark": "smark"}), F.col("id").eqNullSafe(F.col("sid")) & (F.col("mark") == F.col("smark")), "left").select("id", "packed", "spans")
     long = T.LongType()
     out = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("n_bytes", long), T.StructField("n_removed", long), T.StructField("n_spans", long), T.StructField("kept", T.BinaryType())])
     return joined.mapInArrow(_removed, out).withColumnRenamed("id", id_col)
