@@ -1,4 +1,137 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the driver's tables, and the SQL that checks them."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+DIGITS = 6
+
+
+def query(name: str, sql: str | None = None):
+    """Register a query; doubles are rounded, as float sums depend on their order."""
+
+    def put(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return tidy(f(Tables(spark, sf_dir)))
+
+        run.__name__, run.__doc__ = f.__name__, f.__doc__
+        QUERIES[name] = run
+        if sql is not None:
+            SQL[name] = sql
+        return f
+
+    return put
+
+
+def tidy(df: DataFrame) -> DataFrame:
+    kinds = {f.name: f.dataType for f in df.schema}
+    doubles = {c: F.round(F.nanvl(F.col(f"`{c}`"), F.lit(None).cast("double")), DIGITS) + F.lit(0.0) for c, t in kinds.items() if isinstance(t, T.DoubleType)}
+    longs = {c: F.col(f"`{c}`").cast("long") for c, t in kinds.items() if isinstance(t, T.IntegerType)}
+    return df.withColumns(doubles | longs) if doubles or longs else df
+
+
+class Tables:
+    """The driver's tables and the roles they play."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+
+    @property
+    def scores(self) -> DataFrame:
+        """doc_id, target (toxic), quality, score (characters), lang, source of the labelled documents."""
+        d = self.documents.select("doc_id", "lang", "source", F.col("n_chars").cast("double").alias("score"))
+        return d.join(self.labels, "doc_id").select("doc_id", F.col("toxic").alias("target"), "quality", "score", "lang", "source")
+
+    @property
+    def lines(self) -> DataFrame:
+        """Line items as parents: parent_id, target (returned), phase, year, status, four numbers."""
+        li = self.lineitem
+        parent = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+        return li.select(
+            parent.alias("parent_id"), F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("target"), F.when(F.pmod(F.col("l_orderkey"), F.lit(2)) == 0, "discovery").otherwise("confirmation").alias("phase"),
+            F.year("l_shipdate").cast("string").alias("time_window"), F.col("l_linestatus").alias("status"), F.col("l_suppkey").alias("supplier"), "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+        )
+
+    @property
+    def endpoints(self) -> DataFrame:
+        """Prediction rows: each labelled document clean and under three deterministic perturbations of its score."""
+        step = F.pmod(F.col("doc_id") * 37, F.lit(101)).cast("double") - 50.0
+        shift = lambda name, family, k: F.struct(F.lit(name).alias("condition"), F.lit(family).alias("transform_family"), (F.col("score") - 1500.0 + step * k).alias("logit"))
+        rows = self.scores.select("*", F.explode(F.array(*[shift(*x) for x in PERTURBATIONS])).alias("e"))
+        return rows.select(F.col("lang").alias("dataset_id"), F.col("doc_id").cast("string").alias("parent_id"), "target", "source", "e.*")
+
+    @property
+    def features(self) -> DataFrame:
+        """Long feature rows of line items under the conditions of FEATURE_CONDITIONS in two views."""
+        step = F.pmod(F.col("l_orderkey") + 7 * F.col("l_linenumber"), F.lit(10)).cast("double") - 4.5
+        cond = [F.struct(F.lit(n).alias("condition"), F.lit(f).alias("transform_family"), F.lit(o).alias("official_transform"), F.lit(float(k)).alias("k")) for n, f, o, k in FEATURE_CONDITIONS]
+        view = [F.struct(F.lit(v).alias("view"), F.lit(float(k)).alias("w")) for v, k in FEATURE_VIEWS]
+        numbers = [F.struct(F.lit(c).alias("feature"), F.col(c).alias("x")) for c in FEATURES]
+        rows = self.lines.select("*", F.explode(F.array(*cond)).alias("c")).select("*", F.explode(F.array(*view)).alias("v")).select("*", F.explode(F.array(*numbers)).alias("n"))
+        value = F.col("n.x") * (1.0 + F.col("c.k") * F.col("v.w") * step / 10.0)
+        return rows.select("parent_id", "target", "phase", "time_window", F.col("status").alias("dataset"), F.concat(F.lit("gen"), F.pmod(F.col("supplier"), F.lit(5)).cast("string")).alias("generation_model"), "c.condition", "c.transform_family", "c.official_transform", "v.view", "n.feature", value.alias("value"))
+
+
+PERTURBATIONS = (("clean", "clean", 0.0), ("jpeg_q50", "jpeg", 4.0), ("blur_sigma1", "gaussian_blur", 11.0), ("noise_sigma0.05", "gaussian_noise", -17.0))
+PAIR_A = "directed-pair__jpeg-q70-sub2__then__blur-s1-pad-pillow"
+PAIR_B = "directed-pair__blur-s1-pad-pillow__then__jpeg-q70-sub2"
+FEATURE_CONDITIONS = (
+    ("clean", "clean", True, 0.0), ("jpeg_q90", "jpeg", True, 0.5), ("jpeg_q70", "jpeg", True, 1.0), ("blur_sigma1", "gaussian_blur", True, 1.5), ("blur_sigma2", "gaussian_blur", True, -2.0),
+    ("color_jitter_plus20", "color_jitter", True, 0.7), (PAIR_A, "composition", False, 2.2), (PAIR_B, "composition", False, -2.6),
+)
+FEATURE_VIEWS = (("canonical_128", 1.0), ("native_capped", 0.5))
+FEATURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+# Shared pieces of the checking SQL.
+SCORES = "scores AS (SELECT d.doc_id, l.toxic AS target, l.quality, d.n_chars::DOUBLE AS score, d.lang, d.source FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"
+LINES = """lines AS (SELECT l_orderkey::VARCHAR || '-' || l_linenumber::VARCHAR AS parent_id, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS target,
+  CASE WHEN l_orderkey % 2 = 0 THEN 'discovery' ELSE 'confirmation' END AS phase, year(l_shipdate)::VARCHAR AS time_window, l_linestatus AS status, l_suppkey AS supplier,
+  l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem)"""
+ENDPOINTS = (
+    SCORES
+    + ", endpoints AS (SELECT s.lang AS dataset_id, s.doc_id::VARCHAR AS parent_id, s.target, s.source, c.condition, c.transform_family, s.score - 1500.0::DOUBLE + (((s.doc_id * 37) % 101)::DOUBLE - 50.0::DOUBLE) * c.k AS logit FROM scores s CROSS JOIN (VALUES "
+    + ", ".join(f"('{a}', '{b}', {k}::DOUBLE)" for a, b, k in PERTURBATIONS)
+    + ") c(condition, transform_family, k))"
+)
+FEATURE_ROWS = (
+    LINES
+    + ", cond(condition, transform_family, official_transform, k) AS (VALUES "
+    + ", ".join(f"('{a}', '{b}', {str(o).lower()}, {k}::DOUBLE)" for a, b, o, k in FEATURE_CONDITIONS)
+    + "), views(\"view\", w) AS (VALUES "
+    + ", ".join(f"('{v}', {k}::DOUBLE)" for v, k in FEATURE_VIEWS)
+    + "), numbers AS ("
+    + " UNION ALL ".join(f"SELECT *, '{c}' AS feature, {c} AS x FROM lines" for c in FEATURES)
+    + """), feats AS (SELECT n.parent_id, n.target, n.phase, n.time_window, n.status AS dataset, 'gen' || (n.supplier % 5)::VARCHAR AS generation_model, c.condition, c.transform_family, c.official_transform, v."view", n.feature,
+  n.x * (1.0::DOUBLE + c.k * v.w * (((n.l_orderkey + 7 * n.l_linenumber) % 10)::DOUBLE - 4.5::DOUBLE) / 10.0::DOUBLE) AS value FROM numbers n CROSS JOIN cond c CROSS JOIN views v)"""
+)
+
+
+def ranking_sql(source: str, keys: list[str], label: str = "target", score: str = "score", max_fpr: float = 0.05, name: str = "ranked") -> str:
+    """CTEs that end in ``name``(keys, roc_auc, average_precision, partial_auc, tpr_at_fpr)."""
+    k = ", ".join(keys) + ", " if keys else ""
+    part = f"PARTITION BY {', '.join(keys)}" if keys else ""
+    group = f"GROUP BY {', '.join(keys)}" if keys else ""
+    m = f"{max_fpr}::DOUBLE"
+    return f"""{name}_c AS (SELECT {k}{score} AS s, count(*) FILTER (WHERE {label} = 1)::DOUBLE AS pos, count(*) FILTER (WHERE {label} = 0)::DOUBLE AS neg FROM {source} WHERE {score} IS NOT NULL AND isfinite({score}) GROUP BY {k}s),
+{name}_r AS (SELECT *, sum(pos) OVER ({part} ORDER BY s DESC) AS tp, sum(neg) OVER ({part} ORDER BY s DESC) AS fp, sum(pos) OVER ({part}) AS p, sum(neg) OVER ({part}) AS n FROM {name}_c),
+{name}_x AS (SELECT *, tp / nullif(p, 0) AS y1, (tp - pos) / nullif(p, 0) AS y0, fp / nullif(n, 0) AS x1, (fp - neg) / nullif(n, 0) AS x0 FROM {name}_r),
+{name} AS (SELECT {k}CASE WHEN max(p) > 0 AND max(n) > 0 THEN sum(neg * (tp - pos + pos / 2.0::DOUBLE)) / (max(p) * max(n)) END AS roc_auc,
+  CASE WHEN max(p) > 0 AND max(n) > 0 THEN sum(pos * tp / (tp + fp)) / max(p) END AS average_precision,
+  CASE WHEN max(p) > 0 AND max(n) > 0 THEN sum(CASE WHEN x1 <= {m} THEN (x1 - x0) * (y1 + y0) / 2.0::DOUBLE WHEN x0 < {m} THEN ({m} - x0) * (y0 + y0 + (y1 - y0) * ({m} - x0) / (x1 - x0)) / 2.0::DOUBLE ELSE 0 END) / {m} END AS partial_auc,
+  CASE WHEN max(p) > 0 AND max(n) > 0 THEN coalesce(max(y1) FILTER (WHERE x1 <= {m}), 0) END AS tpr_at_fpr FROM {name}_x {group})"""
+
+
+def rounded(columns: list[str], prefix: str = "") -> str:
+    return ", ".join(f"round({prefix}{c}, {DIGITS}) AS {c}" for c in columns)
+
+
+from gaugewright.plans import drift_queries, metric_queries, relational_queries, sampling_queries, vector_queries  # noqa: E402, F401
