@@ -195,25 +195,48 @@ def _matched(shared, names, kinds):
     return run
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", similarity: float = 0.8, block_bytes: int = 8 << 20) -> DataFrame:
-    """One row per document and item that it holds: id_col, item_col, similarity, score, first_word, last_word."""
-    from pyspark.sql.pandas.types import to_arrow_type
+def _clean_only(shared, text_at: int):
+    def run(batches):
+        items = shared.value
+        for batch in batches:
+            keep = [v is None or next(iter(items.matches(items.encode(bytes(v)))), None) is None for v in utf8_views(batch.column(text_at))]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return run
+
 
+def _blocks(docs: DataFrame, benchmark: DataFrame, item_col: str, text_col: str, similarity: float, block_bytes: int):
+    """The broadcast items of each block, their rare trigrams chosen by the counts in docs."""
     spark = docs.sparkSession
-    kind = benchmark.schema[item_col].dataType
-    fields = [T.StructField("similarity", T.DoubleType()), T.StructField("score", T.LongType()), T.StructField("first_word", T.LongType()), T.StructField("last_word", T.LongType())]
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField(item_col, kind), *fields])
-    kinds = [to_arrow_type(kind), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
     size = benchmark.agg(F.sum(F.octet_length(text_col)).alias("b")).first()["b"] or 0
     blocks = max(1, -(-size // block_bytes))
-    out = None
     for k in range(blocks):
         rows = benchmark.where(F.pmod(F.xxhash64(item_col, text_col), F.lit(blocks)) == k).select(item_col, text_col).orderBy(item_col, text_col).collect()
         items = Items.of([tuple(r) for r in rows], similarity)
         first = spark.sparkContext.broadcast(items)
         counts = docs.select(text_col).mapInArrow(_counted(first), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()
         items.choose_rare({r["key"]: r["n"] for r in counts})
-        shared = spark.sparkContext.broadcast(items)
+        yield spark.sparkContext.broadcast(items)
+
+
+def without_contamination(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", similarity: float = 0.8, block_bytes: int = 8 << 20) -> DataFrame:
+    """The rows of docs that hold no item. Nothing is shuffled; rows without id are judged as well."""
+    out = docs
+    for shared in _blocks(docs, benchmark, item_col, text_col, similarity, block_bytes):
+        out = out.mapInArrow(_clean_only(shared, docs.columns.index(text_col)), docs.schema)
+    return out
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", similarity: float = 0.8, block_bytes: int = 8 << 20) -> DataFrame:
+    """One row per document and item that it holds: id_col, item_col, similarity, score, first_word, last_word."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = benchmark.schema[item_col].dataType
+    fields = [T.StructField("similarity", T.DoubleType()), T.StructField("score", T.LongType()), T.StructField("first_word", T.LongType()), T.StructField("last_word", T.LongType())]
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField(item_col, kind), *fields])
+    kinds = [to_arrow_type(kind), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
+    out = None
+    for shared in _blocks(docs, benchmark, item_col, text_col, similarity, block_bytes):
         part = docs.select(id_col, text_col).mapInArrow(_matched(shared, schema.names, kinds), schema)
         out = part if out is None else out.unionByName(part)
     return out

@@ -45,7 +45,10 @@ def shingle_hashes(raw: bytes, size: int) -> np.ndarray:
 
 def fingerprint(raw: bytes, size: int) -> int:
     """The fingerprint as a signed 64-bit integer: a bit is 1 if set in over half of the hashes."""
-    h = shingle_hashes(raw, size)
+    return _majority(shingle_hashes(raw, size))
+
+
+def _majority(h: np.ndarray) -> int:
     if not len(h):
         return 0
     ones = np.zeros(64, np.int64)
@@ -118,6 +121,29 @@ def spanning_links(tree_side: list[tuple[int, int]], query_side: list[tuple[int,
         groups -= max(0, seen - 1)
 
 
+def nearest_links(tree_side: list[tuple[int, int]], query_side: list[tuple[int, int]] | None, radius: int):
+    """As spanning_links, but each element links to the nearest member of every group it reaches, without early ends.
+
+    For candidates that are verified afterwards: the nearest ones are the likeliest to pass.
+    """
+    tree, sets, ids = BKTree(), UnionFind(len(tree_side) + len(query_side or ())), []
+
+    def reached(value, one, me):
+        hits = sorted(((tree.values[at] ^ value).bit_count(), at) for at in tree.within(value, radius))
+        for _, at in hits:
+            if sets.join(at, me):
+                yield one, ids[at]
+
+    for value, one in tree_side:
+        if query_side is None:
+            yield from reached(value, one, len(ids))
+        tree.add(value)
+        ids.append(one)
+    for value, one in query_side or ():
+        ids.append(one)
+        yield from reached(value, one, len(ids) - 1)
+
+
 def _fingerprints(size: int):
     def run(batches):
         for batch in batches:
@@ -127,13 +153,15 @@ def _fingerprints(size: int):
     return run
 
 
-def _linked(radius: int, pair_type: pa.DataType):
+def _linked(radius: int, pair_type: pa.DataType, nearest: bool):
+    links = nearest_links if nearest else spanning_links
+
     def run(batches):
         group, tree_side, query_side = None, [], []
 
         def flush():
             if len(tree_side) + len(query_side) > 1 and tree_side:
-                return list(spanning_links(tree_side, query_side if group[2] != group[3] else None, radius))
+                return list(links(tree_side, query_side if group[2] != group[3] else None, radius))
             return []
 
         for batch in batches:
@@ -158,21 +186,25 @@ def near_links(prints: DataFrame, radius: int = 3, shard_rows: int = 2048) -> Da
     blocks = radius + 1
     width = -(-64 // blocks)
     bits = [F.shiftrightunsigned("fp", k * width).bitwiseAND(F.lit((1 << min(width, 64 - k * width)) - 1)) for k in range(blocks)]
-    dealt = prints.select("fp", "rep", F.posexplode(F.array(*bits)).alias("block", "bits"))
+    return _bucket_links(prints.select("fp", "rep", F.posexplode(F.array(*bits)).alias("block", "bits")), radius, shard_rows, False)
+
+
+def _bucket_links(dealt: DataFrame, radius: int, shard_rows: int, nearest: bool) -> DataFrame:
+    """Links within each bucket (block, bits) of rows (fp, rep); large buckets in pairs of shards."""
     large = dealt.groupBy("block", "bits").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard_rows)
     large = large.select(F.col("block").alias("lb"), F.col("bits").alias("lv"), F.ceil(F.col("n") / shard_rows).cast("int").alias("shards"))
     placed = dealt.join(large, (F.col("block") == F.col("lb")) & (F.col("bits") == F.col("lv")), "left").withColumn("shards", F.coalesce("shards", F.lit(1)))
-    placed = placed.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("shards")).cast("int"))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("fp", "rep"), F.col("shards")).cast("int"))
     to = F.transform(
         F.sequence(F.lit(0), F.col("shards") - 1),
         lambda s: F.struct(F.least(s, F.col("own")).alias("i"), F.greatest(s, F.col("own")).alias("j"), F.when(F.col("own") <= s, 0).otherwise(1).alias("side")),
     )
     rows = placed.select("block", "bits", "fp", "rep", F.explode(to).alias("to")).select("block", "bits", "to.i", "to.j", "to.side", "fp", "rep")
     rows = rows.repartition("block", "bits", "i", "j").sortWithinPartitions("block", "bits", "i", "j", "side", "rep")
-    kind = prints.schema["rep"].dataType
+    kind = dealt.schema["rep"].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 
-    return rows.mapInArrow(_linked(radius, to_arrow_type(kind)), T.StructType([T.StructField("src", kind), T.StructField("dst", kind)]))
+    return rows.mapInArrow(_linked(radius, to_arrow_type(kind), nearest), T.StructType([T.StructField("src", kind), T.StructField("dst", kind)]))
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, shard_rows: int = 2048) -> DataFrame:
@@ -187,6 +219,74 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return found.select(F.col("id").alias(id_col), "fp", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+def _set_rows(size: int, keys: int):
+    """(id, fp, n, whole, keys): fingerprint, size, hash and least mixed hashes of a text's set of shingles."""
+
+    def run(batches):
+        for batch in batches:
+            prints, sizes, wholes, least = [], [], [], []
+            for v in utf8_views(batch.column(1)):
+                h = np.unique(shingle_hashes(bytes(v or b""), size))
+                prints.append(_majority(h))
+                sizes.append(len(h))
+                wholes.append(xxhash.xxh3_128_digest(h.astype("<u8").tobytes()))
+                mixed = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+                least.append(np.sort(mixed)[:keys].view(np.int64).tolist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64()), pa.array(sizes, pa.int64()), pa.array(wholes, pa.binary()), pa.array(least, pa.list_(pa.int64()))], names=["id", "fp", "n", "whole", "keys"])
+
+    return run
+
+
+def _sets(size: int):
+    def run(batches):
+        for batch in batches:
+            found = [np.unique(shingle_hashes(bytes(v or b""), size)).astype("<u8").tobytes() for v in utf8_views(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "set"])
+
+    return run
+
+
+def _verified(similarity: float):
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(a.as_py(), "<u8"), np.frombuffer(b.as_py(), "<u8")
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["src", "dst"]).filter(mask)
+
+    return run
+
+
+def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 20, keys: int = 8, shard_rows: int = 2048) -> DataFrame:
+    """id_col, component_id: groups of texts whose sets of shingles have a Jaccard similarity of at least ``similarity``.
+
+    Texts of equal sets are one vertex. A fingerprint of the set in 64 bits differs by about 10 bits at a similarity of
+    0.8, too many for blocks of equal bits, so shards are made of the texts that share one of their ``keys`` least shingle
+    hashes (two texts of similarity s share none with a chance of about (1 - s) ** keys, 3e-6 at 0.8). Each shard's
+    BK-tree gives the candidates within ``radius`` bits (3.6 deviations above the mean at 0.8), and the candidates'
+    Jaccard similarity is computed from their whole sets.
+    """
+    kind = docs.schema[id_col].dataType
+    ident = T.StructField("id", kind)
+    texts = docs.where(F.col(id_col).isNotNull()).select(id_col, text_col)
+    shape = T.StructType([ident, T.StructField("fp", T.LongType()), T.StructField("n", T.LongType()), T.StructField("whole", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    rows = materialize(texts.mapInArrow(_set_rows(shingle, keys), shape), "shinglesets")
+    classes = materialize(rows.groupBy("whole").agg(F.min("id").alias("rep"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "setclasses")
+    dealt = classes.select("fp", "rep", F.explode("keys").alias("bits")).withColumn("block", F.lit(0))
+    links = _bucket_links(dealt, radius, shard_rows, True).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    links = materialize(links, "candidates")
+    ends = links.select(F.explode(F.array("src", "dst")).alias("end_")).distinct()
+    chosen = texts.join(ends, F.col(id_col) == F.col("end_"), "left_semi")
+    sets = materialize(chosen.mapInArrow(_sets(shingle), T.StructType([ident, T.StructField("set", T.BinaryType())])).dropDuplicates(["id"]), "sets")
+    pairs = links.join(sets.withColumnsRenamed({"id": "a_", "set": "sa"}), F.col("src") == F.col("a_")).join(sets.withColumnsRenamed({"id": "b_", "set": "sb"}), F.col("dst") == F.col("b_")).select("src", "dst", "sa", "sb")
+    parts = connected_components(pairs.mapInArrow(_verified(similarity), T.StructType([T.StructField("src", kind), T.StructField("dst", kind)])))
+    known = classes.join(parts, F.col("rep") == F.col("node"), "left").select(F.col("whole").alias("w_"), F.coalesce("component", "rep").alias("component_id"))
+    return rows.join(known, F.col("whole") == F.col("w_")).select(F.col("id").alias(id_col), "component_id")
+
+
 def op4_simhash(spark, sf_dir):
     """Fingerprint and component of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
