@@ -1,8 +1,8 @@
 """Ranking and threshold metrics of sliced scores: confusion rates, ROC-AUC, average precision, partial AUC.
 
 Everything starts from one pre-aggregation to (slice, score) counts, so equal scores cost one row and only counts are
-shuffled. Running sums are taken in two levels, over ``buckets`` of equal score width and then within each, so that one
-huge slice is spread over as many tasks as it has buckets.
+shuffled. Running sums are taken in two levels, over buckets of score (``buckets`` / 8 of them to a unit of asinh) and then within
+each, so that one huge slice is spread over as many tasks as it has buckets.
 """
 
 from __future__ import annotations
@@ -65,10 +65,8 @@ def running_counts(counts: DataFrame, keys: Sequence[str], buckets: int = 64) ->
         w = Window.partitionBy(*keys, F.lit(0)).orderBy(F.desc("score"))
         whole = Window.partitionBy(*keys, F.lit(0))
         return counts.select("*", F.sum("pos").over(w).alias("tp"), F.sum("neg").over(w).alias("fp"), F.sum("pos").over(whole).alias("total_pos"), F.sum("neg").over(whole).alias("total_neg"))
-    ends = counts.groupBy(*keys).agg(F.min("score").alias("lo_"), F.max("score").alias("hi_"))
-    put = same(counts, ends, keys)
-    b = F.coalesce(F.try_divide((F.col("score") - F.col("lo_")) * F.lit(float(buckets)), F.col("hi_") - F.col("lo_")), F.lit(0.0))
-    put = put.withColumn("b_", F.least(F.floor(b), F.lit(buckets - 1)).cast("int")).drop("lo_", "hi_")
+    # asinh is monotone and spreads any range of scores; so no pass over the data finds the buckets' ends.
+    put = counts.withColumn("b_", F.floor(F.asinh("score") * F.lit(buckets / 8.0)).cast("int"))
     sums = put.groupBy(*keys, "b_").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"))
     over = Window.partitionBy(*keys, F.lit(0)).orderBy(F.desc("b_"))
     whole = Window.partitionBy(*keys, F.lit(0))

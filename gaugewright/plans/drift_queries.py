@@ -1 +1,271 @@
-"""Queries."""
+"""Queries for paired drift, degradation, directions, interactions and the decision ledger."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gaugewright.operators import evaluation as E
+from gaugewright.operators import ranking as R
+from gaugewright.operators.recipes import condition_frame
+from gaugewright.plans.catalog import ENDPOINTS, FEATURE_ROWS, LINES, PAIR_A, PAIR_B, Tables, query, ranking_sql
+
+DRIFTS = ["mean_score_drift", "mean_absolute_score_drift", "prediction_flip_rate", "correct_to_incorrect_rate", "incorrect_to_correct_rate"]
+DRIFT_SQL = """count(*)::BIGINT AS pairs, round(avg(e.logit - c.logit), 6) AS mean_score_drift, round(avg(abs(e.logit - c.logit)), 6) AS mean_absolute_score_drift, round(avg(((c.logit >= 0) <> (e.logit >= 0))::INT::DOUBLE), 6) AS prediction_flip_rate,
+  round(avg((((c.logit >= 0) = (e.target = 1)) AND NOT ((e.logit >= 0) = (e.target = 1)))::INT::DOUBLE), 6) AS correct_to_incorrect_rate, round(avg((NOT ((c.logit >= 0) = (e.target = 1)) AND ((e.logit >= 0) = (e.target = 1)))::INT::DOUBLE), 6) AS incorrect_to_correct_rate"""
+
+
+@query("a11_endpoint_drift", f"WITH {ENDPOINTS} SELECT e.dataset_id, e.condition, e.transform_family, {DRIFT_SQL} FROM endpoints e JOIN endpoints c ON e.dataset_id = c.dataset_id AND e.parent_id = c.parent_id AND c.condition = 'clean' WHERE e.condition <> 'clean' GROUP BY ALL")
+def endpoint_drift(t: Tables):
+    """Drift against the clean endpoint of the same parent."""
+    return E.endpoint_drift(t.endpoints)
+
+
+@query(
+    "a12_lineage_drift",
+    f"WITH {ENDPOINTS} SELECT e.dataset_id, e.condition, e.transform_family, {DRIFT_SQL}, round(corr(c.logit, e.logit), 6) AS clean_transformed_pearson FROM endpoints e JOIN endpoints c ON e.dataset_id = c.dataset_id AND e.parent_id = c.parent_id AND c.condition = 'clean' WHERE e.condition = 'jpeg_q50' GROUP BY ALL",
+)
+def lineage_drift(t: Tables):
+    """One transformed peer per lineage, with correlation."""
+    rows = t.endpoints.where(F.col("condition").isin("clean", "jpeg_q50")).withColumnRenamed("parent_id", "lineage_id")
+    return E.lineage_drift(rows.withColumn("endpoint_class", F.when(F.col("condition") == "clean", "clean").otherwise("transformed")))
+
+
+@query("j03_pairing_violations", "SELECT '' AS rule, '' AS key WHERE false")
+def pairing_violations(t: Tables):
+    return E.pairing_violations(t.endpoints, ["dataset_id", "parent_id"], "logit")
+
+
+@query(
+    "a14_clean_drops",
+    f"WITH {ENDPOINTS}, {ranking_sql('endpoints', ['dataset_id', 'condition'], score='logit')} SELECT r.dataset_id, r.condition, round(r.roc_auc, 6) AS roc_auc, round(r.average_precision, 6) AS average_precision, round(c.roc_auc - r.roc_auc, 6) AS roc_auc_drop, round(c.average_precision - r.average_precision, 6) AS average_precision_drop FROM ranked r LEFT JOIN ranked c ON r.dataset_id = c.dataset_id AND c.condition = 'clean' WHERE r.condition <> 'clean'",
+)
+def clean_drops(t: Tables):
+    metrics = R.ranking_metrics(t.endpoints, ["dataset_id", "condition"], "target", "logit")
+    return E.clean_drops(metrics, ["dataset_id"], ["roc_auc", "average_precision"])
+
+
+@query(
+    "a22_robustness_summary",
+    f"""WITH {ENDPOINTS}, {ranking_sql('endpoints', ['dataset_id', 'condition'], score='logit')}, o AS (SELECT * FROM ranked WHERE condition <> 'clean' AND roc_auc IS NOT NULL)
+SELECT c.dataset_id, round(c.roc_auc, 6) AS clean_roc_auc, (SELECT count(*) FROM o WHERE o.dataset_id = c.dataset_id)::BIGINT AS official_conditions, (SELECT round(avg(roc_auc), 6) FROM o WHERE o.dataset_id = c.dataset_id) AS macro_roc_auc, (SELECT min_by(condition, roc_auc) FROM o WHERE o.dataset_id = c.dataset_id) AS worst_condition,
+  (SELECT round(min(roc_auc), 6) FROM o WHERE o.dataset_id = c.dataset_id) AS worst_roc_auc FROM ranked c WHERE c.condition = 'clean'""",
+)
+def robustness(t: Tables):
+    """Clean, macro and worst official condition."""
+    metrics = R.metric_slices(t.endpoints, ["dataset_id", "condition"], score="logit")
+    return E.robustness_summary(metrics, condition_frame(t.spark, "core"), ["roc_auc"])
+
+
+CLEAN_DISCOVERY = "disc AS (SELECT * FROM feats WHERE phase = 'discovery' AND condition = 'clean')"
+DIRECTIONS = f"""{CLEAN_DISCOVERY}, signed AS (SELECT "view", feature, target, 1 AS sign, value AS v FROM disc UNION ALL SELECT "view", feature, target, -1, -value FROM disc), {ranking_sql('signed', ['"view"', 'feature', 'sign'], score='v', name='dr')},
+directions AS (SELECT f."view", f.feature, f.average_precision AS forward_auprc, r.average_precision AS reverse_auprc, CASE WHEN f.average_precision >= r.average_precision THEN 1 ELSE -1 END AS direction FROM dr f JOIN dr r ON f."view" = r."view" AND f.feature = r.feature AND f.sign = 1 AND r.sign = -1)"""
+
+
+@query(
+    "m23_directions",
+    f"""WITH {FEATURE_ROWS}, {DIRECTIONS}, p AS (SELECT "view", feature, avg(target::DOUBLE) AS q FROM disc GROUP BY ALL) SELECT d."view", d.feature, round(forward_auprc, 6) AS forward_auprc, round(reverse_auprc, 6) AS reverse_auprc, round(greatest(forward_auprc, reverse_auprc), 6) AS selected_auprc, round(q, 6) AS positive_prevalence,
+  round((greatest(forward_auprc, reverse_auprc) - q) / (1 - q), 6) AS normalized_auprc, direction::BIGINT AS direction FROM directions d JOIN p ON d."view" = p."view" AND d.feature = p.feature""",
+)
+def directions(t: Tables):
+    """Sign of each feature from the discovery phase's clean rows."""
+    return E.learned_directions(_discovery(t))
+
+
+def _discovery(t: Tables):
+    return t.features.where("phase = 'discovery' and condition = 'clean'")
+
+
+UNIVARIATE = """SELECT * FROM u"""
+
+
+def univariate_sql(source: str, keys: list[str], final: str) -> str:
+    k = ", ".join(keys)
+    return f"""WITH {FEATURE_ROWS}, {DIRECTIONS}, o AS (SELECT f.*, d.direction, f.value * d.direction AS oriented FROM {source} f JOIN directions d ON f."view" = d."view" AND f.feature = d.feature), {ranking_sql('o', [*keys, 'feature', 'direction'], score='oriented')},
+c AS (SELECT {k}, feature, direction, count_if(target = 0) AS n_real, count_if(target = 1) AS n_aigc, count(DISTINCT parent_id) AS parents FROM o GROUP BY ALL),
+u AS (SELECT c.*, r.average_precision AS oriented_auprc, c.n_aigc::DOUBLE / (c.n_real + c.n_aigc) AS q FROM c JOIN ranked r ON {' AND '.join(f'c.{x} = r.{x}' for x in [*keys, 'feature'])}) {final}"""
+
+
+@query(
+    "m21_univariate_metrics",
+    univariate_sql(
+        "(SELECT * FROM feats WHERE phase = 'confirmation')",
+        ['"view"', "condition"],
+        'SELECT "view", condition, feature, direction::BIGINT AS direction, n_real::BIGINT AS n_real, n_aigc::BIGINT AS n_aigc, parents::BIGINT AS parents, round(oriented_auprc, 6) AS oriented_auprc, round(q, 6) AS positive_prevalence, round(oriented_auprc - q, 6) AS auprc_gain, round((oriented_auprc - q) / (1 - q), 6) AS normalized_auprc, least(n_real, n_aigc) < 20 AS low_power, oriented_auprc < q AS direction_reversal FROM u',
+    ),
+)
+def univariate(t: Tables):
+    """Oriented average precision of each feature by view and condition."""
+    return E.univariate_metrics(t.features.where("phase = 'confirmation'"), E.learned_directions(_discovery(t)), ["view", "condition"])
+
+
+@query(
+    "a20_generator_metrics",
+    univariate_sql(
+        "(SELECT g.generation_model AS comparison_generator, x.* FROM (SELECT * FROM feats WHERE phase = 'confirmation' AND condition = 'clean') x JOIN (SELECT DISTINCT \"view\", dataset, generation_model FROM feats WHERE phase = 'confirmation' AND condition = 'clean' AND target = 1) g ON x.\"view\" = g.\"view\" AND x.dataset = g.dataset WHERE x.target = 0 OR x.generation_model = g.generation_model)",
+        ['"view"', "dataset", "comparison_generator"],
+        'SELECT "view", dataset, comparison_generator, feature, n_real::BIGINT AS n_real, n_aigc::BIGINT AS n_aigc, round(oriented_auprc, 6) AS oriented_auprc FROM u',
+    ),
+)
+def generator_metrics(t: Tables):
+    """Each generator's positives with its dataset's authentic rows."""
+    rows = E.generator_rows(t.features.where("phase = 'confirmation' and condition = 'clean'"))
+    return E.univariate_metrics(rows, E.learned_directions(_discovery(t)), ["view", "dataset", "comparison_generator"]).select("view", "dataset", "comparison_generator", "feature", "n_real", "n_aigc", "oriented_auprc")
+
+
+@query(
+    "a19_chronological_metrics",
+    univariate_sql(
+        "(SELECT *, time_window AS chronological_window FROM feats WHERE phase = 'confirmation' AND condition = 'clean')",
+        ["phase", '"view"', "condition", "chronological_window"],
+        "SELECT 'time_window' AS window_column, phase, \"view\", condition, chronological_window, feature, parents::BIGINT AS parents, round(oriented_auprc, 6) AS oriented_auprc FROM u",
+    ),
+)
+def chronological(t: Tables):
+    """Frozen directions by window."""
+    out = E.chronological_metrics(t.features.where("condition = 'clean'"), E.learned_directions(_discovery(t)))
+    return out.select("window_column", "phase", "view", "condition", "chronological_window", "feature", "parents", "oriented_auprc")
+
+
+def _metrics(t: Tables):
+    """A row per view, condition and feature: small, and used several times."""
+    return E.univariate_metrics(t.features.where("phase = 'confirmation'"), E.learned_directions(_discovery(t)).persist(), ["view", "condition"]).persist()
+
+
+SEVERITY = "sev(condition, family, severity) AS (VALUES ('jpeg_q90', 'jpeg', 10.0::DOUBLE), ('jpeg_q70', 'jpeg', 30.0::DOUBLE), ('blur_sigma1', 'gaussian_blur', 1.0::DOUBLE), ('blur_sigma2', 'gaussian_blur', 2.0::DOUBLE), ('color_jitter_plus20', 'color_jitter', 0.2::DOUBLE))"
+CONFIRMED = univariate_sql("(SELECT * FROM feats WHERE phase = 'confirmation')", ['"view"', "condition"], "")
+DROPS = (
+    CONFIRMED
+    + f""", {SEVERITY}, drops AS (SELECT u."view", u.feature, u.direction, u.condition, s.family AS transform_family, s.severity, c.oriented_auprc AS clean_auprc, u.oriented_auprc AS condition_auprc, c.oriented_auprc - u.oriented_auprc AS auprc_drop
+  FROM u JOIN sev s ON u.condition = s.condition JOIN u c ON u."view" = c."view" AND u.feature = c.feature AND c.condition = 'clean')"""
+)
+
+
+@query("a15_auprc_drops", DROPS + ' SELECT "view", feature, direction::BIGINT AS direction, condition, transform_family, severity, round(clean_auprc, 6) AS clean_auprc, round(condition_auprc, 6) AS condition_auprc, round(auprc_drop, 6) AS auprc_drop FROM drops')
+def drops(t: Tables):
+    """Drops of official single steps."""
+    return E.auprc_drops(_metrics(t), condition_frame(t.spark, "all"))
+
+
+@query(
+    "a16_severity_areas",
+    DROPS
+    + """, w AS (SELECT *, lag(severity, 1, 0) OVER p AS x0, coalesce(lag(condition_auprc) OVER p, clean_auprc) AS y0 FROM drops WINDOW p AS (PARTITION BY "view", feature, transform_family ORDER BY severity)),
+a AS (SELECT "view", feature, transform_family, max(direction)::BIGINT AS direction, count(*)::BIGINT AS severity_conditions, max(severity) AS max_severity, max(clean_auprc) AS c, sum((severity - x0) * (condition_auprc + y0) / 2) / max(severity) AS area, min(condition_auprc) AS m, max(auprc_drop) AS d, min(severity) AS lo FROM w GROUP BY ALL)
+SELECT "view", feature, transform_family, direction, severity_conditions, max_severity, round(c, 6) AS clean_auprc, round(m, 6) AS worst_condition_auprc, round(d, 6) AS worst_auprc_drop, round(area, 6) AS normalized_severity_auprc_area, round(c - area, 6) AS normalized_severity_auprc_drop_area FROM a WHERE severity_conditions >= 2 AND lo > 0""",
+)
+def areas(t: Tables):
+    """Area under the severity curve."""
+    return E.severity_areas(E.auprc_drops(_metrics(t), condition_frame(t.spark, "all")))
+
+
+@query(
+    "a17_pair_interactions",
+    CONFIRMED
+    + f""", pairs(pair_condition, f, s) AS (VALUES ('{PAIR_A}', 'jpeg_q70', 'blur_sigma1'), ('{PAIR_B}', 'blur_sigma1', 'jpeg_q70'))
+SELECT u."view", u.feature, p.pair_condition, round(c.oriented_auprc, 6) AS clean_auprc, round(u.oriented_auprc, 6) AS pair_auprc, round((c.oriented_auprc - u.oriented_auprc) - (c.oriented_auprc - a.oriented_auprc) - (c.oriented_auprc - b.oriented_auprc), 6) AS interaction_excess_auprc_drop
+FROM u JOIN pairs p ON u.condition = p.pair_condition JOIN u c ON c."view" = u."view" AND c.feature = u.feature AND c.condition = 'clean' JOIN u a ON a."view" = u."view" AND a.feature = u.feature AND a.condition = p.f JOIN u b ON b."view" = u."view" AND b.feature = u.feature AND b.condition = p.s""",
+)
+def interactions(t: Tables):
+    """Drop of a pair beyond its single steps."""
+    return E.pair_interactions(_metrics(t), condition_frame(t.spark, "all")).select("view", "feature", "pair_condition", "clean_auprc", "pair_auprc", "interaction_excess_auprc_drop")
+
+
+@query(
+    "a18_order_sensitivity",
+    CONFIRMED
+    + f""" SELECT a."view", a.feature, b.condition AS condition_a_then_b, a.condition AS condition_b_then_a, round(b.oriented_auprc, 6) AS auprc_a_then_b, round(a.oriented_auprc, 6) AS auprc_b_then_a, round(b.oriented_auprc - a.oriented_auprc, 6) AS auprc_a_then_b_minus_b_then_a, round(abs(b.oriented_auprc - a.oriented_auprc), 6) AS absolute_order_sensitivity
+FROM u a JOIN u b ON a."view" = b."view" AND a.feature = b.feature AND a.condition = '{PAIR_A}' AND b.condition = '{PAIR_B}'""",
+)
+def order(t: Tables):
+    """A then B against B then A."""
+    registry = condition_frame(t.spark, "all")
+    return E.order_sensitivity(E.pair_interactions(_metrics(t), registry), registry).select("view", "feature", "condition_a_then_b", "condition_b_then_a", "auprc_a_then_b", "auprc_b_then_a", "auprc_a_then_b_minus_b_then_a", "absolute_order_sensitivity")
+
+
+@query(
+    "a10_feature_drift",
+    f"""WITH {FEATURE_ROWS}, {DIRECTIONS}, k AS (SELECT * FROM feats WHERE phase = 'confirmation'), c AS (SELECT parent_id, target, "view", feature, avg(value) AS clean_value FROM k WHERE condition = 'clean' GROUP BY ALL), w AS (SELECT parent_id, target, "view", feature, var_pop(value) AS within FROM k GROUP BY ALL),
+j AS (SELECT k.*, d.direction * (k.value - c.clean_value) AS signed, w.within FROM k JOIN c USING (parent_id, target, "view", feature) JOIN w USING (parent_id, target, "view", feature) JOIN directions d ON k."view" = d."view" AND k.feature = d.feature WHERE k.condition <> 'clean')
+SELECT "view", condition, feature, target::BIGINT AS target, count(DISTINCT parent_id)::BIGINT AS paired_parents, round(avg(signed), 6) AS signed_drift_mean, round(quantile_cont(signed, 0.5), 6) AS signed_drift_median, round(stddev_pop(signed), 6) AS signed_drift_std, round(avg(abs(signed)), 6) AS absolute_drift_mean, round(avg(within), 2) AS within_parent_transform_variance_mean FROM j GROUP BY ALL""",
+)
+def feature_drift(t: Tables):
+    """Oriented drift of features within parents."""
+    out = E.feature_drift(t.features.where("phase = 'confirmation'"), E.learned_directions(_discovery(t)))
+    return out.select("view", "condition", "feature", "target", "paired_parents", "signed_drift_mean", "signed_drift_median", "signed_drift_std", "absolute_drift_mean", F.round("within_parent_transform_variance_mean", 2).alias("within_parent_transform_variance_mean"))
+
+
+def spearman_sql(x: str, y: str) -> str:
+    r = lambda c: f"rank() OVER (PARTITION BY status ORDER BY {c}) + (count(*) OVER (PARTITION BY status, {c}) - 1) / 2.0::DOUBLE"
+    return f"SELECT status, '{x}' AS feature, '{y}' AS nuisance, corr(a, b) AS rho FROM (SELECT status, {r(x)} AS a, {r(y)} AS b FROM lines WHERE phase = 'discovery') GROUP BY status"
+
+
+@query(
+    "a21_shortcut_correlations",
+    f"WITH {LINES}, c AS ("
+    + " UNION ALL ".join(spearman_sql(x, y) for x in ("l_quantity", "l_extendedprice") for y in ("l_discount", "l_tax"))
+    + ") SELECT status, feature, max_by(nuisance, abs(rho)) AS strongest_nuisance, round(max_by(rho, abs(rho)), 6) AS nuisance_spearman, round(max(abs(rho)), 6) AS max_abs_nuisance_spearman FROM c GROUP BY status, feature",
+)
+def shortcuts(t: Tables):
+    """Strongest nuisance of each feature."""
+    return E.shortcut_correlations(t.lines.where("phase = 'discovery'"), ["status"], ["l_quantity", "l_extendedprice"], ["l_discount", "l_tax"])
+
+
+@query("a24_decision_ledger")
+def ledger(t: Tables):
+    """One decision per feature."""
+    signs = E.learned_directions(_discovery(t)).persist()
+    confirmed = t.features.where("phase = 'confirmation'")
+    clean = confirmed.where("condition = 'clean'")
+    transforms = E.univariate_metrics(confirmed, signs, ["view", "condition"]).persist()
+    datasets = E.univariate_metrics(clean, signs, ["view", "dataset"])
+    generators = E.univariate_metrics(E.generator_rows(clean), signs, ["view", "dataset", "comparison_generator"]).persist()
+    correlations = E.shortcut_correlations(t.lines.where("phase = 'discovery'").withColumn("view", F.lit("canonical_128")), ["view"], ["l_quantity", "l_extendedprice", "l_tax"], ["l_discount"])
+    return E.decision_ledger(transforms, datasets, generators, correlations, condition_frame(t.spark, "core"))
+
+
+@query(
+    "w06_extreme_failures",
+    f"""WITH {ENDPOINTS}, f AS (SELECT *, CASE WHEN target = 0 THEN 'false_positive' ELSE 'false_negative' END AS error_type FROM endpoints), r AS (SELECT condition, error_type, parent_id, logit, row_number() OVER (PARTITION BY condition, error_type ORDER BY CASE WHEN target = 0 THEN -logit ELSE logit END, parent_id) AS rank FROM f)
+SELECT condition, error_type, parent_id, round(logit, 6) AS logit, rank::BIGINT AS rank FROM r WHERE rank <= 5""",
+)
+def failures(t: Tables):
+    """Largest errors of each kind."""
+    return E.extreme_failures(t.endpoints, ["condition"], score="logit").select("condition", "error_type", "parent_id", "logit", "rank")
+
+
+@query(
+    "a30_paired_effects",
+    """WITH p AS (SELECT user_id, avg(value) FILTER (WHERE event_type = 'purchase') AS one, avg(value) FILTER (WHERE event_type <> 'purchase') AS zero FROM events GROUP BY user_id), d AS (SELECT one - zero AS delta FROM p WHERE one IS NOT NULL AND zero IS NOT NULL)
+SELECT 'value' AS feature, count(*)::BIGINT AS pairs, round(quantile_cont(delta, 0.5), 6) AS median_delta, round(avg((delta > 0)::INT::DOUBLE), 6) AS positive_fraction, round(greatest(avg((delta > 0)::INT::DOUBLE), 1 - avg((delta > 0)::INT::DOUBLE)), 6) AS direction_consistency FROM d""",
+)
+def pair_effects(t: Tables):
+    """Median difference and direction within pairs."""
+    rows = t.events.select("user_id", F.when(F.col("event_type") == "purchase", 1).otherwise(0).alias("target"), F.lit("value").alias("feature"), "value")
+    return E.paired_effects(rows, "user_id", [])
+
+
+@query(
+    "j16_pareto_front",
+    """SELECT p_partkey, p_size::BIGINT AS p_size, round(p_retailprice, 6) AS p_retailprice FROM part a WHERE p_retailprice IS NOT NULL AND NOT EXISTS (SELECT 1 FROM part b WHERE b.p_brand = a.p_brand AND b.p_size >= a.p_size AND b.p_retailprice >= a.p_retailprice AND (b.p_size > a.p_size OR b.p_retailprice > a.p_retailprice))""",
+)
+def pareto(t: Tables):
+    """Rows that no other dominates, by one ordered pass."""
+    return E.pareto_front(t.part, ["p_brand"], "p_size", "p_retailprice", "p_partkey").select("p_partkey", "p_size", "p_retailprice")
+
+
+@query("k05_metric_sets", f"""WITH {ENDPOINTS}, x AS (SELECT 'dataset' AS slice_type, dataset_id, NULL::VARCHAR AS condition, target, logit FROM endpoints UNION ALL SELECT 'condition', NULL, condition, target, logit FROM endpoints UNION ALL SELECT 'both', dataset_id, condition, target, logit FROM endpoints), {ranking_sql('x', ['slice_type', 'dataset_id', 'condition'], score='logit')}
+SELECT slice_type, dataset_id, condition, round(roc_auc, 6) AS roc_auc, round(average_precision, 6) AS average_precision, round(partial_auc, 6) AS partial_auc FROM ranked""")
+def metric_sets(t: Tables):
+    """Several slice sets of ranking metrics in one pass."""
+    return E.metric_tables(t.endpoints, {"dataset": ["dataset_id"], "condition": ["condition"], "both": ["dataset_id", "condition"]}, score="logit").select("slice_type", "dataset_id", "condition", "roc_auc", "average_precision", "partial_auc")
+
+
+@query(
+    "a23_compact_summary",
+    f"""WITH {ENDPOINTS}, {ranking_sql('endpoints', ['source'], score='logit')}, f AS (SELECT source AS comparison_group, roc_auc FROM ranked WHERE roc_auc IS NOT NULL), n AS (SELECT count(*)::BIGINT AS groups, count_if(roc_auc < 0.5)::BIGINT AS below_chance FROM f)
+(SELECT 'weakest' AS kind, comparison_group, round(roc_auc, 6) AS roc_auc, groups, below_chance FROM f, n ORDER BY f.roc_auc, comparison_group LIMIT 5) UNION ALL (SELECT 'strongest', comparison_group, round(roc_auc, 6), groups, below_chance FROM f, n ORDER BY f.roc_auc DESC, comparison_group LIMIT 5)""",
+)
+def compact(t: Tables):
+    """Weakest and strongest groups."""
+    m = R.ranking_metrics(t.endpoints, ["source"], "target", "logit").select(F.col("source").alias("comparison_group"), "roc_auc")
+    return E.compact_summary(m)
