@@ -202,7 +202,7 @@ def coverage_difference(expected: DataFrame, actual: DataFrame, keys: Sequence[s
     a = expected.groupBy(*keys).agg(F.count(F.lit(1)).alias("want"), F.lit(0).cast("long").alias("have"))
     b = actual.groupBy(*keys).agg(F.lit(0).cast("long").alias("want"), F.count(F.lit(1)).alias("have"))
     both = a.unionByName(b).groupBy(*keys).agg(F.sum("want").alias("want"), F.sum("have").alias("have"))
-    return both.agg(F.count_if("have = 0 and want > 0").alias("missing"), F.count_if("want = 0 and have > 0").alias("extra"), F.count_if("have > 1 and want > 0").alias("duplicates"))
+    return both.agg(F.count_if(F.expr("have = 0 and want > 0")).alias("missing"), F.count_if(F.expr("want = 0 and have > 0")).alias("extra"), F.count_if(F.expr("have > 1 and want > 0")).alias("duplicates"))
 
 
 def best_match(left: DataFrame, right: DataFrame, tiers: Sequence[Sequence[str]], right_id: str) -> DataFrame:

@@ -18,7 +18,11 @@ def quantile_edges(df: DataFrame, columns: Sequence[str], bins: int) -> DataFram
     """One row: for each column the distinct interior quantiles strictly between its extremes (I16)."""
     q = F.array(*[F.lit(k / bins) for k in range(1, bins)])
     got = df.agg(*[x for c in columns for x in (F.percentile(F.col(c).cast(D), q).alias(f"q_{c}"), F.min(F.col(c).cast(D)).alias(f"lo_{c}"), F.max(F.col(c).cast(D)).alias(f"hi_{c}"))])
-    return got.select(*[F.array_sort(F.array_distinct(F.filter(f"q_{c}", lambda e, c=c: (e > F.col(f"lo_{c}")) & (e < F.col(f"hi_{c}"))))).alias(f"edges_{c}") for c in columns])
+
+    def inner(c):
+        return F.array_sort(F.array_distinct(F.filter(f"q_{c}", lambda e: (e > F.col(f"lo_{c}")) & (e < F.col(f"hi_{c}"))))).alias(f"edges_{c}")
+
+    return got.select(*[inner(c) for c in columns])
 
 
 def assign_cells(df: DataFrame, edges: DataFrame, columns: Sequence[str], prefix: str = "cell_") -> DataFrame:
