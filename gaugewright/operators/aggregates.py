@@ -72,10 +72,10 @@ def balance_weights(df: DataFrame, target: str, group: str, name: str = "weight"
     """1 / (rows of the group x groups of the class), scaled to a mean of 1 (A36). Sums by group only; no window over rows."""
     sizes = df.groupBy(target, group).agg(F.count(F.lit(1)).alias("n_"))
     groups = sizes.groupBy(target).agg(F.count(F.lit(1)).alias("g_"))
-    weights = same(sizes, groups, [target]).withColumn("w_", F.lit(1.0) / (F.col("n_").cast(D) * F.col("g_").cast(D)))
+    weights = same(sizes, groups, [target], small=True).withColumn("w_", F.lit(1.0) / (F.col("n_").cast(D) * F.col("g_").cast(D)))
     mean = weights.agg((F.sum(F.col("w_") * F.col("n_")) / F.sum("n_")).alias("mean_"))
     weights = weights.crossJoin(mean).select(target, group, (F.col("w_") / F.col("mean_")).alias(name))
-    return same(df, weights, [target, group])
+    return same(df, weights, [target, group], small=True)
 
 
 def weighted_bce(target: Column, score: Column, weight: Column) -> Column:

@@ -108,7 +108,7 @@ def feature_drift(rows: DataFrame, directions: DataFrame, by: Sequence[str] = ("
     parent = ["parent_id", "view", "target", "feature"]
     clean = rows.where(F.col("condition") == "clean").groupBy(*parent).agg(F.avg("value").alias("clean_value"))
     spread = rows.groupBy(*parent).agg(F.var_pop("value").alias("within"))
-    joined = same(same(rows.where(F.col("condition") != "clean"), clean, parent), spread, parent, "left").join(directions.select("view", "feature", "direction"), ["view", "feature"])
+    joined = same(same(rows.where(F.col("condition") != "clean"), clean, parent), spread, parent, "left").join(F.broadcast(directions.select("view", "feature", "direction")), ["view", "feature"])
     joined = joined.where(finite("value") & finite("clean_value") & finite("within"))
     signed = F.col("direction").cast(D) * (F.col("value") - F.col("clean_value"))
     median = lambda c: F.percentile(c, F.lit(0.5))
@@ -126,20 +126,23 @@ def learned_directions(rows: DataFrame, keys: Sequence[str] = ("view", "feature"
     signed = fine.select(*keys, target, F.explode(F.array(F.struct(F.lit(1).alias("sign"), F.col("value").alias("v")), F.struct(F.lit(-1).alias("sign"), (-F.col("value")).alias("v")))).alias("x")).select(*keys, target, "x.sign", "x.v")
     ap = ranking_metrics(signed, [*keys, "sign"], target, "v").groupBy(*keys).agg(F.max(F.when(F.col("sign") == 1, F.col("average_precision"))).alias("forward_auprc"), F.max(F.when(F.col("sign") == -1, F.col("average_precision"))).alias("reverse_auprc"))
     prevalence = rows.groupBy(*keys).agg(F.avg(F.col(target).cast(D)).alias("positive_prevalence"))
-    out = same(ap, prevalence, keys)
+    out = same(ap, prevalence, keys, small=True)
     best = F.greatest("forward_auprc", "reverse_auprc")
     return out.withColumns({"selected_auprc": best, "normalized_auprc": normalized_average_precision(best, F.col("positive_prevalence")), "direction": F.when(F.col("forward_auprc") >= F.col("reverse_auprc"), 1).otherwise(-1)})
 
 
 def univariate_metrics(rows: DataFrame, directions: DataFrame, by: Sequence[str], min_group: int = 20, target: str = "target", parent: str = "parent_id") -> DataFrame:
-    """Oriented AP, prevalence, gain, counts, low power and reversal of each feature in each group."""
+    """Oriented AP, prevalence, gain, counts, low power and reversal of each feature in each group.
+
+    ``directions`` is a table of the registry's size, a row per view and feature, and is broadcast.
+    """
     keys = [*by, "feature", "direction"]
-    fine = rows.where(F.col("value").isNotNull() & ~F.isnan("value") & F.col(target).isNotNull()).join(directions.select("view", "feature", "direction"), ["view", "feature"])
+    fine = rows.where(F.col("value").isNotNull() & ~F.isnan("value") & F.col(target).isNotNull()).join(F.broadcast(directions.select("view", "feature", "direction")), ["view", "feature"])
     fine = fine.withColumn("oriented", F.col("value") * F.col("direction"))
     counts = fine.groupBy(*keys).agg(F.count_if(F.col(target) == 0).alias("n_real"), F.count_if(F.col(target) == 1).alias("n_aigc"), F.count_distinct(parent).alias("parents"))
     ap = ranking_metrics(fine, keys, target, "oriented").select(*keys, F.col("average_precision").alias("oriented_auprc"))
     prevalence = ratio("n_aigc", F.col("n_real") + F.col("n_aigc"))
-    out = same(counts, ap, keys, "left").withColumn("positive_prevalence", prevalence)
+    out = same(counts, ap, keys, "left", small=True).withColumn("positive_prevalence", prevalence)
     return out.withColumns({
         "auprc_gain": F.col("oriented_auprc") - F.col("positive_prevalence"),
         "normalized_auprc": normalized_average_precision(F.col("oriented_auprc"), F.col("positive_prevalence")),

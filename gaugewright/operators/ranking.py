@@ -76,9 +76,15 @@ def running_counts(counts: DataFrame, keys: Sequence[str], buckets: int = 64) ->
     return out.select(*keys, "score", "pos", "neg", (F.col("before_p") + F.sum("pos").over(inner)).alias("tp"), (F.col("before_n") + F.sum("neg").over(inner)).alias("fp"), "total_pos", "total_neg", "b_")
 
 
-def same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join on keys with null equal to null, keys once; a cross join of one row without keys."""
+def same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", small: bool = False) -> DataFrame:
+    """Join on keys with null equal to null, keys once; a cross join of one row without keys.
+
+    Unless ``small`` says that one side is a report-sized table, the join is a sort-merge join: exploded rows look far
+    smaller to the planner than they are, and a broadcast picked from such an estimate doesn't fit.
+    """
     renamed = right.withColumnsRenamed({k: f"r_{k}" for k in keys})
+    if keys and not small:
+        renamed = renamed.hint("merge")
     on = F.lit(True)
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"r_{k}"))
@@ -133,7 +139,7 @@ def metric_slices(df: DataFrame, keys: Sequence[str], label: str = "target", sco
     status = F.when((F.col("negatives") == 0) & (F.col("odd_") == 0), "positive_only").when((F.col("negatives") == 0) | (F.col("positives") == 0), "negative_only").when(F.col("odd_") > 0, "unscorable_non_finite_scores").otherwise("ok")
     base = base.withColumns(threshold_rates()).withColumn("status", status)
     ranked = ranking_metrics(df, keys, label, score, max_fpr, buckets=buckets).drop("tpr_at_fpr")
-    out = same(base, ranked, keys, "left") if keys else base.crossJoin(ranked)
+    out = same(base, ranked, keys, "left", small=True) if keys else base.crossJoin(ranked)
     ok, pos = (F.col("status") == x for x in ("ok", "positive_only"))
     shown = {c: F.when(ok, F.col(c)) for c in (*TWO_CLASS, "roc_auc", "average_precision", "partial_auc", "tn", "fp")}
     shown |= {c: F.when(ok | pos, F.col(c)) for c in ("recall", "fnr", "predicted_positive_rate", "tp", "fn")}
@@ -161,7 +167,7 @@ def comparison_metrics(df: DataFrame, positive_group: str, negative_group: str,
     rows = both.unionByName(other)
     keys = ["direction", *base, "comparison_group"]
     means = rows.groupBy(*keys).agg(F.avg(F.when(F.col(label) == 1, F.col(score))).alias("positive_mean"), F.avg(F.when(F.col(label) == 0, F.col(score))).alias("negative_mean"))
-    return same(metric_slices(rows, keys, label, score, threshold), means, keys, "left")
+    return same(metric_slices(rows, keys, label, score, threshold), means, keys, "left", small=True)
 
 
 def positive_rank_percentile(df: DataFrame, keys: Sequence[str], score: str) -> Column:

@@ -43,7 +43,7 @@ def shrunk_statistics(df: DataFrame, cells: Sequence[str], value: str, grid: Dat
     v = F.col(value).cast(D)
     whole = df.agg(F.avg(v).alias("gm"), F.greatest(F.var_pop(v), F.lit(floor)).alias("gv"))
     per = df.groupBy(*cells).agg(F.count(v).alias("n"), F.avg(v).alias("m"), F.var_pop(v).alias("s"))
-    out = same(grid, per, cells, "left").crossJoin(F.broadcast(whole))
+    out = same(grid, per, cells, "left", small=True).crossJoin(F.broadcast(whole))
     n, p = F.coalesce(F.col("n"), F.lit(0)).cast(D), F.lit(float(prior))
     mean = (n * F.coalesce("m", F.lit(0.0)) + p * F.col("gm")) / (n + p)
     variance = (n * F.coalesce("s", F.lit(0.0)) + p * F.col("gv")) / (n + p)
@@ -62,14 +62,14 @@ def reliability_table(df: DataFrame, cells: Sequence[str], score: str, target: s
     s, t = F.col(score).cast(D), F.col(target)
     ref = df.where(clean).agg(*[f(F.when(t == k, s)).alias(f"{n}{k}c") for k in (0, 1) for n, f in (("m", F.avg), ("v", F.var_pop))])
     ref = ref.select(d_prime(F.col("m1c"), F.col("v1c"), F.col("m0c"), F.col("v0c")).alias("d_clean"))
-    out = same(zero, one, cells).crossJoin(F.broadcast(ref)).withColumn("d_prime", d_prime(F.col("m1"), F.col("v1"), F.col("m0"), F.col("v0")))
+    out = same(zero, one, cells, small=True).crossJoin(F.broadcast(ref)).withColumn("d_prime", d_prime(F.col("m1"), F.col("v1"), F.col("m0"), F.col("v0")))
     share = F.coalesce(F.try_divide(F.col("d_prime"), F.col("d_clean")), F.lit(0.0))
     return out.withColumn("availability", F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)))
 
 
 def fused_scores(df: DataFrame, table: DataFrame, cells: Sequence[str], score: str) -> DataFrame:
     """z against the cell's authentic scores, availability, and their product."""
-    out = same(df, table.select(*cells, "m0", "v0", "availability"), cells, "left")
+    out = same(df, table.select(*cells, "m0", "v0", "availability"), cells, "left", small=True)
     z = (F.col(score).cast(D) - F.col("m0")) / F.sqrt("v0")
     return out.withColumn("z", z).withColumn("fused", F.coalesce("availability", F.lit(0.0)) * F.coalesce("z", F.lit(0.0))).drop("m0", "v0")
 
@@ -79,14 +79,14 @@ def availability_audit(df: DataFrame, table: DataFrame, cells: Sequence[str], sc
     s, t = F.col(score).cast(D), F.col(target)
     per = df.groupBy(*cells).agg(F.count_if(t == 0).alias("n0"), F.count_if(t == 1).alias("n1"), *[f(F.when(t == k, s)).alias(f"{n}{k}") for k in (0, 1) for n, f in (("mean", F.avg), ("var", F.var_pop))])
     per = per.where((F.col("n0") >= least) & (F.col("n1") >= least)).withColumn("measured", d_prime(F.col("mean1"), F.col("var1"), F.col("mean0"), F.col("var0")))
-    joined = same(per, table.select(*cells, "availability"), cells).withColumn("all_", F.lit(1))
+    joined = same(per, table.select(*cells, "availability"), cells, small=True).withColumn("all_", F.lit(1))
     return spearman(joined, ["all_"], "availability", "measured").join(joined.groupBy("all_").agg(F.count(F.lit(1)).alias("cells")), "all_").drop("all_")
 
 
 def occupancy_overlap(a: DataFrame, b: DataFrame, cells: Sequence[str]) -> DataFrame:
     """Sum over cells of the smaller of both shares."""
     share = lambda df, name: df.groupBy(*cells).agg(F.count(F.lit(1)).alias("n_")).crossJoin(df.agg(F.count(F.lit(1)).alias("all_"))).select(*cells, (F.col("n_").cast(D) / F.col("all_")).alias(name))
-    both = same(share(a, "pa"), share(b, "pb"), cells)
+    both = same(share(a, "pa"), share(b, "pb"), cells, small=True)
     return both.agg(F.coalesce(F.sum(F.least("pa", "pb")), F.lit(0.0)).alias("overlap"))
 
 
