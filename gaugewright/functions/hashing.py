@@ -22,10 +22,8 @@ def json_escaped(value: Column) -> Column:
 
 def _unicode_escaped(value: Column) -> Column:
     """Characters beyond ASCII as UTF-16 code units in lower-case hex."""
-    unit = lambda c: F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(c), 4, "0")))
-    beyond = lambda c: F.when(c < 0x10000, unit(c)).otherwise(F.concat(unit(F.lit(0xD800) + F.shiftright(c - 0x10000, 10)), unit(F.lit(0xDC00) + (c - 0x10000).bitwiseAND(F.lit(0x3FF)))))
-    point = lambda x: F.conv(F.hex(F.encode(x, "UTF-32BE")), 16, 10).cast("int")
-    return F.array_join(F.transform(F.split(value, ""), lambda x: F.when(F.octet_length(x) <= 1, x).otherwise(beyond(point(x)))), "")
+    units = lambda x: F.regexp_replace(F.lower(F.hex(F.encode(x, "UTF-16BE"))), "([0-9a-f]{4})", r"\\u$1")
+    return F.array_join(F.transform(F.split(value, ""), lambda x: F.when(F.octet_length(x) <= 1, x).otherwise(units(x))), "")
 
 
 def stable_hash(*parts: Column | str | int) -> Column:

@@ -27,6 +27,11 @@ def finite(c: Column | str) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
 
 
+def pearson(x: Column, y: Column) -> Column:
+    """Correlation, null for a constant side (corr divides by zero there)."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def score_distributions(df: DataFrame, keys: Sequence[str], scores: Sequence[str], target: str = "target") -> DataFrame:
     """Count, mean, population deviation, median, 5th and 95th percentile of each score by slice and class."""
     rows = long_features(df, [*keys, target], scores).withColumnRenamed("feature", "score_column")
@@ -94,7 +99,7 @@ def lineage_drift(df: DataFrame, keys: Sequence[str] = ("dataset_id", "lineage_i
     """Drift of transformed lineage peers with their Pearson correlation."""
     clean = df.where(F.col(endpoint) == "clean").select(*keys, F.col(score).alias("clean_score"))
     joined = same(df.where(F.col(endpoint) == "transformed"), clean, keys)
-    return joined.groupBy(*by).agg(*drift_aggregates(score, target, threshold), F.corr(F.col("clean_score").cast(D), F.col(score).cast(D)).alias("clean_transformed_pearson"))
+    return joined.groupBy(*by).agg(*drift_aggregates(score, target, threshold), pearson(F.col("clean_score").cast(D), F.col(score).cast(D)).alias("clean_transformed_pearson"))
 
 
 def clean_drops(metrics: DataFrame, keys: Sequence[str], values: Sequence[str], condition: str = "condition") -> DataFrame:
@@ -175,7 +180,7 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     both = df.where(F.col(x).isNotNull() & ~F.isnan(x) & F.col(y).isNotNull() & ~F.isnan(y))
     rank = lambda c: F.rank().over(Window.partitionBy(*keys, F.lit(0)).orderBy(c)).cast(D) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, c)).cast(D) - 1.0) / 2.0
     ranked = both.withColumn("rx_", rank(x)).withColumn("ry_", rank(y))
-    value = F.corr("rx_", "ry_")
+    value = pearson(F.col("rx_"), F.col("ry_"))
     return ranked.groupBy(*keys).agg(F.when((F.min("rx_") == F.max("rx_")) | (F.min("ry_") == F.max("ry_")), F.lit(0.0)).otherwise(F.coalesce(F.nanvl(value, F.lit(0.0)), F.lit(0.0))).alias("spearman"))
 
 
@@ -244,7 +249,7 @@ def robustness_summary(metrics: DataFrame, registry: DataFrame, values: Sequence
     fine = metrics.where("status = 'ok' and condition <> 'clean'").join(F.broadcast(official), "condition")
     macro = fine.groupBy(by).agg(F.count(F.lit(1)).alias("official_conditions"), *[F.avg(v).alias(f"macro_{v}") for v in values], F.min_by("condition", F.struct("roc_auc", "condition")).alias("worst_condition"), *[F.min_by(v, F.struct("roc_auc", "condition")).alias(f"worst_{v}") for v in values])
     clean = metrics.where("condition = 'clean'").select(by, *[F.col(v).alias(f"clean_{v}") for v in values])
-    return clean.join(macro, by, "full_outer")
+    return clean.join(macro, by, "full_outer").fillna(0, ["official_conditions"])
 
 
 def compact_summary(metrics: DataFrame, name: str = "comparison_group", k: int = 5) -> DataFrame:

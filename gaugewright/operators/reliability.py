@@ -39,14 +39,19 @@ def cell_grid(edges: DataFrame, columns: Sequence[str], prefix: str = "cell_") -
 
 
 def shrunk_statistics(df: DataFrame, cells: Sequence[str], value: str, grid: DataFrame, prior: float = 20.0, floor: float = 1e-6) -> DataFrame:
-    """Mean and variance of each cell shrunk to the global ones; empty cells are global."""
+    """Mean and variance of each cell with ``prior`` pseudo-rows of the whole population; empty cells are global.
+
+    First and second moments are shrunk, so the variance holds the distance between the means too.
+    """
     v = F.col(value).cast(D)
     whole = df.agg(F.avg(v).alias("gm"), F.greatest(F.var_pop(v), F.lit(floor)).alias("gv"))
     per = df.groupBy(*cells).agg(F.count(v).alias("n"), F.avg(v).alias("m"), F.var_pop(v).alias("s"))
     out = same(grid, per, cells, "left", small=True).crossJoin(F.broadcast(whole))
     n, p = F.coalesce(F.col("n"), F.lit(0)).cast(D), F.lit(float(prior))
     mean = (n * F.coalesce("m", F.lit(0.0)) + p * F.col("gm")) / (n + p)
-    variance = (n * F.coalesce("s", F.lit(0.0)) + p * F.col("gv")) / (n + p)
+    m, s = F.coalesce("m", F.lit(0.0)), F.coalesce("s", F.lit(0.0))
+    second = (n * (s + m * m) + p * (F.col("gv") + F.col("gm") * F.col("gm"))) / (n + p)
+    variance = F.when(n == 0, F.col("gv")).otherwise(second - mean * mean)
     return out.select(*cells, F.coalesce("n", F.lit(0)).alias("rows"), mean.alias("mean"), F.greatest(variance, F.lit(floor)).alias("variance"))
 
 
@@ -55,23 +60,27 @@ def d_prime(m1: Column, v1: Column, m0: Column, v0: Column) -> Column:
     return F.try_divide(m1 - m0, F.sqrt((v1 + v0) / F.lit(2.0)))
 
 
-def reliability_table(df: DataFrame, cells: Sequence[str], score: str, target: str, clean: Column, grid: DataFrame, prior: float = 20.0) -> DataFrame:
-    """Per cell: authentic mean and deviation, d-prime, availability = d-prime over that of clean rows, in [0, 1]."""
-    zero = shrunk_statistics(df.where(F.col(target) == 0), cells, score, grid, prior).select(*cells, F.col("mean").alias("m0"), F.col("variance").alias("v0"), F.col("rows").alias("authentic_rows"))
-    one = shrunk_statistics(df.where(F.col(target) == 1), cells, score, grid, prior).select(*cells, F.col("mean").alias("m1"), F.col("variance").alias("v1"), F.col("rows").alias("positive_rows"))
+def reliability_table(df: DataFrame, null: DataFrame, cells: Sequence[str], score: str, target: str, clean: Column, grid: DataFrame, prior: float = 20.0) -> DataFrame:
+    """Per cell (A39): m_null, v_null of the authentic population ``null`` for normalisation; d_prime of the validation
+    rows ``df``; availability = d_prime over that of the clean validation rows, in [0, 1], 0 if the latter isn't positive.
+    """
+    fit = lambda rows, *names: shrunk_statistics(rows, cells, score, grid, prior).select(*cells, *[F.col(x).alias(n) for x, n in zip(("mean", "variance", "rows"), names, strict=True)])
+    own = fit(null, "m_null", "v_null", "null_rows")
+    zero = fit(df.where(F.col(target) == 0), "m0", "v0", "authentic_rows")
+    one = fit(df.where(F.col(target) == 1), "m1", "v1", "positive_rows")
     s, t = F.col(score).cast(D), F.col(target)
     ref = df.where(clean).agg(*[f(F.when(t == k, s)).alias(f"{n}{k}c") for k in (0, 1) for n, f in (("m", F.avg), ("v", F.var_pop))])
-    ref = ref.select(d_prime(F.col("m1c"), F.col("v1c"), F.col("m0c"), F.col("v0c")).alias("d_clean"))
-    out = same(zero, one, cells, small=True).crossJoin(F.broadcast(ref)).withColumn("d_prime", d_prime(F.col("m1"), F.col("v1"), F.col("m0"), F.col("v0")))
-    share = F.coalesce(F.try_divide(F.col("d_prime"), F.col("d_clean")), F.lit(0.0))
-    return out.withColumn("availability", F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)))
+    ref = ref.select(d_prime(F.col("m1c"), F.greatest("v1c", F.lit(1e-6)), F.col("m0c"), F.greatest("v0c", F.lit(1e-6))).alias("d_clean"))
+    out = same(same(own, zero, cells, small=True), one, cells, small=True).crossJoin(F.broadcast(ref)).withColumn("d_prime", d_prime(F.col("m1"), F.col("v1"), F.col("m0"), F.col("v0")))
+    share = F.when(F.col("d_clean") > 0, F.col("d_prime") / F.col("d_clean")).otherwise(F.lit(0.0))
+    return out.withColumn("availability", F.least(F.greatest(F.coalesce(share, F.lit(0.0)), F.lit(0.0)), F.lit(1.0)))
 
 
 def fused_scores(df: DataFrame, table: DataFrame, cells: Sequence[str], score: str) -> DataFrame:
-    """z against the cell's authentic scores, availability, and their product."""
-    out = same(df, table.select(*cells, "m0", "v0", "availability"), cells, "left", small=True)
-    z = (F.col(score).cast(D) - F.col("m0")) / F.sqrt("v0")
-    return out.withColumn("z", z).withColumn("fused", F.coalesce("availability", F.lit(0.0)) * F.coalesce("z", F.lit(0.0))).drop("m0", "v0")
+    """z against the cell's authentic population, availability, and their product."""
+    out = same(df, table.select(*cells, "m_null", "v_null", "availability"), cells, "left", small=True)
+    z = (F.col(score).cast(D) - F.col("m_null")) / F.sqrt("v_null")
+    return out.withColumn("z", z).withColumn("fused", F.coalesce("availability", F.lit(0.0)) * F.coalesce("z", F.lit(0.0))).drop("m_null", "v_null")
 
 
 def availability_audit(df: DataFrame, table: DataFrame, cells: Sequence[str], score: str, target: str, least: int = 5) -> DataFrame:

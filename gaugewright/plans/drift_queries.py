@@ -47,7 +47,7 @@ def clean_drops(t: Tables):
 @query(
     "a22_robustness_summary",
     f"""WITH {ENDPOINTS}, {ranking_sql('endpoints', ['dataset_id', 'condition'], score='logit')}, o AS (SELECT * FROM ranked WHERE condition <> 'clean' AND roc_auc IS NOT NULL)
-SELECT c.dataset_id, round(c.roc_auc, 6) AS clean_roc_auc, (SELECT count(*) FROM o WHERE o.dataset_id = c.dataset_id)::BIGINT AS official_conditions, (SELECT round(avg(roc_auc), 6) FROM o WHERE o.dataset_id = c.dataset_id) AS macro_roc_auc, (SELECT min_by(condition, roc_auc) FROM o WHERE o.dataset_id = c.dataset_id) AS worst_condition,
+SELECT c.dataset_id, round(c.roc_auc, 6) AS clean_roc_auc, (SELECT count(*) FROM o WHERE o.dataset_id = c.dataset_id)::BIGINT AS official_conditions, (SELECT round(avg(roc_auc), 6) FROM o WHERE o.dataset_id = c.dataset_id) AS macro_roc_auc, (SELECT min_by(condition, (roc_auc, condition)) FROM o WHERE o.dataset_id = c.dataset_id) AS worst_condition,
   (SELECT round(min(roc_auc), 6) FROM o WHERE o.dataset_id = c.dataset_id) AS worst_roc_auc FROM ranked c WHERE c.condition = 'clean'""",
 )
 def robustness(t: Tables):

@@ -113,7 +113,7 @@ def grid(t: Tables):
 
 
 def shrunk(where: str) -> str:
-    return f"(SELECT g.cell_l_quantity, g.cell_l_extendedprice, coalesce(n, 0) AS rows, (coalesce(n, 0) * coalesce(m, 0) + 20 * gm) / (coalesce(n, 0) + 20) AS mean, (coalesce(n, 0) * coalesce(s, 0) + 20 * gv) / (coalesce(n, 0) + 20) AS variance FROM grid g LEFT JOIN (SELECT cell_l_quantity, cell_l_extendedprice, count(*) AS n, avg(l_discount) AS m, var_pop(l_discount) AS s FROM cells WHERE {where} GROUP BY ALL) c USING (cell_l_quantity, cell_l_extendedprice) CROSS JOIN (SELECT avg(l_discount) AS gm, var_pop(l_discount) AS gv FROM cells WHERE {where}))"
+    return f"(SELECT g.cell_l_quantity, g.cell_l_extendedprice, coalesce(n, 0) AS rows, (coalesce(n, 0) * coalesce(m, 0) + 20 * gm) / (coalesce(n, 0) + 20) AS mean, CASE WHEN n IS NULL THEN gv ELSE (n * (s + m * m) + 20 * (gv + gm * gm)) / (n + 20) - pow((n * m + 20 * gm) / (n + 20), 2) END AS variance FROM grid g LEFT JOIN (SELECT cell_l_quantity, cell_l_extendedprice, count(*) AS n, avg(l_discount) AS m, var_pop(l_discount) AS s FROM cells WHERE {where} GROUP BY ALL) c USING (cell_l_quantity, cell_l_extendedprice) CROSS JOIN (SELECT avg(l_discount) AS gm, var_pop(l_discount) AS gv FROM cells WHERE {where}))"
 
 
 @query("a37_shrunk_statistics", f"WITH {CELLS} SELECT cell_l_quantity, cell_l_extendedprice, rows::BIGINT AS rows, round(mean, 6) AS mean, round(variance, 6) AS variance FROM {shrunk('target = 0')}")
@@ -123,21 +123,22 @@ def statistics(t: Tables):
     return Q.shrunk_statistics(c.where("target = 0"), ["cell_l_quantity", "cell_l_extendedprice"], "l_discount", g)
 
 
-TABLE = f"{CELLS}, z AS {shrunk('target = 0')}, o AS {shrunk('target = 1')}, ref AS (SELECT (avg(l_discount) FILTER (WHERE target = 1) - avg(l_discount) FILTER (WHERE target = 0)) / sqrt((var_pop(l_discount) FILTER (WHERE target = 1) + var_pop(l_discount) FILTER (WHERE target = 0)) / 2) AS d FROM cells WHERE status = 'F'), tab AS (SELECT z.cell_l_quantity, z.cell_l_extendedprice, z.mean AS m0, z.variance AS v0, (o.mean - z.mean) / sqrt((o.variance + z.variance) / 2) AS dp, greatest(least(coalesce((o.mean - z.mean) / sqrt((o.variance + z.variance) / 2) / nullif(ref.d, 0), 0), 1), 0) AS availability FROM z JOIN o USING (cell_l_quantity, cell_l_extendedprice) CROSS JOIN ref)"
+TABLE = f"{CELLS}, u AS {shrunk("target = 0 AND phase = 'discovery'")}, z AS {shrunk("target = 0 AND phase = 'confirmation'")}, o AS {shrunk("target = 1 AND phase = 'confirmation'")}, ref AS (SELECT (avg(l_discount) FILTER (WHERE target = 1) - avg(l_discount) FILTER (WHERE target = 0)) / sqrt((var_pop(l_discount) FILTER (WHERE target = 1) + var_pop(l_discount) FILTER (WHERE target = 0)) / 2) AS d FROM cells WHERE status = 'F' AND phase = 'confirmation'), tab AS (SELECT z.cell_l_quantity, z.cell_l_extendedprice, u.mean AS m_null, u.variance AS v_null, (o.mean - z.mean) / sqrt((o.variance + z.variance) / 2) AS dp, CASE WHEN ref.d > 0 THEN greatest(least((o.mean - z.mean) / sqrt((o.variance + z.variance) / 2) / ref.d, 1), 0) ELSE 0 END AS availability FROM z JOIN o USING (cell_l_quantity, cell_l_extendedprice) JOIN u USING (cell_l_quantity, cell_l_extendedprice) CROSS JOIN ref)"
 
 
 def _table(t: Tables):
     c, g = _cells(t)
-    return c, Q.reliability_table(c, ["cell_l_quantity", "cell_l_extendedprice"], "l_discount", "target", F.col("status") == "F", g)
+    held = c.where("phase = 'confirmation'")
+    return c, Q.reliability_table(held, c.where("phase = 'discovery' and target = 0"), ["cell_l_quantity", "cell_l_extendedprice"], "l_discount", "target", F.col("status") == "F", g)
 
 
-@query("a39_reliability_table", f"WITH {TABLE} SELECT cell_l_quantity, cell_l_extendedprice, round(m0, 6) AS m0, round(dp, 6) AS d_prime, round(availability, 6) AS availability FROM tab")
+@query("a39_reliability_table", f"WITH {TABLE} SELECT cell_l_quantity, cell_l_extendedprice, round(m_null, 6) AS m_null, round(dp, 6) AS d_prime, round(availability, 6) AS availability FROM tab")
 def table(t: Tables):
     """d-prime and availability per cell."""
-    return _table(t)[1].select("cell_l_quantity", "cell_l_extendedprice", "m0", "d_prime", "availability")
+    return _table(t)[1].select("cell_l_quantity", "cell_l_extendedprice", "m_null", "d_prime", "availability")
 
 
-@query("a40_fused_scores", f"WITH {TABLE} SELECT c.parent_id, c.target::BIGINT AS target, round(availability * (l_discount - m0) / sqrt(v0), 6) AS fused FROM cells c JOIN tab USING (cell_l_quantity, cell_l_extendedprice)")
+@query("a40_fused_scores", f"WITH {TABLE} SELECT c.parent_id, c.target::BIGINT AS target, round(availability * (l_discount - m_null) / sqrt(v_null), 6) AS fused FROM cells c JOIN tab USING (cell_l_quantity, cell_l_extendedprice)")
 def fused(t: Tables):
     """Availability times z."""
     c, tab = _table(t)
