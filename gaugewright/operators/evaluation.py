@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugewright.operators.ranking import metric_slices, normalized_average_precision, one_against_all, ranking_metrics, ratio, same
+from gaugewright.operators.ranking import metric_slices, normalized_average_precision, one_against_all, ranking_aggregates, ranking_metrics, ratio, roc_points, same, slice_id, slice_names
 
 D = "double"
 WINDOW_COLUMNS = ("chronological_window", "generator_window", "release_window", "time_window", "window")
@@ -143,11 +143,12 @@ def univariate_metrics(rows: DataFrame, directions: DataFrame, by: Sequence[str]
     """
     keys = [*by, "feature", "direction"]
     fine = rows.where(F.col("value").isNotNull() & ~F.isnan("value") & F.col(target).isNotNull()).join(F.broadcast(directions.select("view", "feature", "direction")), ["view", "feature"])
-    fine = fine.withColumn("oriented", F.col("value") * F.col("direction"))
-    counts = fine.groupBy(*keys).agg(F.count_if(F.col(target) == 0).alias("n_real"), F.count_if(F.col(target) == 1).alias("n_aigc"), F.count_distinct(parent).alias("parents"))
-    ap = ranking_metrics(fine, keys, target, "oriented").select(*keys, F.col("average_precision").alias("oriented_auprc"))
+    sliced = fine.select(*keys, slice_id(keys).alias("slice_"), target, parent, (F.col("value") * F.col("direction")).alias("oriented"))
+    names = slice_names(sliced, keys)
+    counts = sliced.groupBy("slice_").agg(F.count_if(F.col(target) == 0).alias("n_real"), F.count_if(F.col(target) == 1).alias("n_aigc"), F.count_distinct(F.when(F.col(parent).isNotNull(), F.xxhash64(parent))).alias("parents"))
+    ap = roc_points(sliced, ["slice_"], target, "oriented").groupBy("slice_").agg(*ranking_aggregates()).select("slice_", F.col("average_precision").alias("oriented_auprc"))
     prevalence = ratio("n_aigc", F.col("n_real") + F.col("n_aigc"))
-    out = same(counts, ap, keys, "left", small=True).withColumn("positive_prevalence", prevalence)
+    out = names.join(counts, "slice_").join(ap, "slice_", "left").drop("slice_").withColumn("positive_prevalence", prevalence)
     return out.withColumns({
         "auprc_gain": F.col("oriented_auprc") - F.col("positive_prevalence"),
         "normalized_auprc": normalized_average_precision(F.col("oriented_auprc"), F.col("positive_prevalence")),

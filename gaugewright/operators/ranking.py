@@ -59,21 +59,32 @@ def score_counts(df: DataFrame, keys: Sequence[str], label: str, score: str) ->
     return df.where(fine).groupBy(*keys, (s + F.lit(0.0)).alias("score")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
 
 
+def slice_id(keys: Sequence[str]) -> Column:
+    """A 64-bit id of a slice, nulls told apart: keys of any width sort and hash as one number."""
+    return F.xxhash64(*[x for k in keys for x in (F.col(k), F.col(k).isNull())]) if keys else F.lit(0).cast("long")
+
+
 def running_counts(counts: DataFrame, keys: Sequence[str], buckets: int = 64) -> DataFrame:
-    """counts with tp, fp (rows of at least this score) and the slice's total_pos, total_neg."""
+    """counts with tp, fp (rows of at least this score) and the slice's total_pos, total_neg.
+
+    Each bucket gets one more row, before its own, that carries what the buckets above hold; so the second level needs no
+    join. asinh is monotone and spreads any range of scores; so no pass over the data finds the buckets' ends.
+    """
+    whole = Window.partitionBy(*keys, F.lit(0))
     if buckets <= 1:
-        w = Window.partitionBy(*keys, F.lit(0)).orderBy(F.desc("score"))
-        whole = Window.partitionBy(*keys, F.lit(0))
+        w = whole.orderBy(F.desc("score"))
         return counts.select("*", F.sum("pos").over(w).alias("tp"), F.sum("neg").over(w).alias("fp"), F.sum("pos").over(whole).alias("total_pos"), F.sum("neg").over(whole).alias("total_neg"))
-    # asinh is monotone and spreads any range of scores; so no pass over the data finds the buckets' ends.
-    put = counts.withColumn("b_", F.floor(F.asinh("score") * F.lit(buckets / 8.0)).cast("int"))
+    put = counts.select(*keys, F.floor(F.asinh("score") * F.lit(buckets / 8.0)).cast("int").alias("b_"), "score", "pos", "neg")
     sums = put.groupBy(*keys, "b_").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"))
-    over = Window.partitionBy(*keys, F.lit(0)).orderBy(F.desc("b_"))
-    whole = Window.partitionBy(*keys, F.lit(0))
-    sums = sums.select(*keys, "b_", (F.sum("bp").over(over) - F.col("bp")).alias("before_p"), (F.sum("bn").over(over) - F.col("bn")).alias("before_n"), F.sum("bp").over(whole).alias("total_pos"), F.sum("bn").over(whole).alias("total_neg"))
-    inner = Window.partitionBy(*keys, "b_").orderBy(F.desc("score"))
-    out = same(put, sums, [*keys, "b_"])
-    return out.select(*keys, "score", "pos", "neg", (F.col("before_p") + F.sum("pos").over(inner)).alias("tp"), (F.col("before_n") + F.sum("neg").over(inner)).alias("fp"), "total_pos", "total_neg", "b_")
+    over = whole.orderBy(F.desc("b_"))
+    heads = sums.select(*keys, "b_", F.lit(True).alias("head_"), F.lit(None).cast(D).alias("score"), (F.sum("bp").over(over) - F.col("bp")).alias("pos"), (F.sum("bn").over(over) - F.col("bn")).alias("neg"), F.sum("bp").over(whole).alias("total_pos"), F.sum("bn").over(whole).alias("total_neg"))
+    none = F.lit(None).cast("long")
+    rows = put.select(*keys, "b_", F.lit(False).alias("head_"), "score", "pos", "neg", none.alias("total_pos"), none.alias("total_neg"))
+    inner = Window.partitionBy(*keys, "b_").orderBy(F.desc("head_"), F.desc("score"))
+    out = heads.unionByName(rows).select(
+        *keys, "head_", "score", "pos", "neg", F.sum("pos").over(inner).alias("tp"), F.sum("neg").over(inner).alias("fp"), F.max("total_pos").over(inner).alias("total_pos"), F.max("total_neg").over(inner).alias("total_neg")
+    )
+    return out.where("not head_").drop("head_")
 
 
 def same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", small: bool = False) -> DataFrame:
@@ -118,8 +129,21 @@ def ranking_aggregates(max_fpr: float = 0.05, fpr_limit: float = 0.05) -> list[C
 
 
 def ranking_metrics(df: DataFrame, keys: Sequence[str], label: str, score: str, max_fpr: float = 0.05, fpr_limit: float = 0.05, buckets: int = 64) -> DataFrame:
-    """keys, roc_auc, average_precision, partial_auc, tpr_at_fpr; null for slices of one class."""
-    return roc_points(df, keys, label, score, buckets).groupBy(*keys).agg(*ranking_aggregates(max_fpr, fpr_limit))
+    """keys, roc_auc, average_precision, partial_auc, tpr_at_fpr; null for slices of one class.
+
+    Rows travel with a slice id instead of the keys; the keys come back at the end, one row per slice.
+    """
+    aggregates = ranking_aggregates(max_fpr, fpr_limit)
+    if not keys:
+        return roc_points(df, [], label, score, buckets).agg(*aggregates)
+    sliced = df.withColumn("slice_", slice_id(keys))
+    found = roc_points(sliced, ["slice_"], label, score, buckets).groupBy("slice_").agg(*aggregates)
+    return slice_names(sliced, keys).join(found, "slice_").drop("slice_")
+
+
+def slice_names(sliced: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """slice_ and the keys of each slice."""
+    return sliced.groupBy("slice_").agg(F.first(F.struct(*keys)).alias("k_")).select("slice_", "k_.*")
 
 
 RATES = ("accuracy", "balanced_accuracy", "precision", "recall", "specificity", "f1", "fpr", "fnr", "mcc", "prevalence", "predicted_positive_rate")
