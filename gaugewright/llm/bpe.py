@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugewright.llm.common import utf8_views
+from gaugewright.llm.common import small_batches, utf8_views
 
 CACHE = 300_000
 SLICE = 2_000_000
@@ -260,6 +260,7 @@ def encode_bpe(docs: DataFrame, vocabulary: str, text_col: str = "text", ids_col
     ``vocabulary`` is the path of the tokenizer's JSON file on the driver; its bytes, a few MB, go to the workers.
     Columns that are not in ``keep`` (all by default) are left out, the text among them if it isn't named.
     """
+    small_batches(docs.sparkSession)
     with open(vocabulary, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
     keep = [c for c in (docs.columns if keep is None else keep) if c not in (ids_col, decoded_col)]

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugewright.llm.common import utf8_views
+from gaugewright.llm.common import small_batches, utf8_views
 
 GRAM = 3
 BITS = 21
@@ -208,6 +208,7 @@ def _clean_only(shared, text_at: int):
 def _blocks(docs: DataFrame, benchmark: DataFrame, item_col: str, text_col: str, similarity: float, block_bytes: int):
     """The broadcast items of each block, their rare trigrams chosen by the counts in docs."""
     spark = docs.sparkSession
+    small_batches(spark)
     size = benchmark.agg(F.sum(F.octet_length(text_col)).alias("b")).first()["b"] or 0
     blocks = max(1, -(-size // block_bytes))
     for k in range(blocks):

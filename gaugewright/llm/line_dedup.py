@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugewright.llm.common import BLANKS, materialize, utf8_views
+from gaugewright.llm.common import BLANKS, materialize, small_batches, utf8_views
 
 KEY, LIST, LINES, DROPPED = "__gw_key", "__gw_drop", "n_lines", "n_dropped"
 
@@ -79,6 +79,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     that docs has are replaced. Each document's distinct keys are 16 bytes a row; they are counted with partial sums,
     so one very common line is a single row per task. Only the final join moves texts.
     """
+    small_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c not in (LINES, DROPPED)]
     id_type = docs.schema[id_col].dataType
     keys = T.StructType([T.StructField("id", id_type), T.StructField(KEY, T.BinaryType())])

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugewright.llm.common import crc32_mod3, materialize, utf8_views
+from gaugewright.llm.common import crc32_mod3, materialize, small_batches, utf8_views
 
 STATISTICS = (
     "log_bytes", "log_words", "word_bytes", "word_spread", "lower", "upper", "digit", "blank", "mark", "high",
@@ -77,6 +77,7 @@ def _statistics(batches):
 
 def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, x: array<double> of STATISTICS."""
+    small_batches(docs.sparkSession)
     schema = T.StructType([docs.schema[id_col], T.StructField("x", T.ArrayType(T.DoubleType()))])
     return docs.select(id_col, text_col).mapInArrow(_statistics, schema)
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugewright.llm.common import materialize, utf8_views
+from gaugewright.llm.common import materialize, small_batches, utf8_views
 from gaugewright.llm.components import UnionFind, connected_components
 
 SEED = 42
@@ -209,6 +209,7 @@ def _bucket_links(dealt: DataFrame, radius: int, shard_rows: int, nearest: bool)
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, shard_rows: int = 2048) -> DataFrame:
     """id_col, fp (signed 64-bit fingerprint), component_id (smallest id reachable by links) of every row."""
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("id", kind), T.StructField("fp", T.LongType())])
     prints = materialize(docs.select(id_col, text_col).mapInArrow(_fingerprints(shingle), schema), "prints")
@@ -269,6 +270,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     BK-tree gives the candidates within ``radius`` bits (3.6 deviations above the mean at 0.8), and the candidates'
     Jaccard similarity is computed from their whole sets.
     """
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType
     ident = T.StructField("id", kind)
     texts = docs.where(F.col(id_col).isNotNull()).select(id_col, text_col)

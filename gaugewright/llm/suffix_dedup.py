@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugewright.llm.common import discard, materialize, utf8_views
+from gaugewright.llm.common import discard, materialize, small_batches, utf8_views
 
 PART = 1 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -305,6 +305,7 @@ def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def repeat_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, seed: int = 200, group_rows: int = 16384) -> DataFrame:
     """id, mark, spans (array<struct<from:int,to:int>>, overlapping): the repeated stretches of each text that has some."""
+    small_batches(docs.sparkSession)
     texts = _marked(docs, id_col, text_col)
     kind = docs.schema[id_col].dataType
     key = [T.StructField("id", kind), T.StructField("mark", T.IntegerType())]
@@ -357,6 +358,7 @@ def _removed(batches):
 
 def remove_repeats(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_bytes, n_removed, n_spans, kept (binary: the bytes that stay) of every document."""
+    small_batches(docs.sparkSession)
     texts = _marked(docs, id_col, text_col)
     joined = _carried(texts).join(spans.withColumnsRenamed({"id": "sid", "mark": "smark"}), F.col("id").eqNullSafe(F.col("sid")) & (F.col("mark") == F.col("smark")), "left").select("id", "packed", "spans")
     long = T.LongType()
