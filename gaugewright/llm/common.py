@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,14 +15,18 @@ from pyspark.sql import functions as F
 BLANKS = b" \t\n\x0b\x0c\r"
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; only where that is unset (tests), a temporary folder of this machine."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        where = tempfile.mkdtemp(prefix="gaugewright-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        if "dir" not in _OWN:
+            _OWN["dir"] = tempfile.mkdtemp(prefix="gaugewright-")
+        where = _OWN["dir"]
     return where.rstrip("/")
 
 
@@ -61,10 +65,6 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
         spark.conf.set(name, str(rows))
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def utf8_views(column: pa.Array) -> Iterator[memoryview | None]:
     """The UTF-8 bytes of each string, without copies; None for null."""
     if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
@@ -82,14 +82,6 @@ def utf8_views(column: pa.Array) -> Iterator[memoryview | None]:
         yield None if valid is not None and not valid[i] else view[at[i] : at[i + 1]]
 
 
-def as_batch(schema: pa.Schema, columns: Iterable) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-
-
 def crc32_mod3(doc_id="doc_id"):
     """crc32(doc_id as text) mod 3; 1 marks the held-out third."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3
-
-
-def as_sql(names: dict[str, str]) -> str:
-    return ", ".join(f"{v} AS {k}" for k, v in names.items())

@@ -28,6 +28,7 @@ from gaugewright.llm.common import small_batches, utf8_views
 
 GRAM = 3
 BITS = 21
+PIECE = 200_000
 _KEEP = bytes(b if chr(b).isalnum() or b >= 128 else 32 for b in range(256))
 
 
@@ -103,15 +104,31 @@ class Items:
             n = min(len(w) - GRAM + 1, GRAM * edits_allowed(len(w), self.similarity) + 1)
             self.rare[order[begin[k] : begin[k] + n]] = True
 
+    def occurrences(self, at: np.ndarray, which: np.ndarray):
+        """(item, diagonal, rare) of what the hits stand for, in pieces of bounded size."""
+        size = self.starts[which + 1] - self.starts[which]
+        ends = np.cumsum(size)
+        begin = 0
+        while begin < len(at):
+            done = ends[begin - 1] if begin else 0
+            end = max(begin + 1, int(np.searchsorted(ends, done + PIECE, "right")))
+            n = size[begin:end]
+            rows = np.repeat(self.starts[which[begin:end]] - (ends[begin:end] - n - done), n) + np.arange(n.sum())
+            yield self.item[rows], np.repeat(at[begin:end], n) - self.offset[rows], self.rare[rows]
+            begin = end
+
     def matches(self, w: np.ndarray):
         """(item, similarity, score, first word, last word) of the best alignment of each item that w holds."""
         at, which = self.hits(w)
         if not len(at):
             return
-        size = self.starts[which + 1] - self.starts[which]
-        places = np.repeat(at, size)
-        rows = np.repeat(self.starts[which], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        item, diagonal, rare = self.item[rows], places - self.offset[rows], self.rare[rows]
+        wanted = np.zeros(len(self.words), bool)
+        for item, _, rare in self.occurrences(at, which):
+            wanted[item[rare]] = True
+        if not wanted.any():
+            return
+        kept = [(item[m], diagonal[m], rare[m]) for item, diagonal, rare in self.occurrences(at, which) if (m := wanted[item]).any()]
+        item, diagonal, rare = (np.concatenate(x) for x in zip(*kept, strict=True))
         for k in np.unique(item[rare]):
             own = item == k
             m = len(self.words[k])
