@@ -121,27 +121,33 @@ def spanning_links(tree_side: list[tuple[int, int]], query_side: list[tuple[int,
         groups -= max(0, seen - 1)
 
 
-def nearest_links(tree_side: list[tuple[int, int]], query_side: list[tuple[int, int]] | None, radius: int):
-    """As spanning_links, but each element links to the nearest member of every group it reaches, without early ends.
-
-    For candidates that are verified afterwards: the nearest ones are the likeliest to pass.
+def exact_links(tree_side: list[tuple[int, np.ndarray]], query_side: list[tuple[int, np.ndarray]] | None, similarity: float):
+    """Links (id, id) that span all pairs of (id, sorted set) of both sides with that Jaccard similarity; one side alone:
+    within itself. Groups are merged on pairs whose whole sets passed, and on nothing else.
     """
-    tree, sets, ids = BKTree(), UnionFind(len(tree_side) + len(query_side or ())), []
-
-    def reached(value, one, me):
-        hits = sorted(((tree.values[at] ^ value).bit_count(), at) for at in tree.within(value, radius))
-        for _, at in hits:
-            if sets.join(at, me):
-                yield one, ids[at]
-
-    for value, one in tree_side:
-        if query_side is None:
-            yield from reached(value, one, len(ids))
-        tree.add(value)
-        ids.append(one)
-    for value, one in query_side or ():
-        ids.append(one)
-        yield from reached(value, one, len(ids) - 1)
+    own = query_side is None
+    tree_side = sorted(tree_side, key=lambda x: len(x[1]))
+    every = tree_side + ([] if own else query_side)
+    if not tree_side or len(every) < 2:
+        return
+    codes = np.unique(np.concatenate([x for _, x in every]), return_inverse=True)[1]
+    ends = np.cumsum([len(x) for _, x in every])
+    starts = ends - [len(x) for _, x in every]
+    n = (ends - starts)[: len(tree_side)]
+    mark, sets = np.zeros(int(codes.max()) + 1, np.int32), UnionFind(len(every))
+    for me in range(0 if own else len(tree_side), len(every)):
+        size = int(ends[me] - starts[me])
+        low = int(np.searchsorted(n, similarity * size - 1e-6))
+        high = me if own else int(np.searchsorted(n, size / similarity + 1e-6, "right"))
+        if low >= high:
+            continue
+        mine = codes[starts[me] : ends[me]]
+        mark[mine] = 1
+        both = np.add.reduceat(mark[codes[starts[low] : ends[high - 1]]], starts[low:high] - starts[low])
+        mark[mine] = 0
+        for at in np.nonzero(both >= similarity * (size + n[low:high] - both) - 1e-9)[0] + low:
+            if sets.join(int(at), me):
+                yield every[me][0], every[int(at)][0]
 
 
 def _fingerprints(size: int):
@@ -153,15 +159,13 @@ def _fingerprints(size: int):
     return run
 
 
-def _linked(radius: int, pair_type: pa.DataType, nearest: bool):
-    links = nearest_links if nearest else spanning_links
-
+def _linked(radius: int, pair_type: pa.DataType):
     def run(batches):
         group, tree_side, query_side = None, [], []
 
         def flush():
             if len(tree_side) + len(query_side) > 1 and tree_side:
-                return list(links(tree_side, query_side if group[2] != group[3] else None, radius))
+                return list(spanning_links(tree_side, query_side if group[2] != group[3] else None, radius))
             return []
 
         for batch in batches:
@@ -186,25 +190,39 @@ def near_links(prints: DataFrame, radius: int = 3, shard_rows: int = 2048) -> Da
     blocks = radius + 1
     width = -(-64 // blocks)
     bits = [F.shiftrightunsigned("fp", k * width).bitwiseAND(F.lit((1 << min(width, 64 - k * width)) - 1)) for k in range(blocks)]
-    return _bucket_links(prints.select("fp", "rep", F.posexplode(F.array(*bits)).alias("block", "bits")), radius, shard_rows, False)
+    dealt = prints.select("fp", "rep", F.posexplode(F.array(*bits)).alias("block", "bits"))
+    rows = _shard_pairs(dealt, shard_rows)
+    return rows.mapInArrow(_linked(radius, _arrow(dealt, "rep")), _pair(dealt.schema["rep"].dataType))
+
+
+def _arrow(df: DataFrame, name: str) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return to_arrow_type(df.schema[name].dataType)
+
 
+def _pair(kind: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField("src", kind), T.StructField("dst", kind)])
 
-def _bucket_links(dealt: DataFrame, radius: int, shard_rows: int, nearest: bool) -> DataFrame:
-    """Links within each bucket (block, bits) of rows (fp, rep); large buckets in pairs of shards."""
-    large = dealt.groupBy("block", "bits").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard_rows)
-    large = large.select(F.col("block").alias("lb"), F.col("bits").alias("lv"), F.ceil(F.col("n") / shard_rows).cast("int").alias("shards"))
+
+def _shard_pairs(dealt: DataFrame, shard_rows: int, counted: DataFrame | None = None, shard_bytes: int | None = None) -> DataFrame:
+    """Rows (block, bits, fp, rep, more) by bucket (block, bits), large buckets in pairs (i, j) of shards; sorted by group
+    and side. With shard_bytes, ``counted`` has the number of hashes n of the sets in the buckets.
+    """
+    more = [c for c in dealt.columns if c not in ("block", "bits", "fp", "rep")]
+    shares = F.count(F.lit(1)) / shard_rows
+    if shard_bytes:
+        shares = F.greatest(shares, F.sum("n") * 8 / shard_bytes)
+    large = (dealt if counted is None else counted).groupBy("block", "bits").agg(F.ceil(shares).cast("int").alias("shards")).where("shards > 1")
+    large = large.select(F.col("block").alias("lb"), F.col("bits").alias("lv"), "shards")
     placed = dealt.join(large, (F.col("block") == F.col("lb")) & (F.col("bits") == F.col("lv")), "left").withColumn("shards", F.coalesce("shards", F.lit(1)))
     placed = placed.withColumn("own", F.pmod(F.xxhash64("fp", "rep"), F.col("shards")).cast("int"))
     to = F.transform(
         F.sequence(F.lit(0), F.col("shards") - 1),
         lambda s: F.struct(F.least(s, F.col("own")).alias("i"), F.greatest(s, F.col("own")).alias("j"), F.when(F.col("own") <= s, 0).otherwise(1).alias("side")),
     )
-    rows = placed.select("block", "bits", "fp", "rep", F.explode(to).alias("to")).select("block", "bits", "to.i", "to.j", "to.side", "fp", "rep")
-    rows = rows.repartition("block", "bits", "i", "j").sortWithinPartitions("block", "bits", "i", "j", "side", "rep")
-    kind = dealt.schema["rep"].dataType
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return rows.mapInArrow(_linked(radius, to_arrow_type(kind), nearest), T.StructType([T.StructField("src", kind), T.StructField("dst", kind)]))
+    rows = placed.select("block", "bits", "fp", "rep", *more, F.explode(to).alias("to")).select("block", "bits", "to.i", "to.j", "to.side", "fp", "rep", *more)
+    return rows.repartition("block", "bits", "i", "j").sortWithinPartitions("block", "bits", "i", "j", "side", "rep")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, shard_rows: int = 2048) -> DataFrame:
@@ -242,33 +260,75 @@ def _sets(size: int):
     def run(batches):
         for batch in batches:
             found = [np.unique(shingle_hashes(bytes(v or b""), size)).astype("<u8").tobytes() for v in utf8_views(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "set"])
+            wholes = [xxhash.xxh3_128_digest(x) for x in found]
+            yield pa.RecordBatch.from_arrays([pa.array(wholes, pa.binary()), pa.array(found, pa.binary())], names=["whole", "set"])
 
     return run
 
 
-def _verified(similarity: float):
+def _groups(batches):
+    """(i == j, rows of side 0, rows of side 1) of each run of equal (block, bits, i, j), rows without these columns."""
+    group, sides = None, ([], [])
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[:4] != group:
+                if group is not None:
+                    yield group, *sides
+                group, sides = row[:4], ([], [])
+            sides[row[4]].append(row[5:])
+    if group is not None:
+        yield group, *sides
+
+
+def _in_reach(similarity: float, radius: int, pair_type: pa.DataType):
+    """The rows that another row of their bucket may be linked to: within the radius, and of a size that allows it."""
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pair_type, pa.int64(), pa.binary()]
+
     def run(batches):
-        for batch in batches:
-            keep = []
-            for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(a.as_py(), "<u8"), np.frombuffer(b.as_py(), "<u8")
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["src", "dst"]).filter(mask)
+        for (block, bits, i, j), tree, query in _groups(batches):
+            if not tree or len(tree) + len(query) < 2:
+                continue
+            a, b = tree, query if i != j else tree
+            (fa, na), (fb, nb) = ((np.array([r[0] for r in x], np.int64), np.array([r[2] for r in x], np.int64)) for x in (a, b))
+            hit_a, hit_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
+            for at in range(0, len(b), 256):
+                part = slice(at, at + 256)
+                near = np.bitwise_count((fb[part, None] ^ fa[None, :]).view(np.uint64)) <= radius
+                near &= np.minimum(nb[part, None], na) >= similarity * np.maximum(nb[part, None], na) - 1e-6
+                if i == j:
+                    near[np.arange(len(near)), np.arange(at, at + len(near))] = False
+                hit_a |= near.any(axis=0)
+                hit_b[part] = near.any(axis=1)
+            found = [r for r, x in zip(a, hit_a, strict=True) if x]
+            if i != j:
+                found += [r for r, x in zip(b, hit_b, strict=True) if x]
+            if found:
+                columns = [[block] * len(found), [bits] * len(found), *zip(*found, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["block", "bits", "fp", "rep", "n", "whole"])
+
+    return run
+
+
+def _verified(similarity: float, pair_type: pa.DataType):
+    def run(batches):
+        for (_, _, i, j), tree, query in _groups(batches):
+            tree, query = ([(one, np.frombuffer(s, "<u8")) for _, one, s in x] for x in (tree, query))
+            out = list(exact_links(tree, query if i != j else None, similarity))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pair_type), pa.array([y for _, y in out], pair_type)], names=["src", "dst"])
 
     return run
 
 
-def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 20, keys: int = 8, shard_rows: int = 2048) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 20, keys: int = 8, shard_rows: int = 2048, shard_bytes: int = 8 << 20) -> DataFrame:
     """id_col, component_id: groups of texts whose sets of shingles have a Jaccard similarity of at least ``similarity``.
 
     Texts of equal sets are one vertex. A fingerprint of the set in 64 bits differs by about 10 bits at a similarity of
     0.8, too many for blocks of equal bits, so shards are made of the texts that share one of their ``keys`` least shingle
-    hashes (two texts of similarity s share none with a chance of about (1 - s) ** keys, 3e-6 at 0.8). Each shard's
-    BK-tree gives the candidates within ``radius`` bits (3.6 deviations above the mean at 0.8), and the candidates'
-    Jaccard similarity is computed from their whole sets.
+    hashes (two texts of similarity s share none with a chance of about (1 - s) ** keys, 3e-6 at 0.8). A text with another
+    one within ``radius`` bits in its shard (3.6 deviations above the mean at 0.8) goes there again with its whole set, in
+    shards of at most about ``shard_bytes``; the sets of all pairs there that aren't in one group yet are compared, and
+    only pairs that pass make groups. The fingerprints alone merge nothing.
     """
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType
@@ -276,15 +336,15 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     texts = docs.where(F.col(id_col).isNotNull()).select(id_col, text_col)
     shape = T.StructType([ident, T.StructField("fp", T.LongType()), T.StructField("n", T.LongType()), T.StructField("whole", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
     rows = materialize(texts.mapInArrow(_set_rows(shingle, keys), shape), "shinglesets")
-    classes = materialize(rows.groupBy("whole").agg(F.min("id").alias("rep"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "setclasses")
-    dealt = classes.select("fp", "rep", F.explode("keys").alias("bits")).withColumn("block", F.lit(0))
-    links = _bucket_links(dealt, radius, shard_rows, True).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
-    links = materialize(links, "candidates")
-    ends = links.select(F.explode(F.array("src", "dst")).alias("end_")).distinct()
+    classes = materialize(rows.groupBy("whole").agg(F.min("id").alias("rep"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys")), "setclasses")
+    dealt = classes.select(F.lit(0).alias("block"), F.explode("keys").alias("bits"), "fp", "rep", "n", "whole")
+    arrow = _arrow(dealt, "rep")
+    reach = materialize(_shard_pairs(dealt, shard_rows).mapInArrow(_in_reach(similarity, radius, arrow), dealt.schema).distinct(), "reach")
+    ends = reach.select(F.col("rep").alias("end_")).distinct()
     chosen = texts.join(ends, F.col(id_col) == F.col("end_"), "left_semi")
-    sets = materialize(chosen.mapInArrow(_sets(shingle), T.StructType([ident, T.StructField("set", T.BinaryType())])).dropDuplicates(["id"]), "sets")
-    pairs = links.join(sets.withColumnsRenamed({"id": "a_", "set": "sa"}), F.col("src") == F.col("a_")).join(sets.withColumnsRenamed({"id": "b_", "set": "sb"}), F.col("dst") == F.col("b_")).select("src", "dst", "sa", "sb")
-    parts = connected_components(pairs.mapInArrow(_verified(similarity), T.StructType([T.StructField("src", kind), T.StructField("dst", kind)])))
+    sets = chosen.mapInArrow(_sets(shingle), T.StructType([T.StructField("whole", T.BinaryType()), T.StructField("set", T.BinaryType())])).dropDuplicates(["whole"])
+    held = reach.join(sets.hint("merge"), "whole").select("block", "bits", "fp", "rep", "set")
+    parts = connected_components(_shard_pairs(held, shard_rows, reach, shard_bytes).mapInArrow(_verified(similarity, arrow), _pair(kind)))
     known = classes.join(parts, F.col("rep") == F.col("node"), "left").select(F.col("whole").alias("w_"), F.coalesce("component", "rep").alias("component_id"))
     return rows.join(known, F.col("whole") == F.col("w_")).select(F.col("id").alias(id_col), "component_id")
 

@@ -1,5 +1,7 @@
 """The pipeline's stages against brute force, on awkward rows and as a whole."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,3 +72,17 @@ def test_every_operator_is_registered_once():
     names = list(queries.QUERIES)
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
     assert set(queries.SQL) <= set(names)
+
+
+def test_copies_around_the_limit_lose_no_link(spark):
+    rng = random.Random(7)
+    rows = []
+    for k in range(400):
+        words = [f"base{i}" for i in range(300)]
+        for at in rng.sample(range(300), rng.randint(3, 6)):
+            words[at] = f"copy{k}at{at}"
+        rows.append((k, " ".join(words)))
+    want = jaccard_groups(rows)
+    assert 20 < len(set(want.values())) < 380
+    got = {r.doc_id: r.component_id for r in near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
