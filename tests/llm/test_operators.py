@@ -264,6 +264,20 @@ def test_probabilities_sum_to_one(sample):
     assert (total < 1.001).all() and total.max() > 0.9
 
 
+def test_language_tables_beyond_the_bound_keep_every_key(spark, sample):
+    train = sample.select("text", "lang")
+    docs = sample.select("doc_id", "text").where("doc_id is not null").unionByName(spark.createDataFrame([(-1, "zqxj vkwq zzxq qjxz wvkq zxqj " * 30)], "doc_id long, text string"))
+
+    def found(**kw):
+        return {r.doc_id: r for r in language_id.predict_languages(docs, language_id.fit_language_models(train, **kw)).collect()}
+
+    whole, cut = found(), found(max_entries=4096)
+    assert set(whole) == set(cut) and cut[-1].rejected
+    for i, r in whole.items():
+        assert (r.lang_pred, r.rejected) == (cut[i].lang_pred, cut[i].rejected)
+        assert r.bits == pytest.approx(cut[i].bits, abs=0.01)
+
+
 # 7. BPE
 
 
