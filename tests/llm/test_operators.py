@@ -278,6 +278,22 @@ def test_language_tables_beyond_the_bound_keep_every_key(spark, sample):
         assert r.bits == pytest.approx(cut[i].bits, abs=0.01)
 
 
+def test_language_limits_with_bad_labels_and_rare_languages(spark, sample):
+    rows = [(r.text, r.lang) for r in sample.where("lang is not null and length(text) > 100").select("text", "lang").collect()]
+    bad = [("zqxj vkwq zzxq qjxz wvkq zxqj " * 30, "fr"), ("qqzx jjvk xwzz " * 40, "fr")]
+    rare = [(f"mizu kaze hoshi {'nami ' * k} yama", "xx") for k in range(1, 6)]
+
+    def limits(extra, **kw):
+        return language_id.fit_language_models(spark.createDataFrame(rows + extra, "text string, lang string"), **kw).limits
+
+    def bits(limit, n=900):
+        return limit[0] + 6 * limit[1] / n**0.5 + limit[2]
+
+    assert bits(limits(rare + bad)["fr"]) < bits(limits(rare)["fr"]) + 0.3
+    assert all(np.isfinite(x).all() for x in limits(rare, calibration_rows=25).values())
+    assert np.isfinite(limits(rare[:1] * 3, calibration_rows=5)["xx"]).all()
+
+
 # 7. BPE
 
 
