@@ -22,10 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugewright.llm.common import materialize, small_batches, utf8_views
+from gaugewright.llm.common import discard, materialize, small_batches, utf8_views
 from gaugewright.llm.components import UnionFind, connected_components
 
 SEED = 42
+#: Fingerprints travel as signed 64-bit integers; distances are taken between the unsigned ones.
+UNSIGNED = (1 << 64) - 1
 
 
 def shingle_hashes(raw: bytes, size: int) -> np.ndarray:
@@ -59,7 +61,7 @@ def _majority(h: np.ndarray) -> int:
 
 
 class BKTree:
-    """A Burkhard-Keller tree of 64-bit integers under Hamming distance."""
+    """A Burkhard-Keller tree of 64-bit integers, signed or not, under Hamming distance."""
 
     def __init__(self) -> None:
         self.values: list[int] = []
@@ -67,6 +69,7 @@ class BKTree:
 
     def add(self, value: int) -> int:
         new, at = len(self.values), 0
+        value &= UNSIGNED
         if new:
             while True:
                 d = (self.values[at] ^ value).bit_count()
@@ -84,6 +87,7 @@ class BKTree:
         if not self.values:
             return
         values, children, stack = self.values, self.children, [0]
+        value &= UNSIGNED
         while stack:
             at = stack.pop()
             d = (values[at] ^ value).bit_count()
@@ -280,8 +284,8 @@ def _groups(batches):
         yield group, *sides
 
 
-def _in_reach(similarity: float, radius: int, pair_type: pa.DataType):
-    """The rows that another row of their bucket may be linked to: within the radius, and of a size that allows it."""
+def _in_reach(similarity: float, radius: int, small: int, pair_type: pa.DataType):
+    """The rows that another row of their bucket may be linked to: within the radius or both small, and of sizes that allow it."""
     kinds = [pa.int32(), pa.int64(), pa.int64(), pair_type, pa.int64(), pa.binary()]
 
     def run(batches):
@@ -294,6 +298,7 @@ def _in_reach(similarity: float, radius: int, pair_type: pa.DataType):
             for at in range(0, len(b), 256):
                 part = slice(at, at + 256)
                 near = np.bitwise_count((fb[part, None] ^ fa[None, :]).view(np.uint64)) <= radius
+                near |= (nb[part, None] <= small) & (na <= small)
                 near &= np.minimum(nb[part, None], na) >= similarity * np.maximum(nb[part, None], na) - 1e-6
                 if i == j:
                     near[np.arange(len(near)), np.arange(at, at + len(near))] = False
@@ -320,15 +325,16 @@ def _verified(similarity: float, pair_type: pa.DataType):
     return run
 
 
-def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 20, keys: int = 8, shard_rows: int = 2048, shard_bytes: int = 8 << 20) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 24, small: int = 32, keys: int = 8, shard_rows: int = 2048, shard_bytes: int = 8 << 20) -> DataFrame:
     """id_col, component_id: groups of texts whose sets of shingles have a Jaccard similarity of at least ``similarity``.
 
     Texts of equal sets are one vertex. A fingerprint of the set in 64 bits differs by about 10 bits at a similarity of
     0.8, too many for blocks of equal bits, so shards are made of the texts that share one of their ``keys`` least shingle
     hashes (two texts of similarity s share none with a chance of about (1 - s) ** keys, 3e-6 at 0.8). A text with another
-    one within ``radius`` bits in its shard (3.6 deviations above the mean at 0.8) goes there again with its whole set, in
-    shards of at most about ``shard_bytes``; the sets of all pairs there that aren't in one group yet are compared, and
-    only pairs that pass make groups. The fingerprints alone merge nothing.
+    one within ``radius`` bits in its shard (5 deviations above the mean at 0.8: 1e-7 of the pairs lie beyond) goes there
+    again with its whole set, and so does a set of at most ``small`` hashes with another such one, as bits say less of
+    these. Shards have at most about ``shard_bytes``; the sets of all pairs there that aren't in one group yet are compared,
+    and only pairs that pass make groups. The fingerprints alone merge nothing.
     """
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType
@@ -339,12 +345,13 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     classes = materialize(rows.groupBy("whole").agg(F.min("id").alias("rep"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys")), "setclasses")
     dealt = classes.select(F.lit(0).alias("block"), F.explode("keys").alias("bits"), "fp", "rep", "n", "whole")
     arrow = _arrow(dealt, "rep")
-    reach = materialize(_shard_pairs(dealt, shard_rows).mapInArrow(_in_reach(similarity, radius, arrow), dealt.schema).distinct(), "reach")
+    reach = materialize(_shard_pairs(dealt, shard_rows).mapInArrow(_in_reach(similarity, radius, small, arrow), dealt.schema).distinct(), "reach")
     ends = reach.select(F.col("rep").alias("end_")).distinct()
     chosen = texts.join(ends, F.col(id_col) == F.col("end_"), "left_semi")
     sets = chosen.mapInArrow(_sets(shingle), T.StructType([T.StructField("whole", T.BinaryType()), T.StructField("set", T.BinaryType())])).dropDuplicates(["whole"])
     held = reach.join(sets.hint("merge"), "whole").select("block", "bits", "fp", "rep", "set")
     parts = connected_components(_shard_pairs(held, shard_rows, reach, shard_bytes).mapInArrow(_verified(similarity, arrow), _pair(kind)))
+    discard(reach)
     known = classes.join(parts, F.col("rep") == F.col("node"), "left").select(F.col("whole").alias("w_"), F.coalesce("component", "rep").alias("component_id"))
     return rows.join(known, F.col("whole") == F.col("w_")).select(F.col("id").alias(id_col), "component_id")
 
