@@ -4,8 +4,9 @@ Equal vectors are one vertex with a count. Centres come from a sample of at most
 of the least hash); every vector then has a home cell, that of the centre of largest cosine. A vector also visits
 another cell where it lies so near the plane between the two centres that a vector beyond may be within the angle: if x
 is in cell c, y in cell d and their angle is at most a, then x (c - d) / |c - d| <= sin a. Of two cells the one of
-smaller number visits, so each pair meets once and none is lost, whatever the centres are: the result is exact. How many
-visits there are depends on the data's structure; without any, every block of a cell meets every vector.
+smaller number visits, so each pair meets once and none is lost, whatever the centres are: the result is exact. There
+are about sqrt(n) / 4 cells, but at most ``max_cells``. How many visits there are depends on the data's structure; without any, every
+block of a cell meets every vector.
 
 Cells of more than ``block_rows`` vectors are cut into blocks; a block's vectors are multiplied with each other, with
 those of the cell's later blocks and with the visitors, in double precision. Tasks emit a count for each vector with
@@ -201,9 +202,9 @@ def near_embeddings(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     keyed = rows.where("fine").select("id", F.xxhash64("v").alias("k1"), F.xxhash64(F.lit(1), "v").alias("k2"), "v")
     classes = materialize(keyed.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("v").alias("v")), "vectors")
     total = classes.count()
-    k = min(max_cells, -(-total // block_rows))
+    k = min(max_cells, max(-(-total // block_rows), math.isqrt(total) // 4, 2))
     centres: dict[int, np.ndarray] = {}
-    if k > 1:
+    if total:
         sample = classes.orderBy("k1", "k2").limit(sample_rows).select("v").toArrow()
         for dim in np.unique(np.asarray(sample["v"].combine_chunks().value_lengths())) if sample.num_rows else []:
             lists = sample["v"].combine_chunks()
