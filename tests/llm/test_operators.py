@@ -1,14 +1,12 @@
 """Every operator against brute force, and on nulls, empties, repeated rows, extra columns and empty tables."""
 
 import collections
-import hashlib
 import re
 
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gaugewright.llm import bpe, chat_format, decontam, embedding_dedup, language_id, line_dedup, quality, simhash, suffix_dedup, warc
 from gaugewright.llm.components import connected_components
@@ -186,8 +184,9 @@ def test_simhash_equals_brute_force(awkward, empty, sample):
 @pytest.mark.parametrize("shard_rows", [3, 2048])
 def test_near_links_span_all_close_pairs(spark, shard_rows):
     rng = np.random.default_rng(3)
-    base = [int(x) for x in rng.integers(-(2**62), 2**62, 12)]
-    fps = sorted({b ^ (1 << int(i)) ^ (1 << int(j)) for b in base for i, j in rng.integers(0, 63, (25, 2))})
+    base = [int(x) for x in rng.integers(-(2**63), 2**63, 12)] + [0, -(1 << 48), -1]
+    signed = lambda x: (x & (1 << 64) - 1) - (1 << 64 if x >> 63 & 1 else 0)
+    fps = sorted({signed(b ^ (1 << int(i)) ^ (1 << int(j))) for b in base for i, j in [*rng.integers(0, 64, (25, 2)), (63, 0), (63, 63), (63, 62)]})
     values = dict(enumerate(fps))
     links = simhash.near_links(spark.createDataFrame([(f, i) for i, f in values.items()], "fp long, rep long"), 3, shard_rows)
     parts = {r.node: r.component for r in connected_components(links).collect()}
@@ -196,14 +195,41 @@ def test_near_links_span_all_close_pairs(spark, shard_rows):
     assert all(((values[r.src] ^ values[r.dst]) & (1 << 64) - 1).bit_count() <= 3 for r in links.collect())
 
 
-def test_bk_tree_finds_all_within_radius():
+@pytest.mark.parametrize("shift", [0, 47, 48])
+def test_bk_tree_finds_all_within_radius(shift):
     rng = np.random.default_rng(1)
-    values = [int(x) for x in rng.integers(0, 1 << 16, 300)]
+    values = (rng.integers(0, 1 << 16, 300).astype(np.uint64) << np.uint64(shift)).view(np.int64).tolist()
     tree = simhash.BKTree()
     for v in values:
         tree.add(v)
     for q in values[:40]:
-        assert sorted(tree.within(q, 3)) == [i for i, v in enumerate(values) if (v ^ q).bit_count() <= 3]
+        assert sorted(tree.within(q, 3)) == [i for i, v in enumerate(values) if ((v ^ q) & (1 << 64) - 1).bit_count() <= 3]
+
+
+def test_links_across_the_sign_bit():
+    assert list(simhash.spanning_links([(0x682600B09140C338, 1), (0xE82600B09150C138 - (1 << 64), 2)], None, 3)) == [(2, 1)]
+    assert list(simhash.spanning_links([(0, 1), (-(1 << 48), 2)], None, 3)) == []
+
+
+def test_simhash_components_at_a_tenth(spark):
+    """All fingerprints of a larger table, compared in blocks of a matrix."""
+    df = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    got = {r.doc_id: (r.fp, r.component_id) for r in simhash.simhash_components(df).collect()}
+    ids = np.array(sorted(got))
+    fps = np.array([got[i][0] for i in ids.tolist()], np.int64).view(np.uint64)
+    up = list(range(len(ids)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for at in range(0, len(ids), 500):
+        a, b = np.nonzero(np.bitwise_count(fps[at : at + 500, None] ^ fps[None, :]) <= 3)
+        for i, j in zip((a + at).tolist(), b.tolist(), strict=True):
+            x, y = find(i), find(j)
+            up[max(x, y)] = min(x, y)
+    assert {i: got[i][1] for i in ids.tolist()} == {int(ids[k]): int(ids[find(k)]) for k in range(len(ids))}
 
 
 def test_components_of_a_chain(spark):
@@ -399,6 +425,27 @@ def test_decontamination_finds_copies_and_edits(spark):
     assert decontam.find_contamination(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_short_items(spark):
+    """Items of 3 to 12 words with every number of edits, and items in a script without blanks, against full alignment."""
+    rng = np.random.default_rng(4)
+    vocab = [f"v{i}" for i in range(300)]
+    items = [(m, " ".join(rng.choice(vocab, m))) for m in range(3, 13)]
+    rows = []
+    for m, t in items:
+        for k in range(30):
+            w = t.split()
+            for _ in range(k % 4):
+                at = int(rng.integers(0, len(w)))
+                w[at : at + 1] = ([], ["xx"], [w[at], "yy"])[int(rng.integers(0, 3))]
+            rows.append((100 * m + k, " ".join([*rng.choice(vocab, 6), *w, *rng.choice(vocab, 6)])))
+    items += [(50, "red green blue white black"), (51, "gold iron tin lead"), (60, "\u4eca\u65e5\u306f\u5929\u6c17\u304c\u3044\u3044"), (61, "\u201cquoted words here\u201d")]
+    rows += [(1, "see red green pink white black now"), (2, "a gold iron zinc tin lead b"), (3, "x\u3002\u4eca\u65e5\u306f\u5929\u6c17\u304c\u3044\u3044\u3002y"), (4, "quoted words here"), (5, "\u4eca\u65e5\u306f\u96e8")]
+    want = {(i, k) for i, t in rows for k, x in items if brute_align(decontam.words_of(x.encode()), decontam.words_of(t.encode())) >= 0.8}
+    assert {(1, 50), (2, 51), (3, 60), (4, 61)} <= want and (5, 60) not in want
+    found = decontam.find_contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == want
+
+
 # 10. chat formatting
 
 
@@ -423,5 +470,17 @@ def test_chat_round_trip(spark):
 def test_chat_formatting_is_native(spark, sf):
     plan = chat_format.op10_chat_format(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
-    assert hashlib.sha256(b"").hexdigest()
-    assert isinstance(T.StringType(), T.StringType)
+    assert "first_bad_turn" in plan
+
+
+def test_chat_query_carries_the_verdict(spark, sf):
+    rows = chat_format.op10_chat_format(spark, sf).collect()
+    turns = {}
+    for r in spark.read.parquet(f"{sf}/conversations.parquet").collect():
+        turns.setdefault(r.conv_id, []).append((r.turn, r.role or "", r.text or ""))
+    turns[-1] = [(0, "user", ""), (1, "assistant", "")]
+    moves = {("begin", "system"), ("begin", "user"), ("system", "user"), ("user", "assistant"), ("assistant", "user"), ("assistant", "tool"), ("tool", "assistant")}
+    for r in rows:
+        roles = ["begin", *[x[1] for x in sorted(turns[r.conv_id])]]
+        bad = next((i for i, m in enumerate(zip(roles, roles[1:], strict=False)) if m not in moves), None)
+        assert (r.valid, r.first_bad_turn) == (bad is None and roles[-1] == "assistant", bad)
