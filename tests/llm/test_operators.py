@@ -50,28 +50,118 @@ def brute_repeats(rows, length):
     return sorted(out, key=repr)
 
 
+def brute_passages(rows, shape):
+    """Which (id, bytes) hold a passage that another one holds."""
+    held = collections.defaultdict(set)
+    for key, b in rows:
+        spans = [m.span() for m in re.finditer(rb"[^ \t-\r]+", b)]
+        for i, (x, _) in enumerate(spans):
+            y = next((e for _, e in spans[i + shape.words - 1 :] if e - x >= shape.least), None)
+            if y is not None and y - x <= shape.most:
+                held[b[x:y]].add((key, b))
+    return {d for docs in held.values() if len(docs) > 1 for d in docs}
+
+
 def repeats(docs, **kw):
     out = suffix_dedup.remove_repeats(docs, suffix_dedup.repeat_spans(docs, **kw))
-    return sorted(((r[0], r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in out.collect()), key=repr)
+    return sorted(((r[0], r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept), r.elsewhere) for r in out.collect()), key=repr)
 
 
-@pytest.mark.parametrize("group_rows", [1, 16384])
-def test_suffix_dedup_equals_brute_force(spark, group_rows):
-    rng = np.random.default_rng(group_rows)
+def wanted_repeats(rows, shape):
+    shared = brute_passages(rows, shape)
+    texts = dict(rows)
+    assert len(texts) == len({k for k, _ in rows})
+    return sorted(((*r, (r[0], texts[r[0]]) in shared) for r in brute_repeats(rows, shape.length)), key=repr)
+
+
+SMALL = suffix_dedup.Shape(length=40, seed=8, least=20, words=4)
+
+
+def repeat_rows(seed):
+    rng = np.random.default_rng(seed)
     parts = ["".join(rng.choice(list("abcd éx"), 60)) for _ in range(12)]
+    short = [" ".join("".join(rng.choice(list("pqrs"), rng.integers(2, 9))) for _ in range(5)) for _ in range(8)]
+    filler = lambda: "".join(rng.choice(list("ghij klmn\n"), rng.integers(3, 30)))
     rows = [(i, "".join(parts[k] for k in rng.integers(0, 12, rng.integers(0, 9)))) for i in range(60)]
     rows += [(60, "ab" * 200), (61, "a" * 300), (62, None), (63, ""), (64, rows[0][1]), (64, rows[0][1]), (None, rows[1][1] + "q")]
+    gap = lambda: str(rng.choice([" ", "\n", "\t", "w", ""]))
+    rows += [(100 + i, filler() + gap() + short[int(rng.integers(0, 8))] + gap() + filler() + (gap() + short[int(rng.integers(0, 8))] if i % 3 else "")) for i in range(60)]
+    return rows + [(200, "own words only here " + short[0] + " x " + short[0]), (201, "one two three four five six seven"), (202, "one two three four five six seven")]
+
+
+@pytest.mark.parametrize("group_rows", [1, 16384])
+@pytest.mark.parametrize("seed", [1, 2])
+def test_suffix_dedup_equals_brute_force(spark, group_rows, seed):
+    rows = repeat_rows(seed)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    want = brute_repeats([(k, (t or "").encode()) for k, t in rows], 40)
-    assert repeats(docs, length=40, seed=20, group_rows=group_rows) == want
+    got = repeats(docs, shape=SMALL, group_rows=group_rows)
+    assert got == wanted_repeats([(k, (t or "").encode()) for k, t in rows], SMALL)
+    assert 10 < sum(r[5] for r in got) < len(got) - 10 and any(r[5] and not r[2] for r in got)
 
 
 def test_suffix_dedup_on_awkward_and_empty(awkward, empty):
     got = repeats(awkward)
-    assert got == brute_repeats([(r[0], (r[1] or "").encode()) for r in AWKWARD], 400)
+    assert [r[:5] for r in got] == brute_repeats([(r[0], (r[1] or "").encode()) for r in AWKWARD], 400)
+    assert {r[0] for r in got if r[5]} == {7, 8}
     assert repeats(empty) == []
 
 
+def test_shared_passages_at_a_hundredth(spark):
+    """Production parameters on a whole table."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
+    assert repeats(docs) == wanted_repeats(rows, suffix_dedup.Shape())
+
+
+def brute_maximal(texts, length):
+    """{string: {(text, from)}} of the maximal repeats."""
+    found = {}
+    for size in range(length, max(map(len, texts)) + 1):
+        at = collections.defaultdict(set)
+        for i, t in enumerate(texts):
+            for k in range(len(t) - size + 1):
+                at[t[k : k + size]].add((i, k))
+        if not any(len(v) > 1 for v in at.values()):
+            break
+        for w, where in at.items():
+            if len(where) > 1:
+                lefts = {texts[i][k - 1] if k else (i, k) for i, k in where}
+                rights = {texts[i][k + size] if k + size < len(texts[i]) else (i, k) for i, k in where}
+                if len(lefts) > 1 and len(rights) > 1:
+                    found[w] = where
+    return found
+
+
+def test_maximal_repeat_groups_with_all_occurrences(spark, empty):
+    rng = np.random.default_rng(6)
+    parts = ["".join(rng.choice(list("abcdefgh"), 14)) for _ in range(6)]
+    texts = ["".join(rng.choice(list("uvwxyz"), 3).tolist() + [parts[k] for k in rng.integers(0, 6, 2)] + rng.choice(list("uvwxyz"), 3).tolist()) for _ in range(40)] + [parts[0] + parts[1]] * 2
+    shape = suffix_dedup.Shape(length=40, seed=4, least=12)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    groups = collections.defaultdict(set)
+    size = {}
+    for r in suffix_dedup.repeat_groups(docs, shape=suffix_dedup.Shape(length=12, seed=4, least=12)).collect():
+        groups[bytes(r["group"])].add((r["id"], r["from"]))
+        size[bytes(r["group"])] = r["bytes"]
+    short = {w: where for w, where in brute_maximal(texts, 12).items() if len(w) <= 12}
+    for w, where in short.items():
+        assert where in groups.values(), w
+    for g, where in groups.items():
+        strings = {texts[i][k : k + size[g]] for i, k in where}
+        assert len(strings) == 1
+        w = strings.pop()
+        assert where == {(i, k) for i, t in enumerate(texts) for k in range(len(t) - len(w) + 1) if t.startswith(w, k)}
+    assert shape.before == 36 and suffix_dedup.repeat_groups(empty).count() == 0
+
+
+def test_maximal_repeats_are_diverse_on_both_sides():
+    texts = ["xabcANCHORdefp", "yabcANCHORdefq", "zbcANCHORdefr", "zbcANCHORdeg", "abcANCHORd"]
+    at = sorted((t[t.index("ANCHOR") :].encode(), t[: t.index("ANCHOR")][::-1].encode()) for t in texts)
+    got = {(left, right, len(m)) for left, right, m in suffix_dedup.maximal_repeats([r for r, _ in at], [x for _, x in at], 8, 6)}
+    want = {(w.index("ANCHOR"), len(w) - w.index("ANCHOR"), len(where)) for w, where in brute_maximal(texts, 8).items() if "ANCHOR" in w}
+    assert got == want
+
+
 def test_interval_tree_emits_children_before_parents():
     assert list(suffix_dedup.lcp_intervals([0, 3, 5, 2, 0, 4], 0)) == [(5, 1, 2), (3, 0, 2), (2, 0, 3), (4, 4, 5)]
 
