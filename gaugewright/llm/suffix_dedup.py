@@ -15,7 +15,9 @@ at anchors are grouped by the anchor's first ``seed`` bytes: the corpus' suffix
    left with the best of all others. A member is covered from its longest left to its longest right agreement among those
    of ``length`` bytes together. ``maximal_repeats`` gives the groups themselves: runs of the sorted left extensions whose
    members' extensions are diverse on both sides, with all occurrences.
-4. Prefixes with more than ``group_rows`` classes are scanned at full depth instead: their strings of ``length`` bytes and
+4. Anchors are never taken inside runs of a period of at most ``PERIOD`` bytes, where all of them would be alike: a string
+   that isn't all run holds another anchor. What lies in runs is counted by hash as in 5.
+5. Prefixes with more than ``group_rows`` classes are scanned at full depth instead: their strings of ``length`` bytes and
    their passages are counted by 128-bit hash, so that no task holds such a group. The result is the same.
 
 A passage is the shortest run of whole words, from a word on, that has at least ``words`` words and ``least`` bytes, if it
@@ -48,6 +50,7 @@ from gaugewright.llm.common import discard, materialize, small_batches, utf8_vie
 PART = 1 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
 MIX = np.uint64(0xD6E8FEB86659FD93)
+PERIOD = 16
 WORD = re.compile(rb"[^ \t-\r]+")
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -105,16 +108,20 @@ def _sliding(values: np.ndarray, width: int, least: bool) -> np.ndarray:
     return f(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def anchors(raw: bytes, least: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the sampled runs of ``seed`` bytes: the least of each ``least - seed + 1`` in a row."""
-    width = least - seed + 1
+def anchors(raw: bytes, least: int, seed: int, periodic: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and hashes of the sampled runs of ``seed`` bytes: the least of each ``least - seed + 1`` in a row, but for
+    those that are ``periodic``.
+    """
+    width, last = least - seed + 1, np.iinfo(np.uint64).max
     data, at, got = np.frombuffer(raw, np.uint8), 0, []
     while at + least <= len(data):
         part = data[at : at + PART + least - 1]
         h = gram_hashes(part, seed)
+        if periodic is not None:
+            h[periodic[at : at + len(h)]] = last
         low = _sliding(h, width, True)
         edge = np.zeros(width - 1, np.uint64)
-        chosen = np.nonzero(_sliding(np.concatenate((edge, low, edge)), width, False) == h)[0]
+        chosen = np.nonzero((_sliding(np.concatenate((edge, low, edge)), width, False) == h) & (h != last))[0]
         got.append((chosen + at, h[chosen]))
         at += PART
     if not got:
@@ -124,6 +131,46 @@ def anchors(raw: bytes, least: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     return where, h[first]
 
 
+def longest_period(seed: int) -> int:
+    """A quarter of a seed at most, so that seeds which overlap in all but one byte have one period."""
+    return max(1, min(PERIOD, seed // 4))
+
+
+def periodic_seeds(data: np.ndarray, seed: int) -> np.ndarray:
+    """Which runs of ``seed`` bytes have a short period."""
+    out = np.zeros(max(0, len(data) - seed + 1), bool)
+    for q in range(1, longest_period(seed) + 1):
+        differs = np.concatenate(([0], np.cumsum(data[:-q] != data[q:])))
+        n = len(out)
+        out |= differs[seed - q : seed - q + n] == differs[:n]
+    return out
+
+
+def any_periodic(data: np.ndarray, where: np.ndarray, seed: int) -> np.ndarray:
+    """Which of the runs of ``seed`` bytes at ``where`` are periodic."""
+    longest = longest_period(seed)
+    head = min(8, seed - longest)
+    near = data[where[:, None] + np.arange(head + longest)]
+    maybe = np.zeros(len(where), bool)
+    for q in range(1, longest + 1):
+        maybe |= (near[:, q] == near[:, 0]) & (near[:, q + head - 1] == near[:, head - 1]) & (near[:, q : q + head] == near[:, :head]).all(axis=1)
+    out, rows = np.zeros(len(where), bool), data[where[maybe][:, None] + np.arange(seed)]
+    for q in range(1, longest + 1):
+        out[maybe] |= (rows[:, :-q] == rows[:, q:]).all(axis=1)
+    return out
+
+
+def runs_of(periodic: np.ndarray, seed: int, least: int) -> list[tuple[int, int]]:
+    """[from, to) of the maximal runs of at least ``least`` bytes whose seeds are all periodic."""
+    edge = np.diff(np.concatenate(([False], periodic, [False])).astype(np.int8))
+    pairs = zip(np.nonzero(edge == 1)[0].tolist(), np.nonzero(edge == -1)[0].tolist(), strict=True)
+    return [(a, b + seed - 1) for a, b in pairs if b + seed - 1 - a >= least]
+
+
+def period_of(run: bytes) -> int:
+    return next(q for q in range(1, PERIOD + 1) if run[q:] == run[:-q])
+
+
 class Passages:
     """The passages of texts that lie one after the other in ``data``, cut at ``ends``."""
 
@@ -149,47 +196,92 @@ class Passages:
         return self.least_end[np.searchsorted(self.starts, a)] <= b
 
 
+def _parts(batch: pa.RecordBatch):
+    """(first row, texts) of a batch in parts of at most 8 MB, or of one text."""
+    views, at = [v or b"" for v in utf8_views(batch.column(2))], 0
+    while at < len(views):
+        end, size = at, 0
+        while end < len(views) and (end == at or size + len(views[end]) <= 8 << 20):
+            size += len(views[end])
+            end += 1
+        yield at, views[at:end]
+        at = end
+
+
 def _anchor_rows(shape: Shape, names: list[str]):
+    """(id, mark, at, head, whole, fits, passage, key) of the anchors; texts with long periodic runs add rows with a key."""
+
     def run(batches):
         for batch in batches:
-            at = 0
-            views = list(utf8_views(batch.column(2)))
-            while at < len(views):
-                end, size = at, 0
-                while end < len(views) and (end == at or size + len(views[end] or b"") <= 8 << 20):
-                    size += len(views[end] or b"")
-                    end += 1
-                yield from part(batch, at, views[at:end])
-                at = end
+            for at, views in _parts(batch):
+                yield from part(batch, at, views)
 
     def part(batch, base, views):
-        rows, places, heads, wholes, spans = [], [], [], [], []
-        ends = np.cumsum([len(v or b"") for v in views])
-        digest = xxhash.xxh3_64_intdigest
-        for i, view in enumerate(views):
-            n = len(view or b"")
-            if n < shape.least:
-                continue
-            where, h = anchors(view, shape.least, shape.seed)
-            a, b = np.maximum(0, where - shape.before), np.minimum(n, where + shape.length)
-            rows.append(np.full(len(where), i + base, np.int64))
-            places.append(where)
-            heads.append(h)
-            wholes.append(np.fromiter((digest(view[x:y], p - x) for x, y, p in zip(a.tolist(), b.tolist(), where.tolist(), strict=True)), np.uint64, len(where)))
-            start = ends[i] - n
+        found = [(i, *anchors(v, shape.least, shape.seed)) for i, v in enumerate(views) if len(v) >= shape.least]
+        if not found:
+            return
+        data = np.frombuffer(b"".join(views), np.uint8)
+        ends = np.cumsum([len(v) for v in views])
+        begins = ends - [len(v) for v in views]
+        flat = np.concatenate([w + begins[i] for i, w, _ in found])
+        owner = np.repeat([i for i, _, _ in found], [len(w) for _, w, _ in found])
+        odd = set(owner[any_periodic(data, flat, shape.seed)].tolist())
+        told = []
+        for k, (i, _, _) in enumerate(found):
+            if i in odd:
+                text = data[begins[i] : ends[i]]
+                periodic = periodic_seeds(text, shape.seed)
+                found[k] = (i, *anchors(views[i], shape.least, shape.seed, periodic))
+                told += [(i + base, *x) for x in _run_rows(bytes(views[i]), runs_of(periodic, shape.seed, shape.least), shape)]
+        rows = np.concatenate([np.full(len(w), i + base, np.int64) for i, w, _ in found])
+        where, heads = np.concatenate([w for _, w, _ in found]), np.concatenate([h for _, _, h in found])
+        digest, wholes, spans = xxhash.xxh3_64_intdigest, [], []
+        for i, w, _ in found:
+            view, n = views[i], len(views[i])
+            a, b = np.maximum(0, w - shape.before), np.minimum(n, w + shape.length)
+            wholes.append(np.fromiter((digest(view[x:y], p - x) for x, y, p in zip(a.tolist(), b.tolist(), w.tolist(), strict=True)), np.uint64, len(w)))
             # Words at an end of the surroundings are whole in all members only if the text ends there in all of them.
-            spans.append((a + start + (where - a == shape.before), b + start - (b - where == shape.length), b - a >= shape.length))
-        if rows:
-            a, b, fits = (np.concatenate(x) for x in zip(*spans, strict=True))
-            data = np.frombuffer(b"".join(v or b"" for v in views), np.uint8)
-            held = Passages(data, ends, shape).within(a, b)
-            take = pa.array(np.concatenate(rows))
-            columns = [np.concatenate(places).astype(np.int32), np.concatenate(heads).view(np.int64), np.concatenate(wholes).view(np.int64), fits, held]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *map(pa.array, columns)], names=names)
+            spans.append((a + begins[i] + (w - a == shape.before), b + begins[i] - (b - w == shape.length), b - a >= shape.length))
+        a, b, fits = (np.concatenate(x) for x in zip(*spans, strict=True))
+        held = Passages(data, ends, shape).within(a, b)
+        take = pa.array(rows)
+        columns = [where.astype(np.int32), heads.view(np.int64), np.concatenate(wholes).view(np.int64), fits, held]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *map(pa.array, columns), pa.nulls(len(rows), pa.binary())], names=names)
+        if told:
+            take = pa.array([x[0] for x in told])
+            columns = [pa.array([x[1] for x in told], pa.int32()), pa.nulls(len(told), pa.int64()), pa.nulls(len(told), pa.int64()), pa.array([x[2] for x in told], pa.bool_()), pa.array([x[3] for x in told], pa.bool_()), pa.array([x[4] for x in told], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *columns], names=names)
 
     return run
 
 
+def _run_rows(text: bytes, runs: list[tuple[int, int]], shape: Shape):
+    """(at, alone, passage, key) of the strings of ``length`` bytes in periodic runs, one of each, and of the passages of which
+    at least ``least`` bytes are run. A string is not alone if the run holds it twice; then all of the run is covered.
+    """
+    for a, b in runs:
+        spare = b - a - shape.length
+        if spare >= 0:
+            q = period_of(text[a:b])
+            for k in range(min(spare, q - 1) + 1):
+                yield a + k, spare < q, False, xxhash.xxh3_128_digest(text[a + k : a + k + shape.length])
+            if spare >= q:
+                for k in range(a, b - shape.length, shape.length):
+                    yield k, True, False, None
+                yield b - shape.length, True, False, None
+    if runs:
+        seen = set()
+        for a, b in runs:
+            low, high = max(0, a - shape.most), min(len(text), b + shape.most)
+            open_left, open_right = low == 0 or bool(_BLANK[text[low - 1]]), high == len(text) or bool(_BLANK[text[high]])
+            for x, y in passage_spans(text[low:high], shape, open_left, open_right):
+                if min(y + low, b) - max(x + low, a) >= shape.least:
+                    key = xxhash.xxh3_128_digest(text[x + low : y + low])
+                    if key not in seen:
+                        seen.add(key)
+                        yield x + low, True, True, key
+
+
 def common_prefix(a: bytes, b: bytes, known: int = 0) -> int:
     if a[known:] == b[known:]:
         return len(a)
@@ -494,22 +586,23 @@ def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("mark"), text.alias("text"))
 
 
-def _anchors_and_classes(docs: DataFrame, id_col: str, text_col: str, shape: Shape) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _anchors_and_classes(docs: DataFrame, id_col: str, text_col: str, shape: Shape) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """texts; the anchors whose prefix occurs twice; their classes: head, whole, n, rep, multi (of several documents), fits,
-    passage. The latter two are written.
+    passage; what texts hold in periodic runs: at, fits (alone), passage, key. All but the texts are written.
     """
     small_batches(docs.sparkSession)
     texts = _marked(docs, id_col, text_col)
-    rows = T.StructType([*_key(docs, id_col), _field("at", T.IntegerType()), _field("head", T.LongType()), _field("whole", T.LongType()), _field("fits", T.BooleanType()), _field("passage", T.BooleanType())])
+    rows = T.StructType([*_key(docs, id_col), _field("at", T.IntegerType()), _field("head", T.LongType()), _field("whole", T.LongType()), _field("fits", T.BooleanType()), _field("passage", T.BooleanType()), _field("key", T.BinaryType())])
     found = materialize(texts.mapInArrow(_anchor_rows(shape, rows.names), rows), "anchors")
     twice = materialize(found.groupBy("head").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("head"), "heads")
-    kept = materialize(found.join(twice, "head", "left_semi"), "repeated")
+    kept = materialize(found.drop("key").join(twice, "head", "left_semi"), "repeated")
+    runs = materialize(found.where("head is null").select("id", "mark", "at", "fits", "passage", "key"), "runs")
     discard(found, twice)
     grouped = kept.groupBy("head", "whole").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "mark", "at")).alias("rep"), F.max(F.struct("id", "mark")).alias("last_"), F.max("fits").alias("fits"), F.max("passage").alias("passage")
     )
     same_doc = F.col("rep.id").eqNullSafe(F.col("last_.id")) & (F.col("rep.mark") == F.col("last_.mark"))
-    return texts, kept, materialize(grouped.withColumn("multi", ~same_doc).drop("last_"), "classes")
+    return texts, kept, materialize(grouped.withColumn("multi", ~same_doc).drop("last_"), "classes"), runs
 
 
 def _field(name: str, kind: T.DataType) -> T.StructField:
@@ -536,7 +629,7 @@ def repeat_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     another document holds too) of each text that has some.
     """
     shape = shape or Shape()
-    texts, kept, classes = _anchors_and_classes(docs, id_col, text_col, shape)
+    texts, kept, classes, runs = _anchors_and_classes(docs, id_col, text_col, shape)
     # Two members of a class prove each other.
     pairs = classes.where("n > 1 and (fits or multi and passage)").select("head", "whole", "fits", (F.col("multi") & F.col("passage")).alias("elsewhere"))
     fits = lambda c: F.when(F.col("fits"), c)
@@ -547,19 +640,20 @@ def repeat_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     scanned = parts.repartition("head").sortWithinPartitions("head", "right").mapInArrow(_scan(shape, span.names), span)
     hot = contexts.where("hot").select("id", "mark", "at", "head", "alone", "multi", "left", "right")
     deep = T.StructType([*_key(docs, id_col), _field("start", T.IntegerType()), _field("alone", T.BooleanType()), _field("key", T.BinaryType())])
-    strings = hot.mapInArrow(_full_depth(shape, deep.names), deep)
+    strings = hot.mapInArrow(_full_depth(shape, deep.names), deep).unionByName(runs.where("not passage and key is not null").select("id", "mark", F.col("at").alias("start"), F.col("fits").alias("alone"), "key"))
+    within = runs.where("key is null").select("id", "mark", F.col("at").alias("from"), (F.col("at") + shape.length).alias("to"), F.lit(False).alias("elsewhere"))
     shared = materialize(strings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "strings")
     deeper = strings.where("alone").join(shared, "key", "left_semi").select("id", "mark", F.col("start").alias("from"), (F.col("start") + shape.length).alias("to"), F.lit(False).alias("elsewhere"))
     told = T.StructType([*_key(docs, id_col), _field("multi", T.BooleanType()), _field("key", T.BinaryType())])
-    passages = hot.mapInArrow(_hot_passages(shape, told.names), told)
+    passages = hot.mapInArrow(_hot_passages(shape, told.names), told).unionByName(runs.where("passage").select("id", "mark", F.lit(False).alias("multi"), "key"))
     two = F.max(F.struct("id", "mark")) != F.min(F.struct("id", "mark"))
     common = materialize(passages.groupBy("key").agg((F.max("multi") | two).alias("x_")).where("x_").select("key"), "passages")
     none = F.lit(None).cast("int")
     holders = passages.join(common, "key", "left_semi").select("id", "mark", none.alias("from"), none.alias("to"), F.lit(True).alias("elsewhere"))
-    spans = proven.unionByName(scanned).unionByName(deeper).unionByName(holders)
+    spans = proven.unionByName(scanned).unionByName(deeper).unionByName(within).unionByName(holders)
     listed = F.collect_list(F.when(F.col("from").isNotNull(), F.struct("from", "to"))).alias("spans")
     out = materialize(spans.groupBy("id", "mark").agg(listed, F.max("elsewhere").alias("elsewhere")), "spans")
-    discard(kept, classes, contexts, shared, common)
+    discard(kept, classes, runs, contexts, shared, common)
     return out
 
 
@@ -597,10 +691,10 @@ def _groups_of(shape: Shape, names: list[str]):
 def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shape: Shape | None = None) -> DataFrame:
     """group (128-bit hash of the string), bytes, id, from: every occurrence of every maximal repeat of at least ``length``
     bytes that reaches at most ``before`` bytes before and ``length`` bytes after one of its anchors; longer repeats appear
-    as the pieces around their anchors. A class' members are occurrences of what its representative holds.
+    as the pieces around their anchors, and what is all periodic run is left out. A class' members are occurrences of what its representative holds.
     """
     shape = shape or Shape()
-    texts, kept, classes = _anchors_and_classes(docs, id_col, text_col, shape)
+    texts, kept, classes, _ = _anchors_and_classes(docs, id_col, text_col, shape)
     # A class of several members repeats as a whole; so it is listed twice where the tree is built.
     contexts = _representatives(texts, classes.withColumn("copy_", F.explode(F.when(F.col("n") > 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))), shape, 1 << 60)
     at = contexts.join(classes.select(F.col("head").alias("chead"), "whole", "rep"), (F.col("head") == F.col("chead")) & F.col("id").eqNullSafe(F.col("rep.id")) & (F.col("mark") == F.col("rep.mark")) & (F.col("at") == F.col("rep.at")))
