@@ -86,6 +86,8 @@ def repeat_rows(seed):
     rows += [(60, "ab" * 200), (61, "a" * 300), (62, None), (63, ""), (64, rows[0][1]), (64, rows[0][1]), (None, rows[1][1] + "q")]
     gap = lambda: str(rng.choice([" ", "\n", "\t", "w", ""]))
     rows += [(100 + i, filler() + gap() + short[int(rng.integers(0, 8))] + gap() + filler() + (gap() + short[int(rng.integers(0, 8))] if i % 3 else "")) for i in range(60)]
+    ab, w3 = "ab " * 30, "one two three "
+    rows += [(300, "start " + ab + "tail"), (301, "else " + ab[:41]), (302, ab[:40]), (303, "x" + ab[1:41] + "y"), (304, w3 * 9), (305, "q " + w3 * 2), (306, "a b c d e f g h " + ab[:24] + "k l m"), (307, "p e f g h " + ab[:24] + "k l z")]
     return rows + [(200, "own words only here " + short[0] + " x " + short[0]), (201, "one two three four five six seven"), (202, "one two three four five six seven")]
 
 
@@ -113,6 +115,14 @@ def test_shared_passages_at_a_hundredth(spark):
     assert repeats(docs) == wanted_repeats(rows, suffix_dedup.Shape())
 
 
+@pytest.mark.parametrize("size", [400, 403, 404, 420, 900])
+def test_periodic_runs(spark, size):
+    run = "the " * 300
+    rows = [(1, "Some text before it. " + run[:size] + "and after it."), (2, "Other words. " + run[2:402] + "."), (3, run[:230] + " end"), (4, "x" * size), (5, "y" * 399), (6, "ab" * 100 + "word " * 20)]
+    got = repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got == wanted_repeats([(k, t.encode()) for k, t in rows], suffix_dedup.Shape())
+
+
 def brute_maximal(texts, length):
     """{string: {(text, from)}} of the maximal repeats."""
     found = {}
