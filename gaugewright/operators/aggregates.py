@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugewright.functions.hashing import U64, joined_hash, uint64
-from gaugewright.operators.ranking import ranking_metrics, ratio, same
+from gaugewright.operators.ranking import ranking_metrics, ratio, running_counts, same, score_counts, slice_id
 
 D = "double"
 
@@ -84,17 +84,23 @@ def weighted_bce(target: Column, score: Column, weight: Column) -> Column:
     return F.try_divide(F.sum(weight * loss), F.sum(weight))
 
 
-def partial_auc_surrogate(df: DataFrame, target: str, score: str, alpha: float = 0.05) -> DataFrame:
-    """Mean softplus(negative - positive) over all positives and the hardest alpha share of negatives.
+def partial_auc_surrogate(df: DataFrame, target: str, score: str, alpha: float = 0.05, batch: Sequence[str] = ()) -> DataFrame:
+    """batch, loss: mean softplus(negative - positive) over all positives and the hardest alpha share of negatives.
 
-    The hardest negatives are collected for one batch only, as the loss is defined on batches.
+    The loss is defined on batches: pairs are formed within a batch, whose size the caller bounds. The hardest negatives
+    are found by counts of the scores, so no window holds a batch, and equal scores are one row with a weight.
     """
-    negatives = df.where(F.col(target) == 0).select(F.col(score).cast(D).alias("s_"))
-    total = negatives.agg(F.ceil(F.count(F.lit(1)) * F.lit(alpha)).cast("long").alias("k_"))
-    hard = negatives.withColumn("r_", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("s_")))).crossJoin(total).where("r_ <= k_").agg(F.collect_list("s_").alias("hard_"))
-    x = lambda n: F.greatest(n - F.col("p_"), F.lit(0.0)) + F.log1p(F.exp(-F.abs(n - F.col("p_"))))
-    rows = df.where(F.col(target) == 1).select(F.col(score).cast(D).alias("p_")).crossJoin(hard)
-    return rows.agg(F.try_divide(F.sum(F.aggregate("hard_", F.lit(0.0), lambda a, n: a + x(n))), F.sum(F.size("hard_"))).alias("loss"))
+    counts = running_counts(score_counts(df.withColumn("slice_", slice_id(batch)), ["slice_"], target, score), ["slice_"])
+    need = F.ceil(F.col("total_neg") * F.lit(alpha))
+    hard = counts.withColumn("w_", F.least(F.col("neg"), need - (F.col("fp") - F.col("neg")))).where("w_ > 0").select("slice_", F.col("score").alias("n_"), "w_")
+    pairs = counts.where("pos > 0").select("slice_", F.col("score").alias("p_"), "pos").join(hard, "slice_")
+    d, w = F.col("n_") - F.col("p_"), F.col("w_") * F.col("pos")
+    loss = F.greatest(d, F.lit(0.0)) + F.log1p(F.exp(-F.abs(d)))
+    out = pairs.groupBy("slice_").agg(F.try_divide(F.sum(w * loss), F.sum(w)).alias("loss"))
+    if not batch:
+        return out.drop("slice_")
+    names = df.select(slice_id(batch).alias("slice_"), *batch).distinct()
+    return names.join(out, "slice_", "left").drop("slice_")
 
 
 def pair_ranking_loss(df: DataFrame, pair: str, target: str, score: str) -> DataFrame:
@@ -205,14 +211,35 @@ def coverage_difference(expected: DataFrame, actual: DataFrame, keys: Sequence[s
     return both.agg(F.count_if(F.expr("have = 0 and want > 0")).alias("missing"), F.count_if(F.expr("want = 0 and have > 0")).alias("extra"), F.count_if(F.expr("have > 1 and want > 0")).alias("duplicates"))
 
 
-def best_match(left: DataFrame, right: DataFrame, tiers: Sequence[Sequence[str]], right_id: str) -> DataFrame:
-    """The id of the first tier in which a row finds partners, picked in turn within the tier."""
+def numbered(df: DataFrame, slice_: Column, order: str, name: str = "place", buckets: int = 64) -> DataFrame:
+    """df with slice_ and each row's place, from 0, by the numeric column ``order`` within its slice.
+
+    Rows are numbered within quantile buckets of ``order`` and moved up by the counts of the buckets below, so that no task
+    holds a whole slice; any cuts give the same places. Rows with equal ``order`` get places in no defined order.
+    """
+    cuts = df.agg(F.percentile_approx(F.col(order).cast(D), F.array(*[F.lit(k / buckets) for k in range(1, buckets)])).alias("c")).first()["c"] or []
+    cut = F.array(*[F.lit(float(x)) for x in sorted(set(cuts))]).cast("array<double>")
+    put = df.withColumns({"slice_": slice_, "b_": F.size(F.filter(cut, lambda x: x <= F.col(order).cast(D)))})
+    counts = put.groupBy("slice_", "b_").agg(F.count(F.lit(1)).alias("n_"))
+    below = counts.select("slice_", "b_", (F.sum("n_").over(Window.partitionBy("slice_").orderBy("b_")) - F.col("n_")).alias("below_"))
+    own = put.withColumn("own_", F.row_number().over(Window.partitionBy("slice_", "b_").orderBy(order)) - 1)
+    return own.join(below.hint("merge"), ["slice_", "b_"]).withColumn(name, F.col("below_") + F.col("own_")).drop("b_", "below_", "own_")
+
+
+def best_match(left: DataFrame, right: DataFrame, tiers: Sequence[Sequence[str]], right_id: str, order: str) -> DataFrame:
+    """The id of the first tier in which a row finds partners, picked in turn within the tier.
+
+    Both sides are numbered within the tier's keys, left by ``order``, right by ``right_id`` (both numeric and unique), and
+    meet by an equi-join on the partner's number; no side is gathered.
+    """
     out, found = left, []
     for k, keys in enumerate(tiers):
-        partners = right.groupBy(*keys).agg(F.sort_array(F.collect_list(right_id)).alias(f"p{k}_")) if keys else right.agg(F.sort_array(F.collect_list(right_id)).alias(f"p{k}_"))
-        out = same(out, partners, keys, "left") if keys else out.crossJoin(partners)
-        place = F.row_number().over(Window.partitionBy(*keys, F.lit(k)).orderBy(*left.columns)) - 1
-        out = out.withColumn(f"m{k}_", F.when(F.size(f"p{k}_") > 0, F.element_at(f"p{k}_", (F.pmod(place, F.greatest(F.size(f"p{k}_"), F.lit(1))) + 1).cast("int"))))
+        theirs = numbered(right, slice_id(keys), right_id)
+        counts = theirs.groupBy("slice_").agg(F.count(F.lit(1)).alias("n_")).withColumnRenamed("slice_", "s_")
+        mine = numbered(left.select(*dict.fromkeys([order, *keys])), slice_id(keys), order).join(counts, F.col("slice_") == F.col("s_"))
+        picks = mine.select(F.col(order).alias("o_"), "slice_", F.pmod("place", "n_").alias("place"))
+        pairs = picks.join(theirs.select("slice_", "place", F.col(right_id).alias(f"m{k}_")).hint("merge"), ["slice_", "place"]).select("o_", f"m{k}_")
+        out = out.join(pairs, F.col(order) == F.col("o_"), "left").drop("o_")
         found.append(f"m{k}_")
     tier = F.coalesce(*[F.when(F.col(c).isNotNull(), F.lit(k)) for k, c in enumerate(found)])
     return out.select(*left.columns, F.coalesce(*[F.col(c) for c in found]).alias("match"), tier.alias("match_tier"))

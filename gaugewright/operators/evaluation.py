@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugewright.operators.ranking import metric_slices, normalized_average_precision, one_against_all, ranking_aggregates, ranking_metrics, ratio, roc_points, same, slice_id, slice_names
+from gaugewright.operators.ranking import average_ranks, metric_slices, normalized_average_precision, one_against_all, ranking_aggregates, ranking_metrics, ratio, roc_points, same, slice_id, slice_names
 
 D = "double"
 WINDOW_COLUMNS = ("chronological_window", "generator_window", "release_window", "time_window", "window")
@@ -103,9 +103,12 @@ def lineage_drift(df: DataFrame, keys: Sequence[str] = ("dataset_id", "lineage_i
 
 
 def clean_drops(metrics: DataFrame, keys: Sequence[str], values: Sequence[str], condition: str = "condition") -> DataFrame:
-    """Clean minus condition for each metric (A14, J09). A slice without a clean row has null drops."""
+    """Clean minus condition for each metric (A14, J09). A slice without a clean row raises when its rows are read."""
     clean = metrics.where(F.col(condition) == "clean").select(*keys, *[F.col(v).alias(f"clean_{v}") for v in values])
-    return same(metrics.where(F.col(condition) != "clean"), clean, keys, "left").select(*keys, condition, *values, *[(F.col(f"clean_{v}") - F.col(v)).alias(f"{v}_drop") for v in values])
+    joined = same(metrics.where(F.col(condition) != "clean"), clean.withColumn("has_clean_", F.lit(True)), keys, "left")
+    absent = F.raise_error(F.concat(F.lit("no clean row for "), F.concat_ws("|", *[F.col(k).cast("string") for k in keys]))).cast(D)
+    drop = lambda v: F.when(F.col("has_clean_").isNull(), absent).otherwise(F.col(f"clean_{v}") - F.col(v))
+    return joined.select(*keys, condition, *values, *[drop(v).alias(f"{v}_drop") for v in values])
 
 
 def feature_drift(rows: DataFrame, directions: DataFrame, by: Sequence[str] = ("view", "condition", "feature", "target", "transform_family", "official_transform")) -> DataFrame:
@@ -177,12 +180,22 @@ def chronological_metrics(rows: DataFrame, directions: DataFrame, min_group: int
 
 
 def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
-    """keys, spearman: Pearson of average ranks over rows where both are there; 0 for constant columns."""
-    both = df.where(F.col(x).isNotNull() & ~F.isnan(x) & F.col(y).isNotNull() & ~F.isnan(y))
-    rank = lambda c: F.rank().over(Window.partitionBy(*keys, F.lit(0)).orderBy(c)).cast(D) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, c)).cast(D) - 1.0) / 2.0
-    ranked = both.withColumn("rx_", rank(x)).withColumn("ry_", rank(y))
-    value = pearson(F.col("rx_"), F.col("ry_"))
-    return ranked.groupBy(*keys).agg(F.when((F.min("rx_") == F.max("rx_")) | (F.min("ry_") == F.max("ry_")), F.lit(0.0)).otherwise(F.coalesce(F.nanvl(value, F.lit(0.0)), F.lit(0.0))).alias("spearman"))
+    """keys, spearman: Pearson of average ranks over rows where both are there; 0 for constant columns.
+
+    Ranks come from counts by value, and pairs of values are counted before they meet their ranks.
+    """
+    both = df.where(F.col(x).isNotNull() & ~F.isnan(x) & F.col(y).isNotNull() & ~F.isnan(y)).withColumn("slice_", slice_id(keys))
+    pairs = both.groupBy("slice_", F.col(x).cast(D).alias("x_"), F.col(y).cast(D).alias("y_")).agg(F.count(F.lit(1)).alias("n_"))
+
+    def ranks(c: str) -> DataFrame:
+        counts = pairs.groupBy("slice_", F.col(c).alias("score")).agg(F.sum("n_").alias("n"))
+        return average_ranks(counts, ["slice_"]).select("slice_", F.col("score").alias(c), (F.col("rank") - (F.col("total") + 1).cast(D) / F.lit(2.0)).alias(f"r{c}"))
+
+    joined = pairs.join(ranks("x_").hint("merge"), ["slice_", "x_"]).join(ranks("y_").hint("merge"), ["slice_", "y_"])
+    total = lambda a, b: F.sum(F.col("n_") * F.col(a) * F.col(b))
+    value = F.try_divide(total("rx_", "ry_"), F.sqrt(total("rx_", "rx_")) * F.sqrt(total("ry_", "ry_")))
+    found = joined.groupBy("slice_").agg(F.coalesce(value, F.lit(0.0)).alias("spearman"))
+    return slice_names(both, keys).join(found, "slice_").drop("slice_")
 
 
 def shortcut_correlations(df: DataFrame, keys: Sequence[str], candidates: Sequence[str], nuisances: Sequence[str]) -> DataFrame:
@@ -195,11 +208,13 @@ def shortcut_correlations(df: DataFrame, keys: Sequence[str], candidates: Sequen
 
 
 def auprc_drops(metrics: DataFrame, registry: DataFrame) -> DataFrame:
-    """Clean minus condition AP for official single-step conditions (A15, J10). metrics: view, feature, condition, oriented_auprc, direction."""
+    """Clean minus condition AP for official single-step conditions (A15, J10), with the condition's parents, low_power and
+    direction_reversal. metrics: what univariate_metrics gives by view and condition.
+    """
     single = registry.where("official and step_count = 1").select(F.col("name").alias("condition"), F.col("family").alias("transform_family"), "severity")
     clean = metrics.where("condition = 'clean'").select("view", "feature", F.col("oriented_auprc").alias("clean_auprc"))
     out = metrics.drop("transform_family", "severity").join(F.broadcast(single), "condition").join(clean, ["view", "feature"])
-    return out.select("view", "feature", "direction", "condition", "transform_family", "severity", "clean_auprc", F.col("oriented_auprc").alias("condition_auprc"), (F.col("clean_auprc") - F.col("oriented_auprc")).alias("auprc_drop"))
+    return out.select("view", "feature", "direction", "condition", "transform_family", "severity", "clean_auprc", F.col("oriented_auprc").alias("condition_auprc"), (F.col("clean_auprc") - F.col("oriented_auprc")).alias("auprc_drop"), "parents", "low_power", "direction_reversal")
 
 
 def severity_areas(drops: DataFrame) -> DataFrame:
@@ -265,8 +280,22 @@ def compact_summary(metrics: DataFrame, name: str = "comparison_group", k: int =
 LEDGER = {"strong": 0.20, "chance": 0.10, "specialist": 0.40, "keep_generator": 0.16, "nuisance": 0.75, "gap": 0.20}
 
 
+# What the ledger says about each decision, and about itself.
+LEDGER_BASIS = {
+    "shortcut": "Strong separation is coupled to preprocessing or a preregistered nuisance.",
+    "chance": "Aggregate confirmation AUPRC is too close to its prevalence baseline.",
+    "specialist": "Powered generator groups disagree materially.",
+    "fragile": "Clean separation does not survive the worst official transform.",
+    "keep": "The feature clears clean, powered-group, and official-transform screens.",
+    "rest": "Evidence is insufficient for the other preregistered categories.",
+}
+LEDGER_NOTE = "Exploratory normalized-AUPRC thresholds, where 0 is the prevalence baseline; not a competition acceptance criterion."
+
+
 def decision_ledger(transforms: DataFrame, datasets: DataFrame, generators: DataFrame, correlations: DataFrame, official: DataFrame, canonical: str = "canonical_128", native: str = "native_capped") -> DataFrame:
-    """One decision per feature from four metric tables (A24); features without all the evidence are left out."""
+    """One decision per feature from four metric tables (A24), with its basis, by decision and then from the most robust on;
+    features without all the evidence are left out.
+    """
     at = lambda df, view: df.where(F.col("view") == view)
     clean = transforms.where("condition = 'clean'")
     base = at(clean, canonical).select("feature", F.col("oriented_auprc").alias("clean_auprc"), F.col("normalized_auprc").alias("clean_normalized"))
@@ -283,18 +312,29 @@ def decision_ledger(transforms: DataFrame, datasets: DataFrame, generators: Data
     c, gap = F.col, F.col("clean_normalized") - F.col("native_normalized")
     t = {k: F.lit(v) for k, v in LEDGER.items()}
     strong = c("clean_normalized") >= t["strong"]
-    decision = (
+    basis = (
         F.when(strong & ((F.abs(gap) > t["gap"]) | (c("max_abs_nuisance_spearman") >= t["nuisance"])), "shortcut")
-        .when(c("clean_normalized") < t["chance"], "discard")
+        .when(c("clean_normalized") < t["chance"], "chance")
         .when((c("best_generator_normalized") >= t["specialist"]) & ((c("worst_generator_normalized") < t["chance"]) | (c("powered_reversals") > 0)), "specialist")
         .when(strong & (c("worst_transform_normalized") < t["chance"]), "fragile")
         .when(strong & (c("worst_transform_normalized") >= t["chance"]) & (c("worst_dataset_normalized") >= t["chance"]) & (c("worst_generator_normalized") >= t["keep_generator"]) & (c("powered_reversals") == 0), "keep")
-        .otherwise("discard")
+        .otherwise("rest")
     )
-    return out.withColumns({
-        "preprocessing_gap": gap, "decision": decision, "confidence": F.when(c("underpowered_reversals") > 0, "low").otherwise("medium"),
+    told = F.create_map(*[F.lit(x) for pair in LEDGER_BASIS.items() for x in pair])
+    decided = out.withColumn("basis_", basis).withColumns({"decision": F.when(F.col("basis_").isin("chance", "rest"), "discard").otherwise(F.col("basis_")), "decision_basis": F.element_at(told, F.col("basis_")), "rule_note": F.lit(LEDGER_NOTE)})
+    return decided.drop("basis_").withColumns({
+        "preprocessing_gap": gap, "confidence": F.when(c("underpowered_reversals") > 0, "low").otherwise("medium"),
         "provisional": (c("underpowered_groups") > 0) | (c("powered_groups") < 3),
-    })
+    }).orderBy("decision", F.desc("worst_transform_normalized"), F.desc("clean_normalized"))
+
+
+def robustness_frontier(metrics: DataFrame, name: str, value: str, condition: str = "condition") -> DataFrame:
+    """Clean against worst condition of each row's ``name``, and whether no other is as good in both and better in one."""
+    clean = metrics.where(F.col(condition) == "clean").select(name, F.col(value).alias("clean_value"))
+    worst = metrics.groupBy(name).agg(F.min(value).alias("worst_value"))
+    both = clean.join(worst, name)
+    front = pareto_front(both, [], "clean_value", "worst_value", name).select(F.col(name).alias("front_")).withColumn("pareto", F.lit(True))
+    return both.join(front, F.col(name) == F.col("front_"), "left").drop("front_").fillna(False, ["pareto"])
 
 
 def extreme_failures(df: DataFrame, by: Sequence[str], target: str = "target", score: str = "pred", per_type: int = 5, unique: str = "parent_id") -> DataFrame:

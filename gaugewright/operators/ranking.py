@@ -1,8 +1,8 @@
 """Ranking and threshold metrics of sliced scores: confusion rates, ROC-AUC, average precision, partial AUC.
 
 Everything starts from one pre-aggregation to (slice, score) counts, so equal scores cost one row and only counts are
-shuffled. Running sums are taken in two levels, over buckets of score (``buckets`` / 8 of them to a unit of asinh) and then within
-each, so that one huge slice is spread over as many tasks as it has buckets.
+shuffled. Running sums are taken in two levels, over buckets of score (``score_bucket``) and then within each, so that one
+huge slice is spread over as many tasks as it has buckets.
 """
 
 from __future__ import annotations
@@ -64,17 +64,26 @@ def slice_id(keys: Sequence[str]) -> Column:
     return F.xxhash64(*[x for k in keys for x in (F.col(k), F.col(k).isNull())]) if keys else F.lit(0).cast("long")
 
 
+def score_bucket(score: Column, buckets: int) -> Column:
+    """A monotone bucket number: ``buckets`` to a unit within [-1, 1], where probabilities lie, and an eighth of that to a unit of
+    the logarithm beyond.
+    """
+    size = F.abs(score)
+    place = F.when(size <= 1, size * F.lit(float(buckets))).otherwise(F.lit(float(buckets)) + F.ln(size) * F.lit(buckets / 8.0))
+    return F.floor(F.signum(score) * place).cast("int")
+
+
 def running_counts(counts: DataFrame, keys: Sequence[str], buckets: int = 64) -> DataFrame:
     """counts with tp, fp (rows of at least this score) and the slice's total_pos, total_neg.
 
     Each bucket gets one more row, before its own, that carries what the buckets above hold; so the second level needs no
-    join. asinh is monotone and spreads any range of scores; so no pass over the data finds the buckets' ends.
+    join, and no pass over the data finds the buckets' ends.
     """
     whole = Window.partitionBy(*keys, F.lit(0))
     if buckets <= 1:
         w = whole.orderBy(F.desc("score"))
         return counts.select("*", F.sum("pos").over(w).alias("tp"), F.sum("neg").over(w).alias("fp"), F.sum("pos").over(whole).alias("total_pos"), F.sum("neg").over(whole).alias("total_neg"))
-    put = counts.select(*keys, F.floor(F.asinh("score") * F.lit(buckets / 8.0)).cast("int").alias("b_"), "score", "pos", "neg")
+    put = counts.select(*keys, score_bucket(F.col("score"), buckets).alias("b_"), "score", "pos", "neg")
     sums = put.groupBy(*keys, "b_").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"))
     over = whole.orderBy(F.desc("b_"))
     heads = sums.select(*keys, "b_", F.lit(True).alias("head_"), F.lit(None).cast(D).alias("score"), (F.sum("bp").over(over) - F.col("bp")).alias("pos"), (F.sum("bn").over(over) - F.col("bn")).alias("neg"), F.sum("bp").over(whole).alias("total_pos"), F.sum("bn").over(whole).alias("total_neg"))
@@ -194,18 +203,25 @@ def comparison_metrics(df: DataFrame, positive_group: str, negative_group: str,
     return same(metric_slices(rows, keys, label, score, threshold), means, keys, "left", small=True)
 
 
-def positive_rank_percentile(df: DataFrame, keys: Sequence[str], score: str) -> Column:
-    """Average rank over count: rank() + (ties - 1) / 2 over count(*)."""
-    w = Window.partitionBy(*keys)
-    rank = F.rank().over(w.orderBy(score)).cast(D)
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, score)).cast(D)
-    return (rank + (ties - 1.0) / 2.0) / F.count(F.lit(1)).over(w).cast(D)
+def average_ranks(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, score, rank (average of ties, from the least), total of counts(keys, score, n): no task holds a whole slice."""
+    run = running_counts(counts.select(*keys, "score", F.col("n").alias("pos"), F.lit(0).cast("long").alias("neg")), keys)
+    return run.select(*keys, "score", (F.col("total_pos") - F.col("tp") + (F.col("pos") + 1).cast(D) / F.lit(2.0)).alias("rank"), F.col("total_pos").alias("total"))
+
+
+def with_rank_percentile(df: DataFrame, keys: Sequence[str], score: str, name: str) -> DataFrame:
+    """df with each row's average rank over the rows of its slice (W03); null scores have none and don't count."""
+    sliced = df.withColumns({"slice_": slice_id(keys), "s_": F.col(score).cast(D) + F.lit(0.0)})
+    counts = sliced.where("s_ is not null").groupBy("slice_", F.col("s_").alias("score")).agg(F.count(F.lit(1)).alias("n"))
+    ranks = average_ranks(counts, ["slice_"]).select(F.col("slice_").alias("rslice_"), F.col("score").alias("rscore_"), (F.col("rank") / F.col("total").cast(D)).alias(name))
+    return sliced.join(ranks, (F.col("slice_") == F.col("rslice_")) & (F.col("s_") == F.col("rscore_")), "left").drop("slice_", "s_", "rslice_", "rscore_")
 
 
 def threshold_at_fpr(df: DataFrame, keys: Sequence[str], label: str, score: str, fpr: float = 0.05) -> DataFrame:
-    """keys, threshold: the (1 - fpr) quantile of the negatives' scores, next higher value."""
-    negatives = df.where(F.col(label) == 0).groupBy(*keys, F.col(score).cast(D).alias("s_")).agg(F.count(F.lit(1)).alias("n_"))
-    w = Window.partitionBy(*keys, F.lit(0))
-    run = negatives.select(*keys, "s_", F.sum("n_").over(w.orderBy("s_")).alias("upto"), F.sum("n_").over(w).alias("all_"))
+    """keys, threshold: the (1 - fpr) quantile of the negatives' scores, next higher value; null scores are left out."""
+    sliced = df.where((F.col(label) == 0) & F.col(score).isNotNull()).withColumn("slice_", slice_id(keys))
+    counts = sliced.groupBy("slice_", (F.col(score).cast(D) + F.lit(0.0)).alias("score")).agg(F.count(F.lit(1)).alias("pos"), F.lit(0).cast("long").alias("neg"))
+    run = running_counts(counts, ["slice_"]).select("slice_", "score", (F.col("total_pos") - F.col("tp") + F.col("pos")).alias("upto"), F.col("total_pos").alias("all_"))
     need = F.ceil(F.lit(1.0 - fpr) * (F.col("all_") - 1).cast(D) - F.lit(1e-9)) + 1
-    return run.where(F.col("upto") >= need).groupBy(*keys).agg(F.min("s_").alias("threshold"))
+    found = run.where(F.col("upto") >= need).groupBy("slice_").agg(F.min("score").alias("threshold"))
+    return slice_names(sliced, keys).join(found, "slice_").drop("slice_") if keys else found.drop("slice_")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 D = "double"
-#: Prototypes go to every task, in blocks of at most this many numbers.
+#: Queries go to every task, in blocks of at most this many numbers.
 BLOCK_NUMBERS = 4_000_000
 
 
@@ -26,54 +26,64 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast(D) * y.cast(D)), F.lit(0.0), lambda s, x: s + x)
 
 
-def _top(protos: np.ndarray, ids: list, k: int, id_type: pa.DataType):
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)
+
+
+def _nearest(unit: np.ndarray, names: np.ndarray, k: int, others: bool, types: tuple[pa.DataType, pa.DataType]):
+    """Each query's k nearest of this task's rows, found batch by batch."""
+
     def run(batches):
-        unit = protos / np.maximum(np.sqrt((protos * protos).sum(1, keepdims=True)), 1e-300)
-        keys = np.asarray(ids)
+        best = (np.empty(0, np.int64), np.empty(0), None)
         for batch in batches:
-            v = batch.column(1)
-            n = batch.num_rows
-            if not n:
-                continue
-            x = np.asarray(v.flatten(), np.float64).reshape(n, -1)
-            x = x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)
-            got_i, got_s, rows = [], [], []
-            for a in range(0, n, 1024):
-                s = x[a : a + 1024] @ unit.T
-                for r in range(len(s)):
-                    bound = np.partition(s[r], -min(k, len(keys)))[-min(k, len(keys))]
-                    near = np.nonzero(s[r] >= bound)[0]
-                    order = near[np.lexsort((keys[near], -s[r][near]))][:k]
-                    rows.append(np.full(len(order), a + r))
-                    got_i.append(keys[order])
-                    got_s.append(s[r][order])
-            take = pa.array(np.concatenate(rows))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(np.concatenate(got_i)).cast(id_type), pa.array(np.concatenate(got_s))], names=["query", "prototype", "cosine"])
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                keys = part.column(0).to_numpy(zero_copy_only=False)
+                x = _unit(np.asarray(part.column(1).flatten(), np.float64).reshape(part.num_rows, -1))
+                for q in range(0, len(unit), 4096):
+                    s = unit[q : q + 4096] @ x.T
+                    if others:
+                        s[names[q : q + 4096, None] == keys[None, :]] = -np.inf
+                    bound = np.partition(s, len(keys) - min(k, len(keys)), axis=1)[:, len(keys) - min(k, len(keys))]
+                    who, which = np.nonzero((s >= bound[:, None]) & (s > -np.inf))
+                    best = merged(best, (who + q, s[who, which], keys[which]), k)
+        who, score, key = best
+        if key is not None and len(who):
+            yield pa.RecordBatch.from_arrays([pa.array(names[who]).cast(types[0]), pa.array(key).cast(types[1]), pa.array(score)], names=["query", "prototype", "cosine"])
+
+    def merged(a, b, k):
+        who, score = np.concatenate((a[0], b[0])), np.concatenate((a[1], b[1]))
+        key = b[2] if a[2] is None else np.concatenate((a[2], b[2]))
+        order = np.lexsort((key, -score, who))
+        who = who[order]
+        place = np.arange(len(who)) - np.searchsorted(who, who)
+        keep = order[place < k]
+        return who[place < k], score[keep], key[keep]
 
     return run
 
 
-def top_k(queries: DataFrame, prototypes: DataFrame, k: int, query_id: str, prototype_id: str, vector: str = "embedding") -> DataFrame:
-    """query, prototype, cosine, rank of the k nearest prototypes, ties by id.
+def top_k(queries: DataFrame, rows: DataFrame, k: int, query_id: str, row_id: str, vector: str = "embedding", others: bool = False) -> DataFrame:
+    """query, prototype, cosine, rank of the k nearest rows of each query by cosine, ties by id.
 
-    Prototypes are a dictionary of bounded size: their size is checked, and beyond one block they go out block by block
-    with a merge of each query's k best per block.
+    The queries are the bounded side: they go out in blocks of BLOCK_NUMBERS numbers, and every block is a pass over all
+    rows, which never move. Each task gives its k best per query, and these meet in one exchange. With ``others`` a row of
+    the query's own id doesn't count. Null vectors have no neighbours and are none.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
-    kind = prototypes.schema[prototype_id].dataType
-    size = prototypes.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vector)).alias("d")).first()
+    spark, kinds = queries.sparkSession, (queries.schema[query_id].dataType, rows.schema[row_id].dataType)
+    asked = queries.where(F.col(vector).isNotNull()).select(query_id, F.col(vector).cast("array<double>").alias("v"))
+    size = asked.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
     blocks = max(1, -(-(size["n"] or 0) * (size["d"] or 0) // BLOCK_NUMBERS))
-    schema = T.StructType([T.StructField("query", queries.schema[query_id].dataType), T.StructField("prototype", kind), T.StructField("cosine", T.DoubleType())])
-    out = None
+    schema = T.StructType([T.StructField("query", kinds[0]), T.StructField("prototype", kinds[1]), T.StructField("cosine", T.DoubleType())])
+    every = rows.where(F.col(vector).isNotNull()).select(row_id, F.col(vector).cast("array<double>").alias("v"))
+    out = spark.createDataFrame([], schema)
     for b in range(blocks):
-        rows = prototypes.where(F.pmod(F.xxhash64(prototype_id), F.lit(blocks)) == b).select(prototype_id, F.col(vector).cast("array<double>").alias("v")).collect()
-        if not rows:
-            continue
-        part = queries.where(F.col(vector).isNotNull()).select(query_id, F.col(vector).cast("array<double>").alias("v")).mapInArrow(_top(np.array([r["v"] for r in rows]), [r[0] for r in rows], k, to_arrow_type(kind)), schema)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return queries.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(0))
+        block = asked.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b).collect()
+        if block:
+            unit, names = _unit(np.array([r["v"] for r in block])), np.array([r[0] for r in block])
+            out = out.unionByName(every.mapInArrow(_nearest(unit, names, k, others, (to_arrow_type(kinds[0]), to_arrow_type(kinds[1]))), schema))
     w = Window.partitionBy("query").orderBy(F.desc("cosine"), "prototype")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

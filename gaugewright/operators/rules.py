@@ -79,16 +79,25 @@ def unknown_values(df: DataFrame, column: str, allowed: Sequence, rule: str | No
     return per.select(F.lit(rule or f"unknown_{column}").alias("rule"), F.coalesce(F.col(column).cast("string"), F.lit("null")).alias("key"), F.col("n").cast("string").alias("detail"))
 
 
+# Enumerations and field names of the tables and documents that the rules are about.
 PHASES = ("discovery", "confirmation", "final_confirmation")
 SPLITS = ("train", "val", "test")
 POOLS = ("memory", "capacity", "detector", "authentic_null", "none")
 KINDS = ("authentic", "native_aigc", "dda")
 INDEX_COLUMNS = ("parent_id", "target", "phase", "dataset", "split", "label", "generator_family", "generation_model", "source_dataset", "source_member", "local_path", "width", "height", "mode", "format", "bytes")
-TRAINING_COLUMNS = ("parent_id", "lineage_id", "split", "training_pool", "label", "sample_kind", "generator_family", "generation_model", "source_dataset", "local_path", "source_parent_id")
+TRAINING_COLUMNS = ("parent_id", "lineage_id", "split", "training_pool", "label", "sample_kind", "generator_family", "generation_model", "source_dataset", "local_path")
 POLICY_FIELDS = (
-    "source_id", "dataset", "purpose", "source_url", "revision", "file_list", "file_list_sha256", "content_sha256", "license_name", "license_url", "license_decision",
+    "source_id", "dataset", "purpose", "selected", "source_url", "revision", "file_list", "file_list_sha256", "content_sha256", "license_name", "license_url", "license_decision",
     "underlying_image_license_name", "underlying_image_license_url", "underlying_image_license_decision", "reviewer", "review_date",
 )
+EVIDENCE_FIELDS = ("source_url", "revision", "file_list", "file_list_sha256", "content_sha256", "license_name", "license_url", "underlying_image_license_name", "underlying_image_license_url", "reviewer", "review_date")
+DECISION_FIELDS = ("license_decision", "underlying_image_license_decision")
+DECISIONS = ("pending", "allowlisted", "rejected")
+AUTHENTIC_LABELS = ("authentic", "real")
+NATIVE_LABELS = ("aigc", "fake", "full_synthetic")
+DERIVED_LABELS = ("dda", "dda_aligned", "dual_data_aligned")
+FORBIDDEN_TOKENS = ("tamper", "edited", "composite", "partial", "inpaint", "photoshop")
+LEAKAGE_GROUPS = ("lineage_id", "master_id", "prompt_group_id", "duplicate_group_id")
 
 
 def expansion_index_rules(df: DataFrame) -> DataFrame:
@@ -117,29 +126,48 @@ def legacy_index_rules(df: DataFrame) -> DataFrame:
 
 
 def config_problems(config: Mapping) -> list[str]:
-    """Structure of an expansion config (a driver-side document)."""
-    found = [f"missing {k}" for k in ("schema_version", "selection_seed", "acquisition", "final_confirmation", "sources") if k not in config]
-    sources = config.get("sources") or []
-    ids = [s.get("source_id") for s in sources]
-    found += [f"duplicate source {i}" for i in sorted({i for i in ids if i and ids.count(i) > 1})]
-    found += [f"source {n} lacks an id" for n, i in enumerate(ids) if not i]
-    found += [f"source {s.get('source_id')} lacks selected" for s in sources if not isinstance(s.get("selected"), bool)]
-    if not sources:
-        found.append("no source")
-    final = config.get("final_confirmation") or {}
-    if final and final.get("phase") != "final_confirmation":
-        found.append("final confirmation has another phase")
-    return found
+    """What is wrong with an expansion config (a driver-side document); an empty list lets it pass.
+
+    Whatever is absent or of another type than expected counts as wrong.
+    """
+    part = lambda name: config[name] if isinstance(config.get(name), Mapping) else {}
+    acquisition, final, sources = part("acquisition"), part("final_confirmation"), config.get("sources")
+    demands = {
+        "schema_version is not 1": config.get("schema_version") == 1,
+        "selection_seed is empty": bool(str(config.get("selection_seed") if config.get("selection_seed") is not None else "").strip()),
+        "acquisition does not default to dry_run": acquisition.get("default_mode") == "dry_run",
+        "acquisition does not require an allowlist of all selected sources": acquisition.get("require_all_selected_sources_allowlisted") is True,
+        "final_confirmation is not sealed": final.get("phase") == "final_confirmation" and final.get("sealed") is True,
+        "final_confirmation lacks a list of generators": isinstance(final.get("generator_ids"), list),
+        "no source": isinstance(sources, list) and bool(sources),
+    }
+    found = [problem for problem, met in demands.items() if not met]
+    ids = []
+    for n, source in enumerate(sources if isinstance(sources, list) else []):
+        source = source if isinstance(source, Mapping) else {}
+        name = str(source.get("source_id") or "").strip()
+        ids.append(name)
+        found += [f"source {name or n} lacks {f}" for f in POLICY_FIELDS if f not in source]
+        found += [f"source {n} has an empty id"] * (not name)
+        found += [f"source {name or n} has an unknown {f}" for f in DECISION_FIELDS if source.get(f) not in DECISIONS]
+    return found + [f"source {i} occurs twice" for i in sorted({i for i in ids if i and ids.count(i) > 1})]
 
 
 def license_gate(config: Mapping) -> list[dict]:
-    """Per source, what keeps it from being acquired."""
+    """A decision for each source. Only ``allowlisted`` for both licences with all evidence and sound digests opens it."""
+    problems = config_problems(config)
+    if problems:
+        raise RuleViolation("; ".join(problems))
     out = []
-    for s in config.get("sources", []):
-        blockers = [f"missing {f}" for f in POLICY_FIELDS if not str(s.get(f) or "").strip()]
-        blockers += [f"bad {f}" for f in ("file_list_sha256", "content_sha256") if s.get(f) and not re.fullmatch("[0-9a-f]{64}", str(s[f]).strip().lower())]
-        blockers += [f"{f} isn't allow" for f in ("license_decision", "underlying_image_license_decision") if str(s.get(f) or "").strip().lower() not in ("allow", "allowed", "approved")]
-        out.append({"source_id": s.get("source_id"), "selected": bool(s.get("selected")), "acquisition_allowed": not blockers, "blockers": blockers})
+    for source in config["sources"]:
+        missing = [f for f in EVIDENCE_FIELDS if source[f] in (None, "")]
+        unsound = [f for f in ("file_list_sha256", "content_sha256") if f not in missing and not re.fullmatch("[0-9a-f]{64}", str(source[f]).strip().lower())]
+        complete = not missing and not unsound
+        out.append(
+            {k: source[k] for k in ("source_id", "dataset", *DECISION_FIELDS)}
+            | {"selected": bool(source["selected"]), "metadata_complete": complete, "missing_fields": ",".join(missing), "invalid_hash_fields": ",".join(unsound)}
+            | {"acquisition_allowed": complete and all(source[f] == "allowlisted" for f in DECISION_FIELDS)}
+        )
     return out
 
 
@@ -147,7 +175,7 @@ def assert_gate(config: Mapping) -> None:
     """Every selected source may be acquired."""
     shut = [g for g in license_gate(config) if g["selected"] and not g["acquisition_allowed"]]
     if shut:
-        raise RuleViolation("; ".join(f"{g['source_id']}: {', '.join(g['blockers'])}" for g in shut))
+        raise RuleViolation("not to be acquired: " + ", ".join(f"{g['source_id']} ({g['license_decision']})" for g in shut))
 
 
 def manifest_rules(df: DataFrame, policies: DataFrame, sealed_generators: Sequence[str] = ()) -> DataFrame:
@@ -175,47 +203,75 @@ def withheld(df: DataFrame, opened: bool) -> DataFrame:
     return df if opened else df.where(F.coalesce(F.col("phase") != "final_confirmation", F.lit(True)))
 
 
-def training_manifest_rules(df: DataFrame) -> DataFrame:
-    """Nulls, enums, pools by split, kinds by label, authentic-only pools, derived rows in the detector pool only."""
+def normalized_manifest(df: DataFrame) -> DataFrame:
+    """A training manifest with stripped ids, stripped and case-folded enumerations, and ``target`` by label."""
     require_columns(df, TRAINING_COLUMNS)
+    if "source_parent_id" not in df.columns:
+        df = df.withColumn("source_parent_id", F.lit(None).cast("string"))
+    text = lambda c: F.trim(F.col(c).cast("string"))
+    groups = [g for g in LEAKAGE_GROUPS if g in df.columns]
+    out = df.withColumns({c: text(c) for c in ("parent_id", "source_parent_id", *groups)} | {c: F.lower(text(c)) for c in ("split", "training_pool", "sample_kind", "label")})
+    return out.withColumn("target", F.when(F.col("label").isin(*AUTHENTIC_LABELS), 0).when(F.col("label").isin(*NATIVE_LABELS, *DERIVED_LABELS), 1))
+
+
+def training_manifest_rules(df: DataFrame) -> DataFrame:
+    """Nulls, enums, pools by split, known labels, kinds by label, demo rows, authentic-only pools, derived rows in the
+    detector pool only, groups on one side, pairs.
+    """
+    df = normalized_manifest(df)
     pool, split, kind, label = (F.col(c) for c in ("training_pool", "split", "sample_kind", "label"))
+    expected = F.when(label.isin(*AUTHENTIC_LABELS), "authentic").when(label.isin(*DERIVED_LABELS), "dda").otherwise("native_aigc")
+    demo = F.lower("generation_model").contains("dall-e advanced") & F.col("source_dataset").rlike("(?i)COCO.*val2017")
     rows = row_rules(df, F.col("parent_id"), {
-        "null_field": F.greatest(*[F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == "") for c in ("parent_id", "lineage_id", "split", "training_pool", "label", "sample_kind", "local_path")]),
+        "null_field": F.greatest(*[F.col(c).isNull() for c in TRAINING_COLUMNS], *[F.col(c) == "" for c in ("parent_id", "lineage_id")]),
         "bad_split": ~F.coalesce(split.isin(*SPLITS), F.lit(False)),
         "bad_pool": ~F.coalesce(pool.isin(*POOLS), F.lit(False)),
         "bad_kind": ~F.coalesce(kind.isin(*KINDS), F.lit(False)),
         "pool_outside_train": (split != "train") & (pool != "none"),
         "train_without_pool": (split == "train") & (pool == "none"),
-        "label_kind_mismatch": (kind == "authentic") != (label == "authentic"),
+        "forbidden_label": forbidden_label(label, FORBIDDEN_TOKENS),
+        "unknown_label": F.col("target").isNull(),
+        "label_kind_mismatch": kind != expected,
+        "demo_row": F.coalesce(demo, F.lit(False)),
         "generated_in_authentic_pool": pool.isin("memory", "capacity", "authentic_null") & (kind != "authentic"),
         "derived_outside_detector": (kind == "dda") & (pool != "detector"),
-        "forbidden_label": forbidden_label(label),
     })
-    leaks = group_leakage(df, [g for g in ("lineage_id", "master_id", "prompt_group_id", "duplicate_group_id") if g in df.columns], ["split", "training_pool"])
+    named = df.withColumns({g: F.nullif(F.col(g), F.lit("")) for g in LEAKAGE_GROUPS if g in df.columns})
+    leaks = group_leakage(named, [g for g in LEAKAGE_GROUPS if g in df.columns], ["split", "training_pool"])
     return union([empty_table(df), rows, duplicate_keys(df, ["parent_id"], "duplicate_parent"), leaks, pair_rules(df)])
 
 
 def pair_rules(df: DataFrame) -> DataFrame:
-    """A derived row's source is there, authentic, of the same lineage, split and pool; sources have one derivative."""
+    """A derived row's source is there, authentic, of the same lineage and with it in the train split's detector pool;
+    sources have one derivative.
+    """
     made = df.where("sample_kind = 'dda'")
     source = df.select(F.col("parent_id").alias("source_parent_id"), F.col("sample_kind").alias("k_"), F.col("lineage_id").alias("l_"), F.col("split").alias("s_"), F.col("training_pool").alias("p_"))
     joined = made.join(source, "source_parent_id", "left")
     lost = F.col("k_").isNull()
+    apart = (F.col("s_") != F.col("split")) | (F.col("p_") != F.col("training_pool")) | (F.col("s_") != "train") | (F.col("p_") != "detector")
     rows = row_rules(joined, F.col("parent_id"), {
         "pair_source_missing": lost,
         "pair_source_not_authentic": ~lost & (F.coalesce(F.col("k_"), F.lit("")) != "authentic"),
         "pair_other_lineage": ~lost & F.coalesce(F.col("l_") != F.col("lineage_id"), F.lit(False)),
-        "pair_other_side": ~lost & F.coalesce((F.col("s_") != F.col("split")) | (F.col("p_") != F.col("training_pool")), F.lit(False)),
+        "pair_other_side": ~lost & F.coalesce(apart, F.lit(False)),
     })
     return union([rows, duplicate_keys(made.where(F.col("source_parent_id").isNotNull()), ["source_parent_id"], "pair_source_reused")])
 
 
 def load_subset(df: DataFrame, splits: Sequence[str] | None = None, pools: Sequence[str] | None = None, rules: Callable[[DataFrame], DataFrame] = training_manifest_rules) -> DataFrame:
-    """The whole manifest is checked by an action first, then filtered; never one plan."""
+    """The whole manifest is checked by an action first, then filtered; never one plan. Unknown splits and pools raise."""
+    wanted = {}
+    for column, asked, known in (("split", splits, SPLITS), ("training_pool", pools, POOLS)):
+        if asked is not None:
+            wanted[column] = [str(x).strip().lower() for x in asked]
+            if not set(wanted[column]) <= set(known):
+                raise RuleViolation(f"unknown {column}: {', '.join(sorted(set(wanted[column]) - set(known)))}")
     assert_clean(rules(df), "training manifest")
-    if splits is not None:
-        df = df.where(F.col("split").isin(*splits))
-    return df if pools is None else df.where(F.col("training_pool").isin(*pools))
+    out = normalized_manifest(df)
+    for column, values in wanted.items():
+        out = out.where(F.col(column).isin(*values))
+    return out
 
 
 def evaluation_record_rules(df: DataFrame, dataset: str = "dataset_id", parent: str = "parent_id", target: str = "target", path: str = "image_path") -> DataFrame:

@@ -128,26 +128,37 @@ def assigned_index(base_seed: int, dataset: Column, parent: Column, length: int,
     return F.pmod(uint64(joined_hash(":", base_seed, dataset, parent, f"assigned-chain-length-{length}")), F.lit(bank).cast(U64)).cast("int")
 
 
+def hash_places(df: DataFrame, within: Sequence[str], order: Column, unique: str, name: str) -> DataFrame:
+    """Each row's place, from 0, by a hexadecimal hash and then ``unique`` within its group.
+
+    Rows are numbered within 256 hash ranges and moved up by the counts of the ranges below, so no task holds a group.
+    """
+    put = df.withColumns({"h_": order, "hr_": F.substring(order, 1, 2)})
+    counts = put.groupBy(*within, "hr_").agg(F.count(F.lit(1)).alias("n_"))
+    below = counts.select(*within, "hr_", (F.sum("n_").over(Window.partitionBy(*within).orderBy("hr_")) - F.col("n_")).alias("below_"))
+    own = put.withColumn("own_", F.row_number().over(Window.partitionBy(*within, "hr_").orderBy("h_", unique)) - 1)
+    return same(own, below, [*within, "hr_"]).withColumn(name, F.col("below_") + F.col("own_")).drop("h_", "hr_", "below_", "own_")
+
+
 def cyclic_assignment(df: DataFrame, within: Sequence[str], values: Sequence, order: Column, unique: str, name: str) -> DataFrame:
     """Each of ``values`` equally often, +-1, within groups: hash order and cyclic fill."""
     pick = F.array(*[F.lit(v) for v in values])
-    place = F.row_number().over(Window.partitionBy(*within).orderBy(order, unique)) - 1
-    return df.withColumn(name, F.element_at(pick, (F.pmod(place, F.lit(len(values))) + 1).cast("int")))
+    return hash_places(df, within, order, unique, "cyc_").withColumn(name, F.element_at(pick, (F.pmod("cyc_", F.lit(len(values))) + 1).cast("int"))).drop("cyc_")
 
 
 def uniform_chains(records: DataFrame, variants: dict[str, Sequence[str]], base_seed: int, lengths: Sequence[int] = (1, 2, 3, 4, 5, 6), dataset: str = "dataset_id", parent: str = "parent_id", target: str = "target", stratum_col: str = "sampling_stratum") -> DataFrame:
     """Counterbalanced chains (X19): length per record, family per position and variant per family are +-1 equal in strata.
 
-    Adds transform_step_count and steps: array<struct<position, family, variant>>. One window per level, all distributed.
+    Adds transform_step_count and steps: array<struct<position, family, variant>>.
     """
     within, families = [dataset, target, stratum_col], list(variants)
     rows = cyclic_assignment(records, within, lengths, joined_hash(":", base_seed, F.col(dataset), F.col(parent), "chain-length"), parent, "transform_step_count")
     steps = rows.select(dataset, parent, target, stratum_col, F.explode(F.sequence(F.lit(1), F.col("transform_step_count"))).alias("position"))
     steps = cyclic_assignment(steps, [*within, "position"], families, joined_hash(":", base_seed, F.col(dataset), F.col(parent), F.col("position"), "family"), parent, "family")
-    place = F.row_number().over(Window.partitionBy(*within, "position", "family").orderBy(joined_hash(":", base_seed, F.col(dataset), F.col(parent), F.col("position"), "severity"), parent)) - 1
+    steps = hash_places(steps, [*within, "position", "family"], joined_hash(":", base_seed, F.col(dataset), F.col(parent), F.col("position"), "severity"), parent, "place_")
     banks = F.create_map(*[x for f, v in variants.items() for x in (F.lit(f), F.array(*[F.lit(i) for i in v]))])
     bank = banks[F.col("family")]
-    steps = steps.withColumn("place_", place).withColumn("variant", F.element_at(bank, (F.pmod(F.col("place_"), F.size(bank)) + 1).cast("int")))
+    steps = steps.withColumn("variant", F.element_at(bank, (F.pmod(F.col("place_"), F.size(bank)) + 1).cast("int")))
     chains = steps.groupBy(dataset, parent).agg(F.sort_array(F.collect_list(F.struct("position", "family", "variant"))).alias("steps"))
     return same(rows, chains, [dataset, parent], "left")
 
@@ -201,3 +212,49 @@ def cyclic_pairing(left: DataFrame, right: DataFrame, within: Sequence[str], lef
     sizes = right.groupBy(*within).agg(F.count(F.lit(1)).alias("n_"))
     a = same(a, sizes, within).withColumn("at_", F.pmod(F.col("place_"), F.col("n_")))
     return same(a, b, [*within, "at_"]).drop("place_", "n_", "at_")
+
+
+def balanced_batches(manifest: DataFrame, batches: int, real: int, native: int, derived: int = 0, seed: int = 0, epoch: int = 0) -> DataFrame:
+    """batch, slot, parent_id, sample_kind of an epoch's batches.
+
+    A batch holds ``derived`` derived rows with their sources, ``native`` generated rows and authentic ones up to ``real``, each
+    row once. Every kind has a stream: its groups (generator_family, of authentic rows source_dataset) take turns, and a
+    group's rows follow each other in hash order of seed and epoch, from a new start in each cycle. Authentic rows that the
+    batch has as sources are passed over. A kind without rows that is asked for raises.
+    """
+    counts = {"dda": derived, "native_aigc": native, "authentic": real - derived}
+    found = {r["sample_kind"]: r["count"] for r in manifest.groupBy("sample_kind").count().collect()}
+    lacking = [k for k, n in counts.items() if n > 0 and not found.get(k)]
+    if lacking or counts["authentic"] < 0:
+        raise ValueError(f"no rows of {', '.join(lacking)}" if lacking else "fewer authentic rows than derived ones")
+    made = _stream(manifest, "dda", "generator_family", batches, derived, 0, seed, epoch)
+    sources = made.select("batch", F.col("source_parent_id").alias("parent_id"), F.lit("authentic").alias("sample_kind"), F.lit(0).alias("part"), "turn")
+    own = _stream(manifest, "authentic", "source_dataset", batches, counts["authentic"], derived, seed, epoch)
+    own = own.join(sources.select("batch", "parent_id"), ["batch", "parent_id"], "left_anti")
+    rows = [sources]
+    for part, (df, n) in enumerate(((made, derived), (_stream(manifest, "native_aigc", "generator_family", batches, native, 0, seed, epoch), native), (own, counts["authentic"])), 1):
+        once = df.groupBy("batch", "parent_id", "sample_kind").agg(F.min("turn").alias("turn"))
+        kept = once.withColumn("k_", F.row_number().over(Window.partitionBy("batch").orderBy("turn"))).where(F.col("k_") <= n)
+        rows.append(kept.select("batch", "parent_id", "sample_kind", F.lit(part).alias("part"), "turn"))
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    slot = F.row_number().over(Window.partitionBy("batch").orderBy(joined_hash(":", seed, F.lit(epoch), F.col("batch"), F.col("part"), F.col("parent_id")))) - 1
+    return out.withColumn("slot", slot).select("batch", "slot", "parent_id", "sample_kind")
+
+
+def _stream(manifest: DataFrame, kind: str, group: str, batches: int, count: int, spare: int, seed: int, epoch: int) -> DataFrame:
+    """batch, turn and the rows of a kind's stream: count rows of each batch and, at most, ``spare`` to fall back on."""
+    rows = manifest.where(F.col("sample_kind") == kind).withColumn("g_", F.coalesce(F.col(group).cast("string"), F.lit("")))
+    rows = hash_places(rows, ["g_"], joined_hash(":", seed, F.lit(epoch), F.lit(kind), F.col("parent_id")), "parent_id", "place_")
+    sizes = rows.groupBy("g_").agg(F.count(F.lit(1)).alias("n_"))
+    groups = sizes.withColumn("at_", F.row_number().over(Window.orderBy("g_")) - 1).crossJoin(sizes.agg(F.count(F.lit(1)).alias("of_")))  # a row for each group
+    turns = manifest.sparkSession.range(batches).select(F.col("id").alias("batch"), F.explode(F.sequence(F.lit(0), F.lit(max(0, count + spare - 1)))).alias("slot_")) if count + spare else manifest.sparkSession.range(0).select(F.col("id").alias("batch"), F.col("id").cast("int").alias("slot_"))
+    turns = turns.withColumn("turn", F.col("batch") * F.lit(count) + F.col("slot_"))
+    placed = turns.crossJoin(F.broadcast(groups.agg(F.count(F.lit(1)).alias("of2_")))).withColumn("at_", F.pmod("turn", F.greatest("of2_", F.lit(1))))
+    placed = placed.join(F.broadcast(groups.select("at_", "g_", "n_", "of_")), "at_").withColumn("round_", F.expr("turn div of_"))
+    cycle = F.expr("round_ div n_")
+    start = F.conv(F.substring(joined_hash(":", seed, F.lit(epoch), F.lit(kind), F.col("g_"), cycle), 1, 8), 16, 10).cast("long")
+    placed = placed.withColumn("place_", F.pmod(F.col("round_") + start, F.col("n_")))
+    chosen = rows.select("g_", "place_", "parent_id", "sample_kind", "source_parent_id")
+    return placed.select("batch", "turn", "g_", "place_").join(chosen.hint("merge"), ["g_", "place_"]).select("batch", "turn", "parent_id", "sample_kind", "source_parent_id")

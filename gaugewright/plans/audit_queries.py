@@ -164,16 +164,16 @@ def group_distinct(t: Tables):
 
 @query(
     "v04_dual_retrieval",
-    """WITH p AS (SELECT vec_id, label % 2 AS target, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 16 = 0), q AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 16 = 1),
-s AS (SELECT q.vec_id AS query, p.target, list_cosine_similarity(q.e, p.e) AS c, row_number() OVER (PARTITION BY q.vec_id, p.target ORDER BY list_cosine_similarity(q.e, p.e) DESC, p.vec_id) AS r FROM q CROSS JOIN p QUALIFY r <= 3), w AS (SELECT *, exp(c / 0.1::DOUBLE - max(c / 0.1::DOUBLE) OVER (PARTITION BY query, target)) AS x FROM s), n AS (SELECT query, target, x / sum(x) OVER (PARTITION BY query, target) AS w FROM w)
+    """WITH p AS (SELECT vec_id, label % 2 AS target, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT * FROM p WHERE vec_id % 100 = 0),
+s AS (SELECT q.vec_id AS query, p.target, list_cosine_similarity(q.e, p.e) AS c, row_number() OVER (PARTITION BY q.vec_id, p.target ORDER BY list_cosine_similarity(q.e, p.e) DESC, p.vec_id) AS r FROM q JOIN p ON q.vec_id <> p.vec_id QUALIFY r <= 3), w AS (SELECT *, exp(c / 0.1::DOUBLE - max(c / 0.1::DOUBLE) OVER (PARTITION BY query, target)) AS x FROM s), n AS (SELECT query, target, x / sum(x) OVER (PARTITION BY query, target) AS w FROM w)
 SELECT query, target::BIGINT AS target, round(max(w), 6) AS max_attention, round(-sum(w * ln(w)) / ln(3), 6) AS relative_entropy FROM n GROUP BY query, target""",
 )
 def dual(t: Tables):
-    """Neighbours and attention in a dictionary per class."""
+    """Neighbours and attention among the rows of each class, for the stated query set."""
     every = t.embeddings
     out = None
     for target in (0, 1):
-        near = V.top_k(every.where("vec_id % 16 = 1"), every.where(f"vec_id % 16 = 0 and label % 2 = {target}"), 3, "vec_id", "vec_id")
+        near = V.top_k(every.where("vec_id % 100 = 0"), every.where(f"label % 2 = {target}"), 3, "vec_id", "vec_id", others=True)
         part = V.attention(near, 64, 3, 0.1).groupBy("query").agg(F.first("max_attention").alias("max_attention"), F.first("relative_entropy").alias("relative_entropy")).withColumn("target", F.lit(target))
         out = part if out is None else out.unionByName(part)
     return out

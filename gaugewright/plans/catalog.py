@@ -134,4 +134,4 @@ def rounded(columns: list[str], prefix: str = "") -> str:
     return ", ".join(f"round({prefix}{c}, {DIGITS}) AS {c}" for c in columns)
 
 
-from gaugewright.plans import audit_queries, drift_queries, image_queries, metric_queries, relational_queries, sampling_queries, vector_queries  # noqa: E402, F401
+from gaugewright.plans import audit_queries, drift_queries, image_queries, io_queries, metric_queries, relational_queries, sampling_queries, vector_queries  # noqa: E402, F401

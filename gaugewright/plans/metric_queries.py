@@ -237,10 +237,11 @@ def objectives(t: Tables):
 
 @query(
     "a51_partial_auc_surrogate",
-    f"WITH {SCORES}, n AS (SELECT score / 1000 AS s, row_number() OVER (ORDER BY score DESC) AS r, ceil(count(*) OVER () * 0.05::DOUBLE) AS k FROM scores WHERE target = 0) SELECT round(avg(greatest(n.s - p.score / 1000, 0) + ln(1 + exp(-abs(n.s - p.score / 1000)))), 6) AS loss FROM n CROSS JOIN scores p WHERE n.r <= n.k AND p.target = 1",
+    f"WITH {SCORES}, b AS (SELECT *, score / 1000 AS s, doc_id // 256 AS batch FROM scores), n AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY s DESC) AS r, ceil(count(*) OVER (PARTITION BY batch) * 0.05::DOUBLE) AS k FROM b WHERE target = 0), l AS (SELECT n.batch, round(avg(greatest(n.s - p.s, 0) + ln(1 + exp(-abs(n.s - p.s)))), 6) AS loss FROM n JOIN b p ON n.batch = p.batch WHERE n.r <= n.k AND p.target = 1 GROUP BY n.batch) SELECT x.batch::BIGINT AS batch, loss FROM (SELECT DISTINCT batch FROM b) x LEFT JOIN l ON x.batch = l.batch",
 )
 def surrogate(t: Tables):
-    return A.partial_auc_surrogate(t.scores.withColumn("s", F.col("score") / 1000.0), "target", "s")
+    """The objective of each batch of up to 256 neighbouring ids."""
+    return A.partial_auc_surrogate(t.scores.withColumns({"s": F.col("score") / 1000.0, "batch": F.expr("doc_id div 256")}), "target", "s", batch=["batch"])
 
 
 @query(
@@ -261,8 +262,7 @@ def options(t: Tables):
     f"WITH {SCORES} SELECT doc_id, round((rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0::DOUBLE) / count(*) OVER (), 6) AS percentile FROM scores",
 )
 def percent_rank(t: Tables):
-    rows = t.scores.withColumn("all_", F.lit(1))
-    return rows.select("doc_id", R.positive_rank_percentile(rows, ["all_"], "score").alias("percentile"))
+    return R.with_rank_percentile(t.scores, [], "score", "percentile").select("doc_id", "percentile")
 
 
 @query("a28_bootstrap")

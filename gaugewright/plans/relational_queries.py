@@ -168,15 +168,15 @@ def pivot_join(t: Tables):
 
 @query(
     "j22_best_match",
-    """WITH b AS (SELECT s_nationkey AS k, list(s_suppkey ORDER BY s_suppkey) AS p FROM supplier WHERE s_suppkey <= 40 GROUP BY s_nationkey), w AS (SELECT list(s_suppkey ORDER BY s_suppkey) AS p FROM supplier WHERE s_suppkey <= 40),
-c AS (SELECT c_custkey, c_nationkey AS k, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS i, row_number() OVER (ORDER BY c_custkey) - 1 AS j FROM customer WHERE c_custkey <= 500)
+    """WITH b AS (SELECT s_nationkey AS k, list(s_suppkey ORDER BY s_suppkey) AS p FROM supplier GROUP BY s_nationkey), w AS (SELECT list(s_suppkey ORDER BY s_suppkey) AS p FROM supplier),
+c AS (SELECT c_custkey, c_nationkey AS k, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS i, row_number() OVER (ORDER BY c_custkey) - 1 AS j FROM customer)
 SELECT c_custkey, CASE WHEN b.p IS NOT NULL THEN b.p[(i % len(b.p) + 1)::INT] ELSE w.p[(j % len(w.p) + 1)::INT] END AS match, CASE WHEN b.p IS NOT NULL THEN 0 ELSE 1 END::BIGINT AS match_tier FROM c LEFT JOIN b ON c.k = b.k CROSS JOIN w""",
 )
 def best_match(t: Tables):
     """A partner of the own nation, else any, in turn."""
-    left = t.customer.where("c_custkey <= 500").select("c_custkey", F.col("c_nationkey").alias("k"))
-    right = t.supplier.where("s_suppkey <= 40").select("s_suppkey", F.col("s_nationkey").alias("k"))
-    return A.best_match(left, right, [["k"], []], "s_suppkey").select("c_custkey", "match", "match_tier")
+    left = t.customer.select("c_custkey", F.col("c_nationkey").alias("k"))
+    right = t.supplier.select("s_suppkey", F.col("s_nationkey").alias("k"))
+    return A.best_match(left, right, [["k"], []], "s_suppkey", "c_custkey").select("c_custkey", "match", "match_tier")
 
 
 @query("j25_condition_product", "SELECT item_id, c AS condition FROM benchmark CROSS JOIN (VALUES ('clean'), ('jpeg_q90'), ('jpeg_q70')) v(c)")

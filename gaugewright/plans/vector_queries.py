@@ -8,13 +8,14 @@ from gaugewright.operators import reliability as Q
 from gaugewright.operators import retrieval as V
 from gaugewright.plans.catalog import LINES, Tables, query
 
-TOP = """p AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 16 = 0), q AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 16 <> 0),
-s AS (SELECT q.vec_id AS query, p.vec_id AS prototype, list_cosine_similarity(q.e, p.e) AS cosine FROM q CROSS JOIN p), t AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, prototype) AS rank FROM s QUALIFY rank <= 4)"""
+#: The stated query set: every id divisible by 100, against all rows but itself.
+TOP = """p AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT * FROM p WHERE vec_id % 100 = 0),
+s AS (SELECT q.vec_id AS query, p.vec_id AS prototype, list_cosine_similarity(q.e, p.e) AS cosine FROM q JOIN p ON q.vec_id <> p.vec_id), t AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, prototype) AS rank FROM s QUALIFY rank <= 4)"""
 
 
 def _top(t: Tables):
     every = t.embeddings
-    return V.top_k(every.where("vec_id % 16 <> 0"), every.where("vec_id % 16 = 0"), 4, "vec_id", "vec_id")
+    return V.top_k(every.where("vec_id % 100 = 0"), every, 4, "vec_id", "vec_id", others=True)
 
 
 @query("v01_normalize", "SELECT vec_id, round(list_aggregate([x::DOUBLE / sqrt(list_aggregate([y::DOUBLE * y::DOUBLE for y in embedding], 'sum')) for x in embedding], 'sum'), 6) AS total FROM embeddings")
@@ -24,7 +25,7 @@ def normalize(t: Tables):
 
 @query("v02_top_k", f"WITH {TOP} SELECT query, prototype, round(cosine, 6) AS cosine, rank::BIGINT AS rank FROM t")
 def top(t: Tables):
-    """Exact top-4 cosine against a dictionary of prototypes."""
+    """Exact top-4 cosine of the stated query set against all rows."""
     return _top(t)
 
 
@@ -64,15 +65,15 @@ def prototypes(t: Tables):
     return V.fit_prototypes(t.embeddings, "embedding", 8).select("prototype_id", F.size("embedding").alias("dim"))
 
 
-@query("v10_diversity", "WITH p AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 16 = 0), g AS (SELECT list_cosine_similarity(a.e, b.e) - CASE WHEN a.vec_id = b.vec_id THEN 1 ELSE 0 END AS x FROM p a CROSS JOIN p b) SELECT round(sqrt(sum(x * x)), 6) AS diversity FROM g")
+@query("v10_diversity", "WITH p AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), g AS (SELECT list_cosine_similarity(a.e, b.e) - CASE WHEN a.vec_id = b.vec_id THEN 1 ELSE 0 END AS x FROM p a CROSS JOIN p b) SELECT round(sqrt(sum(x * x)), 6) AS diversity FROM g")
 def diversity(t: Tables):
     """|G - I| through dimension pairs instead of prototype pairs."""
-    return V.diversity(t.embeddings.where("vec_id % 16 = 0"), prototype_id="vec_id")
+    return V.diversity(t.embeddings, prototype_id="vec_id")
 
 
 @query("a46_usage", f"WITH {TOP}, h AS (SELECT prototype, count(*) AS hits FROM t WHERE rank = 1 GROUP BY prototype) SELECT p.vec_id AS prototype, coalesce(hits, 0)::BIGINT AS hits, round(coalesce(hits, 0)::DOUBLE / (SELECT sum(hits) FROM h), 6) AS share, hits IS NULL AS dead FROM p LEFT JOIN h ON p.vec_id = h.prototype")
 def usage(t: Tables):
-    return V.usage(_top(t).where("rank = 1"), t.embeddings.where("vec_id % 16 = 0"), "vec_id")
+    return V.usage(_top(t).where("rank = 1"), t.embeddings, "vec_id")
 
 
 @query(

@@ -129,6 +129,18 @@ def receipt(spark: SparkSession, path: str, record: Mapping) -> None:
     out.close()
 
 
+def put_file(spark: SparkSession, path: str, content: bytes) -> None:
+    """One small file of the driver through Spark's file system: written beside its place, then renamed."""
+    Path = spark._jvm.org.apache.hadoop.fs.Path
+    place, beside = Path(path), Path(f"{path}.tmp")
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(beside, True)
+    out.write(bytearray(content))
+    out.close()
+    fs.delete(place, False)
+    fs.rename(beside, place)
+
+
 def changed_contents(old: DataFrame, new: DataFrame, key: str, digest: str) -> DataFrame:
     """Violations: keys whose content differs from what was saved under them."""
     joined = new.select(key, F.col(digest).alias("new_")).join(old.select(key, F.col(digest).alias("old_")), key)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugewright.operators.ranking import confusion, ranking_aggregates, ratio, running_counts
+from gaugewright.session import shared_folder
 
 
 def windowed_confusion(stream: DataFrame, keys: Sequence[str], ts: str = "ts", every: str = "1 hour", late: str = "2 hours", label: str = "target", score: str = "score", threshold: float = 0.0) -> DataFrame:
@@ -34,25 +35,37 @@ def binned_ranking(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 class StreamingPrototypes:
-    """Weighted mini-batch k-means for foreachBatch (V08): rows are held back until there are k, then centres move."""
+    """Weighted mini-batch k-means for foreachBatch (V08): rows are held back until there are k, then centres move.
 
-    def __init__(self, k: int, vector: str = "embedding", weight: str | None = None, seed: int = 0) -> None:
-        self.k, self.vector, self.weight, self.seed = k, vector, weight, seed
+    Rows held back are written below ``folder`` (by default one in the session's shared folder), as a micro-batch's source
+    may be gone later. A micro-batch that is given again under its id, as after a failure, counts once.
+    """
+
+    def __init__(self, k: int, vector: str = "embedding", weight: str | None = None, seed: int = 0, folder: str | None = None) -> None:
+        self.k, self.vector, self.weight, self.seed, self.folder = k, vector, weight, seed, folder
         self.centres: list[list[float]] | None = None
         self.mass = [0.0] * k
-        self.held: DataFrame | None = None
+        self.held: list[str] = []
+        self.seen: set[int] = set()
 
-    def update(self, batch: DataFrame, batch_id: int = 0) -> None:
+    def update(self, batch: DataFrame, batch_id: int | None = None) -> None:
         """Assignments and sums are distributed; the driver holds k centres."""
         from gaugewright.operators.retrieval import dot, fit_prototypes, normalized
 
+        if batch_id is not None and batch_id in self.seen:
+            return
         w = F.col(self.weight) if self.weight else F.lit(1.0)
-        rows = batch.where(F.col(self.vector).isNotNull()).select(normalized(F.col(self.vector)).alias("v"), w.alias("w"))
-        if self.held is not None:
-            rows, self.held = self.held.unionByName(rows), None
+        rows = batch.where(F.col(self.vector).isNotNull()).select(normalized(F.col(self.vector)).alias("v"), w.cast("double").alias("w"))
         if self.centres is None:
+            spark = batch.sparkSession
+            self.folder = self.folder or shared_folder(spark, "prototypes")
+            path = f"{self.folder}/held-{len(self.held) if batch_id is None else batch_id}"
+            rows.write.mode("overwrite").parquet(path)
+            if path not in self.held:
+                self.held.append(path)
+            rows = spark.read.schema(rows.schema).parquet(*self.held)
             if rows.limit(self.k).count() < self.k:
-                self.held = rows
+                self._done(batch_id)
                 return
             self.centres = [r["embedding"] for r in fit_prototypes(rows.withColumnRenamed("v", "embedding"), "embedding", self.k, self.seed).orderBy("prototype_id").collect()]
         centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in self.centres])
@@ -64,3 +77,9 @@ class StreamingPrototypes:
             self.centres[r["c"]][r["d"]] = (self.centres[r["c"]][r["d"]] * old + r["x"]) / (old + r["w"])
         for c, m in {r["c"]: r["w"] for r in sums if r["d"] == 0}.items():
             self.mass[c] += m
+        self._done(batch_id)
+
+    def _done(self, batch_id: int | None) -> None:
+        """Ids come in order and only the last may come again; so a few are enough."""
+        if batch_id is not None:
+            self.seen = {x for x in self.seen if x > batch_id - 100} | {batch_id}

@@ -5,6 +5,7 @@ import os
 import zipfile
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,14 +91,14 @@ def test_feature_drift(spark):
 
 def test_severity_area_and_interactions(spark):
     values = {"clean": 0.9, "blur_sigma0.5": 0.8, "blur_sigma1": 0.7, "blur_sigma2": 0.6, "color_jitter_minus20": 0.5, "color_jitter_plus20": 0.5}
-    metrics = spark.createDataFrame([("v", "f", c, x, 1) for c, x in values.items()], "view string, feature string, condition string, oriented_auprc double, direction int")
+    metrics = spark.createDataFrame([("v", "f", c, x, 1, 9, False, False) for c, x in values.items()], "view string, feature string, condition string, oriented_auprc double, direction int, parents int, low_power boolean, direction_reversal boolean")
     registry = recipes.condition_frame(spark, "all")
     drops = evaluation.auprc_drops(metrics, registry)
     assert sorted(round(r.auprc_drop, 6) for r in drops.where("transform_family = 'gaussian_blur'").collect()) == [0.1, 0.2, 0.3]
     area = evaluation.severity_areas(drops).collect()
     assert [(r.transform_family, round(r.normalized_severity_auprc_area, 6), round(r.normalized_severity_auprc_drop_area, 6)) for r in area] == [("gaussian_blur", 0.725, 0.175)]
     a, b = "directed-pair__jpeg-q70-sub2__then__blur-s1-pad-pillow", "directed-pair__blur-s1-pad-pillow__then__jpeg-q70-sub2"
-    pairs = spark.createDataFrame([("v", "f", c, x, 1) for c, x in {"clean": 0.9, "jpeg_q70": 0.8, "blur_sigma1": 0.85, a: 0.65, b: 0.75}.items()], metrics.schema)
+    pairs = spark.createDataFrame([("v", "f", c, x, 1, 9, False, False) for c, x in {"clean": 0.9, "jpeg_q70": 0.8, "blur_sigma1": 0.85, a: 0.65, b: 0.75}.items()], metrics.schema)
     found = evaluation.pair_interactions(pairs, registry)
     assert {r.pair_condition: round(r.interaction_excess_auprc_drop, 6) for r in found.collect()} == {a: 0.1, b: 0.0}
     order = evaluation.order_sensitivity(found, registry).collect()
@@ -204,7 +205,7 @@ def test_recipe_banks():
 
 def training_rows(spark, **change):
     base = dict(parent_id="p", lineage_id="l", split="train", training_pool="detector", label="authentic", sample_kind="authentic", generator_family="none", generation_model="none", source_dataset="s", local_path="x", source_parent_id=None)
-    rows = [base, base | {"parent_id": "q", "label": "aigc", "sample_kind": "dda", "source_parent_id": "p"}, base | {"parent_id": "r", "lineage_id": "m", "split": "test", "training_pool": "none"}]
+    rows = [base, base | {"parent_id": "q", "label": "dda", "sample_kind": "dda", "source_parent_id": "p"}, base | {"parent_id": "r", "lineage_id": "m", "split": "test", "training_pool": "none"}]
     rows[1] |= change
     return spark.createDataFrame([tuple(r.values()) for r in rows], ", ".join(f"{c} string" for c in base))
 
@@ -213,7 +214,8 @@ def training_rows(spark, **change):
     ("change", "rule"),
     [
         ({}, None), ({"parent_id": "p"}, "duplicate_parent"), ({"split": "nope"}, "bad_split"), ({"training_pool": "memory"}, "derived_outside_detector"), ({"label": "authentic"}, "label_kind_mismatch"), ({"source_parent_id": "zz"}, "pair_source_missing"),
-        ({"lineage_id": "m"}, "leakage_lineage_id"), ({"label": "tampered"}, "forbidden_label"), ({"local_path": None}, "null_field"),
+        ({"lineage_id": "m"}, "leakage_lineage_id"), ({"label": "tampered"}, "forbidden_label"), ({"local_path": None}, "null_field"), ({"label": "photo"}, "unknown_label"), ({"generation_model": None}, "null_field"),
+        ({"label": " DDA_aligned ", "split": "Train "}, None), ({"generation_model": "DALL-E advanced 3", "source_dataset": "coco-val2017"}, "demo_row"), ({"source_parent_id": " "}, "pair_source_missing"), ({"source_parent_id": "r"}, "pair_other_side"),
     ],
 )
 def test_training_manifest_fails_closed(spark, change, rule):
@@ -224,16 +226,55 @@ def test_training_manifest_fails_closed(spark, change, rule):
             rules.load_subset(training_rows(spark, **change), splits=["train"])
 
 
-def test_license_gate():
-    source = {f: "x" for f in rules.POLICY_FIELDS} | {"source_id": "s", "selected": True, "file_list_sha256": "a" * 64, "content_sha256": "b" * 64, "license_decision": "allow", "underlying_image_license_decision": "allow"}
-    config = {"schema_version": 1, "selection_seed": "s", "acquisition": {}, "final_confirmation": {"phase": "final_confirmation"}, "sources": [source]}
+def expansion_config(**source):
+    policy = {f: "x" for f in rules.POLICY_FIELDS} | {"source_id": "s", "selected": True, "file_list_sha256": "a" * 64, "content_sha256": "b" * 64, "license_decision": "allowlisted", "underlying_image_license_decision": "allowlisted"}
+    final = {"phase": "final_confirmation", "sealed": True, "generator_ids": []}
+    return {"schema_version": 1, "selection_seed": "s", "acquisition": {"default_mode": "dry_run", "require_all_selected_sources_allowlisted": True}, "final_confirmation": final, "sources": [policy | source]}
+
+
+@pytest.mark.parametrize(
+    ("path", "value"),
+    [
+        ("schema_version", 2), ("selection_seed", " "), ("selection_seed", None), ("acquisition.default_mode", "download"), ("acquisition.require_all_selected_sources_allowlisted", "yes"), ("final_confirmation.phase", "discovery"),
+        ("final_confirmation.sealed", False), ("final_confirmation.generator_ids", None), ("sources", []), ("acquisition", None), ("sources", [{}]), ("sources", "s"),
+    ],
+)
+def test_expansion_config_fails_closed(path, value):
+    config = expansion_config()
     assert rules.config_problems(config) == []
-    rules.assert_gate(config)
-    source["content_sha256"] = "zz"
+    at = config
+    *outer, last = path.split(".")
+    for k in outer:
+        at = at[k]
+    at[last] = value
+    assert rules.config_problems(config)
     with pytest.raises(rules.RuleViolation):
         rules.assert_gate(config)
 
 
+@pytest.mark.parametrize(
+    ("change", "allowed"),
+    [
+        ({}, True), ({"license_decision": "pending"}, False), ({"underlying_image_license_decision": "rejected"}, False), ({"content_sha256": "zz"}, False), ({"reviewer": ""}, False), ({"revision": None}, False), ({"content_sha256": " " + "B" * 64}, True),
+    ],
+)
+def test_license_gate(change, allowed):
+    config = expansion_config(**change)
+    assert [g["acquisition_allowed"] for g in rules.license_gate(config)] == [allowed]
+    if allowed:
+        rules.assert_gate(config)
+    else:
+        with pytest.raises(rules.RuleViolation):
+            rules.assert_gate(config)
+        rules.assert_gate(expansion_config(selected=False, **change))
+
+
+@pytest.mark.parametrize("word", ["allow", "approved", "allowed", "", None])
+def test_license_gate_knows_three_words(word):
+    with pytest.raises(rules.RuleViolation):
+        rules.license_gate(expansion_config(license_decision=word))
+
+
 # reliability and retrieval
 
 
@@ -248,6 +289,78 @@ def test_reliability_availability(spark):
     assert one(reliability.occupancy_overlap(cells.where("q = 0"), cells.where("q = 1"), ["cell_q"]))["overlap"] == 0.0
 
 
+@pytest.mark.parametrize("scale", [1e-6, 1.0, 1e3, 1e7, 1e12])
+def test_ranking_at_every_scale(spark, scale):
+    rng = np.random.default_rng(3)
+    score = np.round(rng.normal(size=400), 2) * scale - 0.7 * scale
+    target = (rng.random(400) < 0.4).astype(int)
+    df = spark.createDataFrame(list(zip(target.tolist(), score.tolist(), strict=True)), "target int, score double")
+    got = one(ranking.ranking_metrics(df, [], "target", "score"))
+    pos, neg = score[target == 1], score[target == 0]
+    auc = ((pos[:, None] > neg).sum() + 0.5 * (pos[:, None] == neg).sum()) / (len(pos) * len(neg))
+    assert got["roc_auc"] == pytest.approx(auc, abs=1e-12)
+    assert got["average_precision"] == pytest.approx(aggregates.average_precision(pos, neg), abs=1e-12)
+
+
+def test_score_buckets_are_monotone(spark):
+    values = sorted([0.0, -0.0, 1.0, -1.0, 1e-300, 1e300, -1e300, 0.999999, 1.0000001, -1.0000001, *[s * 10.0**k * m for s in (1, -1) for k in range(-12, 13) for m in (1, 1.5, 9.99)]])
+    rows = spark.createDataFrame([(x,) for x in values], "x double").select("x", ranking.score_bucket(F.col("x"), 64).alias("b")).collect()
+    found = [r.b for r in sorted(rows, key=lambda r: r.x)]
+    assert found == sorted(found) and len(set(found)) > 40
+
+
+def test_spearman_and_ranks(spark):
+    rng = np.random.default_rng(8)
+    rows = [(k % 3, float(x), float(x // 3 + y)) for k, (x, y) in enumerate(rng.integers(0, 12, (200, 2)))] + [(7, 1.0, float(k)) for k in range(4)]
+    df = spark.createDataFrame(rows, "g int, x double, y double")
+    got = {r.g: r.spearman for r in evaluation.spearman(df, ["g"], "x", "y").collect()}
+    frame = pd.DataFrame(rows, columns=["g", "x", "y"])
+    for g, part in frame.groupby("g"):
+        want = 0.0 if part.x.nunique() == 1 else np.corrcoef(part.x.rank(), part.y.rank())[0, 1]
+        assert got[g] == pytest.approx(want, abs=1e-12)
+    shown = {(r.g, r.x): r.p for r in ranking.with_rank_percentile(df, ["g"], "x", "p").collect()}
+    for g, part in frame.groupby("g"):
+        assert all(shown[g, x] == pytest.approx(p) for x, p in zip(part.x, part.x.rank(pct=True), strict=True))
+
+
+def test_best_match_in_turn(spark):
+    left = spark.createDataFrame([(i, "ab"[i % 2] if i % 5 else "c", i % 3) for i in range(200)], "i long, k string, m int")
+    right = spark.createDataFrame([(i, "ab"[i % 2], i % 2) for i in range(13)], "j long, k string, m int")
+    tiers = [["k", "m"], ["k"], []]
+    got = {r.i: (r.match, r.match_tier) for r in aggregates.best_match(left, right, tiers, "j", "i").collect()}
+    rows, others = left.toPandas(), right.toPandas()
+    for i, row in rows.iterrows():
+        for tier, keys in enumerate(tiers):
+            same = lambda d, keys=keys, row=row: d[np.logical_and.reduce([d[k] == row[k] for k in keys])] if keys else d
+            partners = same(others)
+            if len(partners):
+                place = int((same(rows).i < row.i).sum())
+                assert got[row.i] == (int(partners.j.iloc[place % len(partners)]), tier)
+                break
+
+
+def test_clean_drops_need_a_clean_row(spark):
+    m = spark.createDataFrame([("d", "jpeg_q30", 0.5), ("e", "clean", 0.9)], "dataset_id string, condition string, roc_auc double")
+    with pytest.raises(Exception, match="no clean row for d"):
+        evaluation.clean_drops(m, ["dataset_id"], ["roc_auc"]).collect()
+
+
+def test_robustness_frontier(spark):
+    rows = [("a", "clean", 0.9), ("a", "x", 0.2), ("b", "clean", 0.8), ("b", "x", 0.6), ("c", "clean", 0.7), ("c", "x", 0.5)]
+    got = {r.name: (r.clean_value, r.worst_value, r.pareto) for r in evaluation.robustness_frontier(spark.createDataFrame(rows, "name string, condition string, value double"), "name", "value").collect()}
+    assert got == {"a": (0.9, 0.2, True), "b": (0.8, 0.6, True), "c": (0.7, 0.5, False)}
+
+
+def test_registry_says_how_steps_are_done(spark):
+    r = {x.name: x for x in recipes.condition_frame(spark, "all").collect()}
+    assert r["clean"].ordered_operations == "clean" and r["clean"].interpolation_json == "[]"
+    both = r["crop_80__resize_0.5__jpeg_q50"]
+    assert (both.interpolation_json, both.padding_json, both.seed_policy_json) == ('["bicubic", "lanczos", "lanczos"]', "[]", "[]")
+    assert r["blur_sigma1"].padding_json == '["pillow_default"]' and r["noise_sigma0.05"].seed_policy_json.startswith('["sha256(')
+    with pytest.raises(KeyError):
+        recipes.condition_frame(spark, "core", ["nope"])
+
+
 def test_top_k_blocks_equal_dense(spark, monkeypatch):
     rng = np.random.default_rng(2)
     q, p = rng.normal(size=(20, 6)), rng.normal(size=(9, 6))
@@ -310,8 +423,8 @@ def test_codecs_are_gated():
     if not codecs.available():
         with pytest.raises(codecs.CodecMissing):
             codecs.apply_step(np.zeros((16, 16, 3)), "jpeg", {"quality": 70, "subsampling": 2}, 0)
-    out = codecs.apply_recipe(np.full((16, 16, 3), 0.5), [recipes.noise(0.05)], "p", 1)
-    assert out.shape == (16, 16, 3) and np.array_equal(out, codecs.apply_recipe(np.full((16, 16, 3), 0.5), [recipes.noise(0.05)], "p", 1))
+    out = codecs.apply_recipe(np.full((16, 16, 3), 0.5), [recipes.step("gaussian_noise 0.05")], "p", 1)
+    assert out.shape == (16, 16, 3) and np.array_equal(out, codecs.apply_recipe(np.full((16, 16, 3), 0.5), [recipes.step("gaussian_noise 0.05")], "p", 1))
 
 
 # sources and sinks
