@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugewright.operators.ranking import average_ranks, metric_slices, normalized_average_precision, one_against_all, ranking_aggregates, ranking_metrics, ratio, roc_points, same, slice_id, slice_names
+from gaugewright.operators.ranking import average_ranks, count_points, counts_against_all, metric_slices, normalized_average_precision, one_against_all, ranking_aggregates, ranking_metrics, ratio, running_counts, same, score_counts, slice_id, slice_names
 
 D = "double"
 WINDOW_COLUMNS = ("chronological_window", "generator_window", "release_window", "time_window", "window")
@@ -111,28 +111,55 @@ def clean_drops(metrics: DataFrame, keys: Sequence[str], values: Sequence[str],
     return joined.select(*keys, condition, *values, *[drop(v).alias(f"{v}_drop") for v in values])
 
 
-def feature_drift(rows: DataFrame, directions: DataFrame, by: Sequence[str] = ("view", "condition", "feature", "target", "transform_family", "official_transform")) -> DataFrame:
-    """Oriented condition-minus-clean drift of parents (A10). rows: parent_id, view, target, condition, feature, value and by."""
+def feature_drift(rows: DataFrame, directions: DataFrame, by: Sequence[str] = ("view", "condition", "feature", "target", "transform_family", "official_transform"), medians: Sequence[str] = ("signed", "absolute", "within")) -> DataFrame:
+    """Oriented condition-minus-clean drift of parents (A10, J01, J02). rows: parent_id, view, target, condition, feature, value and
+    by, which includes view, feature and target. One exchange brings a parent's rows together; the medians are exact, from
+    counts by value (``exact_medians``).
+    """
     parent = ["parent_id", "view", "target", "feature"]
-    clean = rows.where(F.col("condition") == "clean").groupBy(*parent).agg(F.avg("value").alias("clean_value"))
-    spread = rows.groupBy(*parent).agg(F.var_pop("value").alias("within"))
-    joined = same(same(rows.where(F.col("condition") != "clean"), clean, parent), spread, parent, "left").join(F.broadcast(directions.select("view", "feature", "direction")), ["view", "feature"])
-    joined = joined.where(finite("value") & finite("clean_value") & finite("within"))
-    signed = F.col("direction").cast(D) * (F.col("value") - F.col("clean_value"))
-    median = lambda c: F.percentile(c, F.lit(0.5))
-    out = joined.withColumn("signed", signed).groupBy(*by, "direction")
-    return out.agg(
-        F.count_distinct("parent_id").alias("paired_parents"), F.avg("signed").alias("signed_drift_mean"), median(F.col("signed")).alias("signed_drift_median"), F.stddev_pop("signed").alias("signed_drift_std"),
-        F.avg(F.abs("signed")).alias("absolute_drift_mean"), median(F.abs("signed")).alias("absolute_drift_median"),
-        F.avg("within").alias("within_parent_transform_variance_mean"), median(F.col("within")).alias("within_parent_transform_variance_median"),
+    named = rows.join(F.broadcast(_local(directions)), ["view", "feature"]).withColumn("slice_", slice_id([*by, "direction"]))
+    names = named.where(F.col("condition") != "clean").select("slice_", *by, "direction").distinct()
+    # Numbers alone travel: two hashes of the parent, one of the slice.
+    key = [x for c in parent for x in (F.col(c), F.col(c).isNull())]
+    moved = named.select(F.xxhash64(*key).alias("k1_"), F.xxhash64(F.lit(1), *key).alias("k2_"), "slice_", F.col("parent_id").isNotNull().alias("has_"), (F.col("condition") == "clean").alias("clean_"), "value", F.col("direction").cast(D).alias("sign_"))
+    whole = Window.partitionBy("k1_", "k2_")
+    before = F.lag("slice_").over(whole.orderBy("slice_"))
+    told = moved.withColumns({"clean_value": F.avg(F.when(F.col("clean_"), F.col("value"))).over(whole), "within": F.var_pop("value").over(whole), "first_": F.coalesce(before != F.col("slice_"), F.lit(True))})
+    fine = told.where(~F.col("clean_") & finite("value") & finite("clean_value") & finite("within"))
+    signed = fine.withColumn("signed", F.col("sign_") * (F.col("value") - F.col("clean_value")))
+    found = signed.groupBy("slice_").agg(
+        F.count_if(F.col("first_") & F.col("has_")).alias("paired_parents"), F.avg("signed").alias("signed_drift_mean"), F.stddev_pop("signed").alias("signed_drift_std"),
+        F.avg(F.abs("signed")).alias("absolute_drift_mean"), F.avg("within").alias("within_parent_transform_variance_mean"),
     )
+    out = names.join(found, "slice_")
+    every = {"signed": ("signed_drift_median", F.col("signed")), "absolute": ("absolute_drift_median", F.abs("signed")), "within": ("within_parent_transform_variance_median", F.col("within"))}
+    middle = exact_medians(signed, "slice_", dict(every[m] for m in medians))
+    return out.join(middle, "slice_").drop("slice_")
+
+
+def exact_medians(df: DataFrame, slice_: str, values: dict[str, Column]) -> DataFrame:
+    """slice_ and the exact median of each value: counts by value, running counts, and the one or two values in the middle."""
+    long = df.select(F.col(slice_), F.explode(F.array(*[F.struct(F.lit(k).alias("k"), (v.cast(D) + F.lit(0.0)).alias("v")) for k, v in enumerate(values.values())])).alias("x"))
+    counts = long.where(F.col("x.v").isNotNull()).groupBy(F.xxhash64(slice_, "x.k").alias("s_"), F.col(slice_).alias("own_"), F.col("x.k").alias("k"), F.col("x.v").alias("score")).agg(F.count(F.lit(1)).alias("pos"))
+    names = counts.select("s_", "own_", "k").distinct()
+    run = running_counts(counts.select("s_", "score", "pos", F.lit(0).cast("long").alias("neg")), ["s_"])
+    low, high = F.col("total_pos") - F.col("tp") + 1, F.col("total_pos") - F.col("tp") + F.col("pos")  # ranks, from the least
+    at = lambda rank: F.max(F.when((rank >= low) & (rank <= high), F.col("score")))
+    half = run.groupBy("s_").agg(at(F.expr("(total_pos + 1) div 2")).alias("a_"), at(F.expr("total_pos div 2 + 1")).alias("b_"))
+    found = names.join(half, "s_").groupBy("own_").agg(*[F.max(F.when(F.col("k") == k, (F.col("a_") + F.col("b_")) / 2.0)).alias(n) for k, n in enumerate(values)])
+    return found.withColumnRenamed("own_", slice_)
 
 
 def learned_directions(rows: DataFrame, keys: Sequence[str] = ("view", "feature"), target: str = "target") -> DataFrame:
     """AP of value and of -value; the better sign, +1 on ties (M23). rows: the discovery phase's clean long rows."""
-    fine = rows.where(finite("value"))
-    signed = fine.select(*keys, target, F.explode(F.array(F.struct(F.lit(1).alias("sign"), F.col("value").alias("v")), F.struct(F.lit(-1).alias("sign"), (-F.col("value")).alias("v")))).alias("x")).select(*keys, target, "x.sign", "x.v")
-    ap = ranking_metrics(signed, [*keys, "sign"], target, "v").groupBy(*keys).agg(F.max(F.when(F.col("sign") == 1, F.col("average_precision"))).alias("forward_auprc"), F.max(F.when(F.col("sign") == -1, F.col("average_precision"))).alias("reverse_auprc"))
+    fine = rows.withColumn("own_", slice_id(keys))
+    counts = score_counts(fine, ["own_"], target, "value")
+    both = counts.select("own_", "pos", "neg", F.explode(F.array(F.struct(F.lit(1).alias("sign"), F.col("score").alias("v")), F.struct(F.lit(-1).alias("sign"), (F.lit(0.0) - F.col("score")).alias("v")))).alias("x"))
+    both = both.select(F.xxhash64("own_", "x.sign").alias("slice_"), F.col("x.v").alias("score"), "pos", "neg")
+    found = count_points(both, ["slice_"]).groupBy("slice_").agg(*ranking_aggregates()).select("slice_", "average_precision")
+    names = slice_names(fine.withColumn("slice_", F.col("own_")), keys).withColumnRenamed("slice_", "own_")
+    signs = names.select("own_", *keys, F.explode(F.array(F.lit(1), F.lit(-1))).alias("sign")).withColumn("slice_", F.xxhash64("own_", "sign")).join(found, "slice_", "left")
+    ap = signs.groupBy(*keys).agg(F.max(F.when(F.col("sign") == 1, F.col("average_precision"))).alias("forward_auprc"), F.max(F.when(F.col("sign") == -1, F.col("average_precision"))).alias("reverse_auprc"))
     prevalence = rows.groupBy(*keys).agg(F.avg(F.col(target).cast(D)).alias("positive_prevalence"))
     out = same(ap, prevalence, keys, small=True)
     best = F.greatest("forward_auprc", "reverse_auprc")
@@ -142,16 +169,45 @@ def learned_directions(rows: DataFrame, keys: Sequence[str] = ("view", "feature"
 def univariate_metrics(rows: DataFrame, directions: DataFrame, by: Sequence[str], min_group: int = 20, target: str = "target", parent: str = "parent_id") -> DataFrame:
     """Oriented AP, prevalence, gain, counts, low power and reversal of each feature in each group.
 
-    ``directions`` is a table of the registry's size, a row per view and feature, and is broadcast.
+    ``directions`` is a table of the registry's size, a row per view and feature, and is broadcast; ``by`` includes view.
     """
-    keys = [*by, "feature", "direction"]
-    fine = rows.where(F.col("value").isNotNull() & ~F.isnan("value") & F.col(target).isNotNull()).join(F.broadcast(directions.select("view", "feature", "direction")), ["view", "feature"])
-    sliced = fine.select(*keys, slice_id(keys).alias("slice_"), target, parent, (F.col("value") * F.col("direction")).alias("oriented"))
-    names = slice_names(sliced, keys)
-    counts = sliced.groupBy("slice_").agg(F.count_if(F.col(target) == 0).alias("n_real"), F.count_if(F.col(target) == 1).alias("n_aigc"), F.count_distinct(F.when(F.col(parent).isNotNull(), F.xxhash64(parent))).alias("parents"))
-    ap = roc_points(sliced, ["slice_"], target, "oriented").groupBy("slice_").agg(*ranking_aggregates()).select("slice_", F.col("average_precision").alias("oriented_auprc"))
+    fine = rows.where(F.col("value").isNotNull() & ~F.isnan("value") & F.col(target).isNotNull()).join(F.broadcast(_local(directions)), ["view", "feature"])
+    fine = fine.withColumns({"slice_": _slice(by), "oriented": F.col("value") * F.col("direction")})
+    s = F.col("oriented").cast(D) + F.lit(0.0)
+    counts = fine.groupBy("slice_", s.alias("score")).agg(F.count_if(F.col(target) == 1).alias("pos"), F.count_if(F.col(target) == 0).alias("neg"))
+    return _univariate(slice_names(fine, [*by, "feature", "direction"]), counts, _parents(fine, by, parent), min_group)
+
+
+def _local(directions: DataFrame) -> DataFrame:
+    """view, feature, direction, number_ of the registry's features: read once, as plans use them several times."""
+    rows = directions.select("view", "feature", "direction").orderBy("view", "feature").collect()
+    kinds = {f.name: f.dataType.simpleString() for f in directions.schema}
+    return directions.sparkSession.createDataFrame([(*r, n) for n, r in enumerate(rows)], ", ".join(f"{c} {kinds[c]}" for c in ("view", "feature", "direction")) + ", number_ int")
+
+
+def _slice(by: Sequence[str]) -> Column:
+    return F.xxhash64(slice_id(by), F.col("number_"))
+
+
+def _parents(fine: DataFrame, by: Sequence[str], parent: str) -> DataFrame:
+    """slice_, parents: distinct parents of each feature and group. A parent's features lie side by side; so they become bits of a
+    row's mask before anything moves, and equal masks are counted.
+    """
+    bit = F.expr("shiftleft(1L, cast(number_ % 60 as int))")
+    rows = fine.where(F.col(parent).isNotNull()).select(slice_id(by).alias("by_"), F.expr("number_ div 60").alias("block_"), F.xxhash64(parent).alias("parent_"), bit.alias("bit_"))
+    masks = rows.groupBy("by_", "block_", "parent_").agg(F.bit_or("bit_").alias("mask_")).groupBy("by_", "block_", "mask_").agg(F.count(F.lit(1)).alias("n_"))
+    each = masks.select("by_", "block_", "mask_", "n_", F.explode(F.sequence(F.lit(0), F.lit(59))).alias("at_")).where(F.expr("getbit(mask_, at_) = 1"))
+    numbered = each.select(F.xxhash64("by_", (F.col("block_") * 60 + F.col("at_")).cast("int")).alias("slice_"), "n_")
+    return numbered.groupBy("slice_").agg(F.sum("n_").alias("parents"))
+
+
+def _univariate(names: DataFrame, counts: DataFrame, parents: DataFrame, min_group: int) -> DataFrame:
+    """The table from its slices' names, counts(slice_, score, pos, neg) and parents."""
+    sizes = counts.groupBy("slice_").agg(F.sum("neg").alias("n_real"), F.sum("pos").alias("n_aigc"))
+    points = count_points(counts.where(F.abs("score") != float("inf")), ["slice_"])
+    ap = points.groupBy("slice_").agg(*ranking_aggregates()).select("slice_", F.col("average_precision").alias("oriented_auprc"))
     prevalence = ratio("n_aigc", F.col("n_real") + F.col("n_aigc"))
-    out = names.join(counts, "slice_").join(ap, "slice_", "left").drop("slice_").withColumn("positive_prevalence", prevalence)
+    out = names.join(sizes, "slice_").join(ap, "slice_", "left").join(parents, "slice_", "left").fillna(0, ["parents"]).drop("slice_").withColumn("positive_prevalence", prevalence)
     return out.withColumns({
         "auprc_gain": F.col("oriented_auprc") - F.col("positive_prevalence"),
         "normalized_auprc": normalized_average_precision(F.col("oriented_auprc"), F.col("positive_prevalence")),
@@ -160,6 +216,24 @@ def univariate_metrics(rows: DataFrame, directions: DataFrame, by: Sequence[str]
     })
 
 
+def generator_metrics(rows: DataFrame, directions: DataFrame, group: str = "generation_model", base: Sequence[str] = ("view", "dataset"), min_group: int = 20, target: str = "target", parent: str = "parent_id") -> DataFrame:
+    """univariate_metrics of each generator's positives with all authentic rows of its dataset.
+
+    Authentic rows are counted once per base slice; only their counts, and their number of parents, are given to every
+    generator. A parent is either authentic or generated.
+    """
+    name, by = "comparison_generator", [*base, "comparison_generator"]
+    fine = rows.where(F.col("value").isNotNull() & ~F.isnan("value")).join(F.broadcast(_local(directions)), ["view", "feature"]).withColumn("oriented", F.col("value") * F.col("direction"))
+    keyed = [*base, "feature", "direction", "number_"]
+    counts = counts_against_all(fine, target, "oriented", group, keyed, name).withColumn("slice_", _slice(by))
+    made = fine.where((F.col(target) == 1) & F.col(group).isNotNull()).withColumn(name, F.col(group).cast("string"))
+    named = made.withColumn("slice_", _slice(by)).select("slice_", *by, "feature", "direction", "number_").distinct()
+    own = _parents(made, by, parent).select(F.col("slice_"), F.col("parents").alias("own_"))
+    shared = _parents(fine.where(F.col(target) == 0), base, parent).select(F.col("slice_").alias("base_"), F.col("parents").alias("shared_"))
+    parents = named.withColumn("base_", _slice(base)).join(own, "slice_", "left").join(shared, "base_", "left").select("slice_", (F.coalesce("own_", F.lit(0)) + F.coalesce("shared_", F.lit(0))).alias("parents"))
+    return _univariate(named.drop("number_"), counts.select("slice_", "score", "pos", "neg"), parents, min_group)
+
+
 def generator_rows(rows: DataFrame, group: str = "generation_model", base: Sequence[str] = ("view", "dataset"), target: str = "target") -> DataFrame:
     """Each generator's positives with all authentic rows of its dataset."""
     return one_against_all(rows, target, group, base, "comparison_generator")

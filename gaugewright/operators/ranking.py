@@ -113,7 +113,12 @@ def same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inn
 
 def roc_points(df: DataFrame, keys: Sequence[str], label: str, score: str, buckets: int = 64) -> DataFrame:
     """One row per slice and distinct score, from high to low: tp, fp, tpr, fpr, prev_tpr, prev_fpr, precision."""
-    run = running_counts(score_counts(df, keys, label, score), keys, buckets)
+    return count_points(score_counts(df, keys, label, score), keys, buckets)
+
+
+def count_points(counts: DataFrame, keys: Sequence[str], buckets: int = 64) -> DataFrame:
+    """roc_points of counts(keys, score, pos, neg)."""
+    run = running_counts(counts, keys, buckets)
     tpr, fpr = ratio("tp", "total_pos"), ratio("fp", "total_neg")
     return run.select(
         *keys, "score", "pos", "neg", "tp", "fp", "total_pos", "total_neg", tpr.alias("tpr"), fpr.alias("fpr"),
@@ -151,8 +156,8 @@ def ranking_metrics(df: DataFrame, keys: Sequence[str], label: str, score: str,
 
 
 def slice_names(sliced: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """slice_ and the keys of each slice."""
-    return sliced.groupBy("slice_").agg(F.first(F.struct(*keys)).alias("k_")).select("slice_", "k_.*")
+    """slice_ and the keys of each slice: a hash aggregate, which first(struct) would not be."""
+    return sliced.select("slice_", *keys).distinct()
 
 
 RATES = ("accuracy", "balanced_accuracy", "precision", "recall", "specificity", "f1", "fpr", "fnr", "mcc", "prevalence", "predicted_positive_rate")
@@ -192,6 +197,19 @@ def one_against_all(df: DataFrame, label: str, positive_group: str, base: Sequen
     return positives.unionByName(negatives)
 
 
+def counts_against_all(df: DataFrame, label: str, score: str, positive_group: str, base: Sequence[str], output: str) -> DataFrame:
+    """base, output, score, pos, neg: what one_against_all would count, with the negatives counted once per base slice and only
+    their counts given to every group.
+    """
+    s = F.col(score).cast(D) + F.lit(0.0)
+    none = F.lit(0).cast("long")
+    one = df.where((F.col(label) == 1) & F.col(positive_group).isNotNull()).groupBy(*base, F.col(positive_group).cast("string").alias(output), s.alias("score")).agg(F.count(F.lit(1)).alias("pos"), none.alias("neg"))
+    groups = df.where((F.col(label) == 1) & F.col(positive_group).isNotNull()).select(*base, F.col(positive_group).cast("string").alias(output)).distinct()
+    rest = df.where(F.col(label) == 0).groupBy(*base, s.alias("score")).agg(none.alias("pos"), F.count(F.lit(1)).alias("neg"))
+    given = same(rest, groups, base) if base else rest.crossJoin(groups)
+    return one.unionByName(given.select(*one.columns)).groupBy(*base, output, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+
+
 def comparison_metrics(df: DataFrame, positive_group: str, negative_group: str, base: Sequence[str] = (), label: str = "target", score: str = "score", threshold: float = 0.0) -> DataFrame:
     """Each positive group against all negatives and each negative group against all positives, with mean scores."""
     both = one_against_all(df, label, positive_group, base, "comparison_group").withColumn("direction", F.lit("positive_group"))

@@ -108,8 +108,8 @@ def univariate(t: Tables):
 )
 def generator_metrics(t: Tables):
     """Each generator's positives with its dataset's authentic rows."""
-    rows = E.generator_rows(t.features.where("phase = 'confirmation' and condition = 'clean'"))
-    return E.univariate_metrics(rows, E.learned_directions(_discovery(t)), ["view", "dataset", "comparison_generator"]).select("view", "dataset", "comparison_generator", "feature", "n_real", "n_aigc", "oriented_auprc")
+    rows = t.features.where("phase = 'confirmation' and condition = 'clean'")
+    return E.generator_metrics(rows, E.learned_directions(_discovery(t))).select("view", "dataset", "comparison_generator", "feature", "n_real", "n_aigc", "oriented_auprc")
 
 
 @query(
@@ -135,12 +135,12 @@ SEVERITY = "sev(condition, family, severity) AS (VALUES ('jpeg_q90', 'jpeg', 10.
 CONFIRMED = univariate_sql("(SELECT * FROM feats WHERE phase = 'confirmation')", ['"view"', "condition"], "")
 DROPS = (
     CONFIRMED
-    + f""", {SEVERITY}, drops AS (SELECT u."view", u.feature, u.direction, u.condition, s.family AS transform_family, s.severity, c.oriented_auprc AS clean_auprc, u.oriented_auprc AS condition_auprc, c.oriented_auprc - u.oriented_auprc AS auprc_drop
+    + f""", {SEVERITY}, drops AS (SELECT u."view", u.feature, u.direction, u.condition, s.family AS transform_family, s.severity, c.oriented_auprc AS clean_auprc, u.oriented_auprc AS condition_auprc, c.oriented_auprc - u.oriented_auprc AS auprc_drop, u.parents, least(u.n_real, u.n_aigc) < 20 AS low_power, u.oriented_auprc < u.q AS direction_reversal
   FROM u JOIN sev s ON u.condition = s.condition JOIN u c ON u."view" = c."view" AND u.feature = c.feature AND c.condition = 'clean')"""
 )
 
 
-@query("a15_auprc_drops", DROPS + ' SELECT "view", feature, direction::BIGINT AS direction, condition, transform_family, severity, round(clean_auprc, 6) AS clean_auprc, round(condition_auprc, 6) AS condition_auprc, round(auprc_drop, 6) AS auprc_drop FROM drops')
+@query("a15_auprc_drops", DROPS + ' SELECT "view", feature, direction::BIGINT AS direction, condition, transform_family, severity, round(clean_auprc, 6) AS clean_auprc, round(condition_auprc, 6) AS condition_auprc, round(auprc_drop, 6) AS auprc_drop, parents::BIGINT AS parents, low_power, direction_reversal FROM drops')
 def drops(t: Tables):
     """Drops of official single steps."""
     return E.auprc_drops(_metrics(t), condition_frame(t.spark, "all"))
@@ -190,7 +190,7 @@ SELECT "view", condition, feature, target::BIGINT AS target, count(DISTINCT pare
 )
 def feature_drift(t: Tables):
     """Oriented drift of features within parents."""
-    out = E.feature_drift(t.features.where("phase = 'confirmation'"), E.learned_directions(_discovery(t)))
+    out = E.feature_drift(t.features.where("phase = 'confirmation'"), E.learned_directions(_discovery(t)), medians=["signed"])
     return out.select("view", "condition", "feature", "target", "paired_parents", "signed_drift_mean", "signed_drift_median", "signed_drift_std", "absolute_drift_mean", F.round("within_parent_transform_variance_mean", 2).alias("within_parent_transform_variance_mean"))
 
 
@@ -218,7 +218,7 @@ def ledger(t: Tables):
     clean = confirmed.where("condition = 'clean'")
     transforms = E.univariate_metrics(confirmed, signs, ["view", "condition"]).persist()
     datasets = E.univariate_metrics(clean, signs, ["view", "dataset"])
-    generators = E.univariate_metrics(E.generator_rows(clean), signs, ["view", "dataset", "comparison_generator"]).persist()
+    generators = E.generator_metrics(clean, signs).persist()
     correlations = E.shortcut_correlations(t.lines.where("phase = 'discovery'").withColumn("view", F.lit("canonical_128")), ["view"], ["l_quantity", "l_extendedprice", "l_tax"], ["l_discount"])
     return E.decision_ledger(transforms, datasets, generators, correlations, condition_frame(t.spark, "core"))
 

@@ -327,8 +327,9 @@ def latest(t: Tables):
     return t.events.groupBy("event_type").agg(F.date_format(F.max("ts"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("latest"))
 
 
-@query("a54_registry_counts", None)
+@query("a54_registry_counts", "SELECT family, official, rows::BIGINT AS rows FROM (VALUES ('clean', true, 1), ('jpeg', true, 4), ('gaussian_blur', true, 3), ('resize', true, 2), ('gaussian_noise', true, 3), ('color_jitter', true, 2), ('center_crop', true, 1), ('composition', false, 90)) v(family, official, rows)")
 def registry_counts(t: Tables):
+    """Conditions by family."""
     return condition_frame(t.spark, "all").groupBy("family", "official").agg(F.count(F.lit(1)).alias("rows"))
 
 

@@ -209,7 +209,36 @@ def smallest(t: Tables):
     return S.head_per_stratum(t.documents.select("doc_id", "lang"), ["lang"], 7, F.sha2(F.concat(F.lit("o"), F.col("doc_id").cast("string")), 256), "doc_id")
 
 
-@query("i11_condition_frame")
+#: The registry spelt out in SQL: steps with their tokens and JSON, conditions as lists of steps.
+REGISTRY_SQL = """WITH lv(k, p, j) AS (VALUES ('L', '0p8', '0.8'), ('H', '1p2', '1.2'), ('O', '1', '1.0')),
+st(k, op, tok, js) AS (
+  SELECT 'j' || q, 'jpeg', 'jpeg-q' || q || '-sub2', '{"operation":"jpeg","parameters":{"quality":' || q || ',"subsampling":2}}' FROM (VALUES ('90'), ('70'), ('50'), ('30')) t(q)
+  UNION ALL SELECT 'b' || j, 'gaussian_blur', 'blur-s' || p || '-pad-pillow', '{"operation":"gaussian_blur","parameters":{"padding":"pillow_default","sigma":' || j || '}}' FROM (VALUES ('0p5', '0.5'), ('1', '1.0'), ('2', '2.0'), ('1', '1')) t(p, j)
+  UNION ALL SELECT 'r' || j, 'resize', 'resize-s' || p || '-down-lanczos-up-lanczos', '{"operation":"resize","parameters":{"down_interpolation":"lanczos","scale":' || j || ',"up_interpolation":"lanczos"}}' FROM (VALUES ('0p5', '0.5'), ('0p25', '0.25')) t(p, j)
+  UNION ALL SELECT 'n' || j, 'gaussian_noise', 'noise-s' || p || '-seed-parent', '{"operation":"gaussian_noise","parameters":{"seed":"sha256(base_seed,parent_id,step_token,occurrence)","sigma":' || j || '}}' FROM (VALUES ('0p02', '0.02'), ('0p05', '0.05'), ('0p1', '0.1')) t(p, j)
+  UNION ALL SELECT 'c' || a.k || b.k || c.k, 'color_jitter', 'color-b' || a.p || '-c' || b.p || '-s' || c.p || '-order-bcs', '{"operation":"color_jitter","parameters":{"brightness":' || a.j || ',"contrast":' || b.j || ',"operation_order":"brightness_contrast_saturation","saturation":' || c.j || '}}' FROM lv a, lv b, lv c
+  UNION ALL VALUES ('x', 'center_crop', 'crop-r0p8-up-bicubic', '{"operation":"center_crop","parameters":{"retain":0.8,"up_interpolation":"bicubic"}}'), ('s', 'unsharp_mask', 'sharpen-r2-p150-t3-pad-pillow', '{"operation":"unsharp_mask","parameters":{"padding":"pillow_default","percent":150,"radius":2.0,"threshold":3}}')
+), core(name, family, severity, design, ks) AS (VALUES ('clean', 'clean', 0.0, 'single', []::VARCHAR[]), ('jpeg_q90', 'jpeg', 10, 'single', ['j90']), ('jpeg_q70', 'jpeg', 30, 'single', ['j70']), ('jpeg_q50', 'jpeg', 50, 'single', ['j50']), ('jpeg_q30', 'jpeg', 70, 'single', ['j30']),
+  ('blur_sigma0.5', 'gaussian_blur', 0.5, 'single', ['b0.5']), ('blur_sigma1', 'gaussian_blur', 1, 'single', ['b1.0']), ('blur_sigma2', 'gaussian_blur', 2, 'single', ['b2.0']), ('resize_0.5', 'resize', 0.5, 'single', ['r0.5']), ('resize_0.25', 'resize', 0.75, 'single', ['r0.25']),
+  ('noise_sigma0.02', 'gaussian_noise', 0.02, 'single', ['n0.02']), ('noise_sigma0.05', 'gaussian_noise', 0.05, 'single', ['n0.05']), ('noise_sigma0.10', 'gaussian_noise', 0.1, 'single', ['n0.1']), ('color_jitter_minus20', 'color_jitter', -0.2, 'single', ['cLLL']), ('color_jitter_plus20', 'color_jitter', 0.2, 'single', ['cHHH']), ('center_crop_80', 'center_crop', 0.2, 'single', ['x']),
+  ('resize_0.5__jpeg_q70', 'composition', 2, 'legacy_composition', ['r0.5', 'j70']), ('crop_80__resize_0.5__jpeg_q50', 'composition', 3, 'legacy_composition', ['x', 'r0.5', 'j50']), ('blur_1__resize_0.5__jpeg_q70', 'composition', 3, 'legacy_composition', ['b1', 'r0.5', 'j70']), ('noise_0.02__jpeg_q70', 'composition', 2, 'legacy_composition', ['n0.02', 'j70'])),
+med(k) AS (VALUES ('j70'), ('b1'), ('r0.5'), ('n0.05'), ('cHHH'), ('x')),
+inv AS (SELECT i, b, list_sum([((i // pow(b, d)::BIGINT) % b) / pow(b, d + 1) for d in range(6)]) AS v FROM range(1, 33) t(i), (VALUES (2), (3), (5), (7), (11), (13)) u(b)),
+lev AS (SELECT i, b, floor(v * len(levels))::INT AS pick, levels FROM inv JOIN (VALUES (1, 13, ['', 'x']), (2, 5, ['', 'r0.5', 'r0.25']), (3, 11, ['', 'cLLL', 'cLLH', 'cLHL', 'cLHH', 'cHLL', 'cHLH', 'cHHL', 'cHHH']), (4, 3, ['', 'b0.5', 'b1.0', 'b2.0']), (5, 7, ['', 'n0.02', 'n0.05', 'n0.1']), (6, 2, ['', 'j90', 'j70', 'j50', 'j30'])) w(o, b, levels) USING (b)),
+cov AS (SELECT i, list(levels[pick + 1] ORDER BY CASE b WHEN 13 THEN 1 WHEN 5 THEN 2 WHEN 11 THEN 3 WHEN 3 THEN 4 WHEN 7 THEN 5 ELSE 6 END) FILTER (WHERE pick > 0) AS ks FROM lev GROUP BY i),
+made(prefix, design, ks) AS (
+  SELECT 'color-factorial-axial', 'color_axial', [k] FROM (VALUES ('cLOO'), ('cHOO'), ('cOLO'), ('cOHO'), ('cOOL'), ('cOOH')) t(k)
+  UNION ALL SELECT 'color-factorial-corner', 'color_corner', [k] FROM (VALUES ('cLLH'), ('cLHL'), ('cLHH'), ('cHLL'), ('cHLH'), ('cHHL')) t(k)
+  UNION ALL SELECT 'directed-pair', 'directed_medium_pair', [a.k, b.k] FROM med a, med b WHERE a.k <> b.k
+  UNION ALL SELECT 'realistic', 'preregistered_realistic_chain', ks FROM (VALUES (['x', 'r0.5', 'j50']), (['cHLH', 'r0.5', 'j70']), (['b1', 'n0.02', 'j70']), (['n0.02', 'b1', 'j70']), (['r0.5', 's', 'j70']), (['s', 'r0.5', 'j70']), (['j90', 'r0.5', 'j50']), (['j90', 'n0.02', 'j50']), (['j90', 'b1', 'j50']), (['x', 'cLHL', 'j70']), (['x', 'r0.5', 'cHLH', 'j50']), (['x', 'r0.5', 's', 'j50'])) t(ks)
+  UNION ALL SELECT 'cover32-' || lpad(i::VARCHAR, 2, '0'), 'halton_covering_bank', ks FROM cov),
+every AS (SELECT name, NULL AS prefix, family, severity::DOUBLE AS severity, design, ks FROM core UNION ALL SELECT NULL, prefix, 'composition', len(ks)::DOUBLE, design, ks FROM made),
+step AS (SELECT row_number() OVER () AS n, * FROM every), part AS (SELECT n, generate_subscripts(ks, 1) AS pos, unnest(ks) AS k FROM step),
+told AS (SELECT n, string_agg(tok, '__then__' ORDER BY pos) AS toks, '[' || string_agg(js, ',' ORDER BY pos) || ']' AS recipe FROM part JOIN st USING (k) GROUP BY n)
+SELECT coalesce(name, prefix || '__' || toks) AS name, family, severity, family <> 'composition' AS official, design, len(ks)::BIGINT AS step_count, coalesce(recipe, '[]') AS ordered_recipe_json, sha256(coalesce(recipe, '[]')) AS recipe_sha256 FROM step LEFT JOIN told USING (n)"""
+
+
+@query("i11_condition_frame", REGISTRY_SQL)
 def registry(t: Tables):
     """All conditions with recipes and digests."""
     return condition_frame(t.spark, "all").select("name", "family", "severity", "official", "design", "step_count", "ordered_recipe_json", "recipe_sha256")
