@@ -22,11 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugewright.llm.common import crc32_mod3, materialize, small_batches, utf8_views
+from gaugewright.llm.common import crc32_mod3, discard, materialize, small_batches, utf8_views
 
+#: Sizes and lengths; shares of bytes by class; lines, their repetition and how many end a sentence; variety of words; the
+#: commonest letter of European prose; marks of markup, tables and garbled text; short and long words; entropy; punctuation.
 STATISTICS = (
     "log_bytes", "log_words", "word_bytes", "word_spread", "lower", "upper", "digit", "blank", "mark", "high",
-    "log_lines", "line_bytes", "repeated_lines", "distinct_words", "top_word", "odd_marks", "bars", "ended_lines",
+    "log_lines", "line_bytes", "repeated_lines", "distinct_words", "letter_e", "odd_marks", "bars", "ended_lines",
     "short_words", "long_words", "byte_entropy", "marked_words", "stops", "commas",
 )
 BINS = 2000
@@ -196,5 +198,7 @@ def op8_quality(spark, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(F.col("quality").isin(0, 1)).where(crc32_mod3() != 1).select("doc_id", F.col("quality").cast("int").alias("y"))
     stats = materialize(document_statistics(docs), "statistics")
     train = materialize(stats.join(labels, "doc_id").select("x", "y"), "train")
-    out = score_quality(stats, fit_quality(train))
+    model = fit_quality(train)
+    discard(train)
+    out = score_quality(stats, model)
     return out.select("doc_id", (crc32_mod3() == 1).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
