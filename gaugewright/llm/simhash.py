@@ -284,8 +284,30 @@ def _groups(batches):
         yield group, *sides
 
 
+def _met_before(a: list, b: list, bits: int):
+    """For rows of keys of both sides: (which list each row has, and whether two lists share a key below this bucket's)."""
+    sides = []
+    for rows in (a, b):
+        lists, which = {}, np.empty(len(rows), np.int64)
+        for k, keys in enumerate(rows):
+            which[k] = lists.setdefault(tuple(x for x in keys if x < bits), len(lists))
+        width = max(1, max(map(len, lists)))
+        sides.append((np.array([x + (bits,) * (width - len(x)) for x in lists], np.int64), which))
+    (x, of_a), (y, of_b) = sides
+    met = np.zeros((len(y), len(x)), bool)
+    for at in range(0, len(y), 64):
+        part = y[at : at + 64]
+        for k in range(part.shape[1]):
+            own = part[:, k]
+            met[at : at + 64] |= ((own[:, None, None] == x[None]) & (own < bits)[:, None, None]).any(axis=2)
+    return of_a, of_b, met
+
+
 def _in_reach(similarity: float, radius: int, small: int, pair_type: pa.DataType):
-    """The rows that another row of their bucket may be linked to: within the radius or both small, and of sizes that allow it."""
+    """The rows that another row of their bucket may be linked to: within the radius or both small, and of sizes that allow it.
+
+    A pair counts in one bucket only, that of the least key it shares; so sets aren't sent to all buckets they have.
+    """
     kinds = [pa.int32(), pa.int64(), pa.int64(), pair_type, pa.int64(), pa.binary()]
 
     def run(batches):
@@ -294,19 +316,21 @@ def _in_reach(similarity: float, radius: int, small: int, pair_type: pa.DataType
                 continue
             a, b = tree, query if i != j else tree
             (fa, na), (fb, nb) = ((np.array([r[0] for r in x], np.int64), np.array([r[2] for r in x], np.int64)) for x in (a, b))
+            of_a, of_b, met = _met_before([r[4] for r in a], [r[4] for r in b], bits)
             hit_a, hit_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
             for at in range(0, len(b), 256):
                 part = slice(at, at + 256)
                 near = np.bitwise_count((fb[part, None] ^ fa[None, :]).view(np.uint64)) <= radius
                 near |= (nb[part, None] <= small) & (na <= small)
                 near &= np.minimum(nb[part, None], na) >= similarity * np.maximum(nb[part, None], na) - 1e-6
+                near &= ~met[of_b[part]][:, of_a]
                 if i == j:
                     near[np.arange(len(near)), np.arange(at, at + len(near))] = False
                 hit_a |= near.any(axis=0)
                 hit_b[part] = near.any(axis=1)
-            found = [r for r, x in zip(a, hit_a, strict=True) if x]
+            found = [r[:4] for r, x in zip(a, hit_a, strict=True) if x]
             if i != j:
-                found += [r for r, x in zip(b, hit_b, strict=True) if x]
+                found += [r[:4] for r, x in zip(b, hit_b, strict=True) if x]
             if found:
                 columns = [[block] * len(found), [bits] * len(found), *zip(*found, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["block", "bits", "fp", "rep", "n", "whole"])
@@ -343,9 +367,9 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     shape = T.StructType([ident, T.StructField("fp", T.LongType()), T.StructField("n", T.LongType()), T.StructField("whole", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
     rows = materialize(texts.mapInArrow(_set_rows(shingle, keys), shape), "shinglesets")
     classes = materialize(rows.groupBy("whole").agg(F.min("id").alias("rep"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys")), "setclasses")
-    dealt = classes.select(F.lit(0).alias("block"), F.explode("keys").alias("bits"), "fp", "rep", "n", "whole")
+    dealt = classes.select(F.lit(0).alias("block"), F.explode("keys").alias("bits"), "fp", "rep", "n", "whole", "keys")
     arrow = _arrow(dealt, "rep")
-    reach = materialize(_shard_pairs(dealt, shard_rows).mapInArrow(_in_reach(similarity, radius, small, arrow), dealt.schema).distinct(), "reach")
+    reach = materialize(_shard_pairs(dealt, shard_rows).mapInArrow(_in_reach(similarity, radius, small, arrow), dealt.drop("keys").schema).distinct(), "reach")
     ends = reach.select(F.col("rep").alias("end_")).distinct()
     chosen = texts.join(ends, F.col(id_col) == F.col("end_"), "left_semi")
     sets = chosen.mapInArrow(_sets(shingle), T.StructType([T.StructField("whole", T.BinaryType()), T.StructField("set", T.BinaryType())])).dropDuplicates(["whole"])
