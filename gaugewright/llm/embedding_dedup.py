@@ -5,7 +5,7 @@ of the least hash); every vector then has a home cell, that of the centre of lar
 another cell where it lies so near the plane between the two centres that a vector beyond may be within the angle: if x
 is in cell c, y in cell d and their angle is at most a, then x (c - d) / |c - d| <= sin a. Of two cells the one of
 smaller number visits, so each pair meets once and none is lost, whatever the centres are: the result is exact. There
-are about sqrt(n) / 4 cells, but at most ``max_cells``. How many visits there are depends on the data's structure; without any, every
+are n / ``block_rows`` cells, 2 at least and ``max_cells`` at most. How many visits there are depends on the data's structure; without any, every
 block of a cell meets every vector.
 
 Cells of more than ``block_rows`` vectors are cut into blocks; a block's vectors are multiplied with each other, with
@@ -196,13 +196,16 @@ def _products(level: float, names: list[str]):
 def near_embeddings(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9, block_rows: int = 4096, sample_rows: int = 8192, max_cells: int = 1024) -> DataFrame:
     """id_col, n_links, component_id, kept of every vector."""
     kind = vectors.schema[id_col].dataType
+    # Single precision travels as it is; products are in double precision.
+    single = isinstance(vectors.schema[vector_col].dataType.elementType, T.FloatType)
+    numbers = T.ArrayType(T.FloatType() if single else T.DoubleType())
     v = F.col("v")
     fine = v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).withColumn("fine", F.coalesce(fine, F.lit(False)))
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast(numbers).alias("v")).withColumn("fine", F.coalesce(fine, F.lit(False)))
     keyed = rows.where("fine").select("id", F.xxhash64("v").alias("k1"), F.xxhash64(F.lit(1), "v").alias("k2"), "v")
     classes = materialize(keyed.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("v").alias("v")), "vectors")
     total = classes.count()
-    k = min(max_cells, max(-(-total // block_rows), math.isqrt(total) // 4, 2))
+    k = min(max_cells, max(-(-total // block_rows), 2))
     centres: dict[int, np.ndarray] = {}
     if total:
         sample = classes.orderBy("k1", "k2").limit(sample_rows).select("v").toArrow()
@@ -211,7 +214,7 @@ def near_embeddings(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
             x = unit_rows(np.asarray(lists.take(pa.array(np.nonzero(np.asarray(lists.value_lengths()) == dim)[0])).flatten()), int(dim))
             centres[int(dim)] = spherical_kmeans(x, min(k, len(x)))
     reach = math.sqrt(1 - cosine * cosine)
-    shape = T.StructType([T.StructField("rep", kind), T.StructField("n", T.LongType()), T.StructField("dim", T.IntegerType()), T.StructField("cell", T.IntegerType()), T.StructField("visit", T.BooleanType()), T.StructField("v", T.ArrayType(T.DoubleType()))])
+    shape = T.StructType([T.StructField("rep", kind), T.StructField("n", T.LongType()), T.StructField("dim", T.IntegerType()), T.StructField("cell", T.IntegerType()), T.StructField("visit", T.BooleanType()), T.StructField("v", numbers)])
     base = classes.select("rep", "n", "v")
     homes = base.mapInArrow(_placed(centres, reach, True, shape.names), shape).groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n"))
     blocks = homes.select(F.col("dim").alias("bdim"), F.col("cell").alias("bcell"), F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"))
