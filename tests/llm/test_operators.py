@@ -358,6 +358,8 @@ def test_embeddings_equal_brute_force(spark, block_rows):
     assert {r.vec_id: (r.n_links, r.component_id) for r in got} == want
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
     assert embedding_dedup.near_embeddings(df.limit(0)).count() == 0
+    single = df.where("vec_id not in (505, 506)").withColumn("embedding", F.col("embedding").cast("array<float>"))
+    assert {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_embeddings(single, block_rows=block_rows).collect()} == {i: w for i, w in want.items() if i not in (505, 506)}
 
 
 # 6. language ID
