@@ -167,7 +167,7 @@ def _products(level: float, names: list[str]):
                 if a == b:
                     continue
                 if (now := tuple(key[a])) != group:
-                    if block is not None:
+                    if block is not None and block.ids:  # hashes may leave a block empty
                         links = list(block.close()) if open_ else []
                         yield rows(block.ids, block.links, links)
                     group, block, open_ = now, _Block(level), True
