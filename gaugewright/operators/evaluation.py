@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugewright.operators.ranking import average_ranks, count_points, counts_against_all, metric_slices, normalized_average_precision, one_against_all, ranking_aggregates, ranking_metrics, ratio, running_counts, same, score_counts, slice_id, slice_names
+from gaugewright.operators.ranking import average_ranks, count_points, counts_against_all, metric_slices, normalized_average_precision, one_against_all, ranking_aggregates, ranking_metrics, ratio, running_counts, same, score_bucket, score_counts, slice_id, slice_names
 
 D = "double"
 WINDOW_COLUMNS = ("chronological_window", "generator_window", "release_window", "time_window", "window")
@@ -122,31 +122,56 @@ def feature_drift(rows: DataFrame, directions: DataFrame, by: Sequence[str] = ("
     # Numbers alone travel: two hashes of the parent, one of the slice.
     key = [x for c in parent for x in (F.col(c), F.col(c).isNull())]
     moved = named.select(F.xxhash64(*key).alias("k1_"), F.xxhash64(F.lit(1), *key).alias("k2_"), "slice_", F.col("parent_id").isNotNull().alias("has_"), (F.col("condition") == "clean").alias("clean_"), "value", F.col("direction").cast(D).alias("sign_"))
-    whole = Window.partitionBy("k1_", "k2_")
-    before = F.lag("slice_").over(whole.orderBy("slice_"))
-    told = moved.withColumns({"clean_value": F.avg(F.when(F.col("clean_"), F.col("value"))).over(whole), "within": F.var_pop("value").over(whole), "first_": F.coalesce(before != F.col("slice_"), F.lit(True))})
+    order = Window.partitionBy("k1_", "k2_").orderBy("slice_")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    told = moved.withColumns({"clean_value": F.avg(F.when(F.col("clean_"), F.col("value"))).over(whole), "within": F.var_pop("value").over(whole), "first_": F.coalesce(F.lag("slice_").over(order) != F.col("slice_"), F.lit(True))})
     fine = told.where(~F.col("clean_") & finite("value") & finite("clean_value") & finite("within"))
-    signed = fine.withColumn("signed", F.col("sign_") * (F.col("value") - F.col("clean_value")))
-    found = signed.groupBy("slice_").agg(
-        F.count_if(F.col("first_") & F.col("has_")).alias("paired_parents"), F.avg("signed").alias("signed_drift_mean"), F.stddev_pop("signed").alias("signed_drift_std"),
-        F.avg(F.abs("signed")).alias("absolute_drift_mean"), F.avg("within").alias("within_parent_transform_variance_mean"),
+    signed = fine.withColumn("signed", F.col("sign_") * (F.col("value") - F.col("clean_value")) + F.lit(0.0))
+    out = names.join(_drift_points(signed), "slice_")
+    others = {m: (n, v) for m, n, v in (("absolute", "absolute_drift_median", F.abs("signed")), ("within", "within_parent_transform_variance_median", F.col("within"))) if m in medians}
+    if others:
+        out = out.join(exact_medians(signed, "slice_", dict(others.values())), "slice_")
+    return (out if "signed" in medians else out.drop("signed_drift_median")).drop("slice_")
+
+
+def _drift_points(signed: DataFrame) -> DataFrame:
+    """slice_ and its counts, moments and median of the column ``signed``, from one count by value.
+
+    The counts are used twice, summed by bucket and as they are, with the same columns, so that both read one exchange.
+    Rows before a bucket's own carry what the slice holds in all, its mean, and what lies below the bucket.
+    """
+    counts = signed.groupBy("slice_", F.col("signed").alias("score")).agg(F.count(F.lit(1)).alias("n_"), F.count_if(F.col("first_") & F.col("has_")).alias("parents_"), F.sum("within").alias("within_"))
+    counts = counts.withColumn("b_", score_bucket(F.col("score"), 64))
+    own = ["n_", "parents_", "within_"]
+    sums = counts.groupBy("slice_", "b_").agg(*[F.sum(c).alias(c) for c in own], F.sum(F.col("n_") * F.col("score")).alias("sum_"))
+    slice_ = Window.partitionBy("slice_")
+    before = F.sum("n_").over(slice_.orderBy("b_")) - F.col("n_")
+    total = F.sum("n_").over(slice_)
+    heads = sums.select("slice_", "b_", F.lit(True).alias("head_"), F.lit(None).cast(D).alias("score"), before.alias("n_"), F.col("parents_"), F.col("within_"), total.alias("total_"), ratio(F.sum("sum_").over(slice_), total).alias("mean_"))
+    rows = counts.select("slice_", "b_", F.lit(False).alias("head_"), "score", *own, F.lit(None).cast("long").alias("total_"), F.lit(None).cast(D).alias("mean_"))
+    inner = Window.partitionBy("slice_", "b_").orderBy(F.desc("head_"), F.asc("score"))
+    run = heads.unionByName(rows).withColumns({"upto_": F.sum("n_").over(inner), "total_": F.max("total_").over(inner), "mean_": F.max("mean_").over(inner)}).where("not head_")
+    n, low = F.col("n_"), F.col("upto_") - F.col("n_") + 1  # ranks, from the least
+    at = lambda rank: F.max(F.when((F.expr(rank) >= low) & (F.expr(rank) <= F.col("upto_")), F.col("score")))
+    away = F.col("score") - F.col("mean_")
+    mean = lambda v: ratio(F.sum(v), F.sum(n))
+    return run.groupBy("slice_").agg(
+        F.sum("parents_").alias("paired_parents"), F.max("mean_").alias("signed_drift_mean"), F.sqrt(mean(n * away * away)).alias("signed_drift_std"),
+        mean(n * F.abs("score")).alias("absolute_drift_mean"), mean(F.col("within_")).alias("within_parent_transform_variance_mean"),
+        ((at("(total_ + 1) div 2") + at("total_ div 2 + 1")) / 2.0).alias("signed_drift_median"),
     )
-    out = names.join(found, "slice_")
-    every = {"signed": ("signed_drift_median", F.col("signed")), "absolute": ("absolute_drift_median", F.abs("signed")), "within": ("within_parent_transform_variance_median", F.col("within"))}
-    middle = exact_medians(signed, "slice_", dict(every[m] for m in medians))
-    return out.join(middle, "slice_").drop("slice_")
 
 
 def exact_medians(df: DataFrame, slice_: str, values: dict[str, Column]) -> DataFrame:
     """slice_ and the exact median of each value: counts by value, running counts, and the one or two values in the middle."""
     long = df.select(F.col(slice_), F.explode(F.array(*[F.struct(F.lit(k).alias("k"), (v.cast(D) + F.lit(0.0)).alias("v")) for k, v in enumerate(values.values())])).alias("x"))
     counts = long.where(F.col("x.v").isNotNull()).groupBy(F.xxhash64(slice_, "x.k").alias("s_"), F.col(slice_).alias("own_"), F.col("x.k").alias("k"), F.col("x.v").alias("score")).agg(F.count(F.lit(1)).alias("pos"))
-    names = counts.select("s_", "own_", "k").distinct()
+    names = counts.groupBy("s_", "own_", "k").agg(F.sum("pos").alias("n_"))
     run = running_counts(counts.select("s_", "score", "pos", F.lit(0).cast("long").alias("neg")), ["s_"])
     low, high = F.col("total_pos") - F.col("tp") + 1, F.col("total_pos") - F.col("tp") + F.col("pos")  # ranks, from the least
     at = lambda rank: F.max(F.when((rank >= low) & (rank <= high), F.col("score")))
     half = run.groupBy("s_").agg(at(F.expr("(total_pos + 1) div 2")).alias("a_"), at(F.expr("total_pos div 2 + 1")).alias("b_"))
-    found = names.join(half, "s_").groupBy("own_").agg(*[F.max(F.when(F.col("k") == k, (F.col("a_") + F.col("b_")) / 2.0)).alias(n) for k, n in enumerate(values)])
+    found = names.where("n_ > 0").join(half, "s_").groupBy("own_").agg(*[F.max(F.when(F.col("k") == k, (F.col("a_") + F.col("b_")) / 2.0)).alias(n) for k, n in enumerate(values)])
     return found.withColumnRenamed("own_", slice_)
 
 
@@ -154,12 +179,13 @@ def learned_directions(rows: DataFrame, keys: Sequence[str] = ("view", "feature"
     """AP of value and of -value; the better sign, +1 on ties (M23). rows: the discovery phase's clean long rows."""
     fine = rows.withColumn("own_", slice_id(keys))
     counts = score_counts(fine, ["own_"], target, "value")
-    both = counts.select("own_", "pos", "neg", F.explode(F.array(F.struct(F.lit(1).alias("sign"), F.col("score").alias("v")), F.struct(F.lit(-1).alias("sign"), (F.lit(0.0) - F.col("score")).alias("v")))).alias("x"))
-    both = both.select(F.xxhash64("own_", "x.sign").alias("slice_"), F.col("x.v").alias("score"), "pos", "neg")
-    found = count_points(both, ["slice_"]).groupBy("slice_").agg(*ranking_aggregates()).select("slice_", "average_precision")
-    names = slice_names(fine.withColumn("slice_", F.col("own_")), keys).withColumnRenamed("slice_", "own_")
-    signs = names.select("own_", *keys, F.explode(F.array(F.lit(1), F.lit(-1))).alias("sign")).withColumn("slice_", F.xxhash64("own_", "sign")).join(found, "slice_", "left")
-    ap = signs.groupBy(*keys).agg(F.max(F.when(F.col("sign") == 1, F.col("average_precision"))).alias("forward_auprc"), F.max(F.when(F.col("sign") == -1, F.col("average_precision"))).alias("reverse_auprc"))
+    run = running_counts(counts, ["own_"])
+    # Read from below, the same running counts are those of the negated values.
+    up, fp = F.col("total_pos") - F.col("tp") + F.col("pos"), F.col("total_neg") - F.col("fp") + F.col("neg")
+    two = (F.max("total_pos") > 0) & (F.max("total_neg") > 0)
+    ap_of = lambda t, f: F.when(two, ratio(F.sum(F.col("pos") * ratio(t, t + f)), F.max("total_pos")))
+    found = run.groupBy("own_").agg(ap_of(F.col("tp"), F.col("fp")).alias("forward_auprc"), ap_of(up, fp).alias("reverse_auprc"))
+    ap = slice_names(fine.withColumn("slice_", F.col("own_")), keys).withColumnRenamed("slice_", "own_").join(found, "own_", "left").drop("own_")
     prevalence = rows.groupBy(*keys).agg(F.avg(F.col(target).cast(D)).alias("positive_prevalence"))
     out = same(ap, prevalence, keys, small=True)
     best = F.greatest("forward_auprc", "reverse_auprc")
@@ -204,7 +230,10 @@ def _parents(fine: DataFrame, by: Sequence[str], parent: str) -> DataFrame:
 def _univariate(names: DataFrame, counts: DataFrame, parents: DataFrame, min_group: int) -> DataFrame:
     """The table from its slices' names, counts(slice_, score, pos, neg) and parents."""
     sizes = counts.groupBy("slice_").agg(F.sum("neg").alias("n_real"), F.sum("pos").alias("n_aigc"))
-    points = count_points(counts.where(F.abs("score") != float("inf")), ["slice_"])
+    # Not filtered but emptied, so that both uses of the counts read one exchange.
+    odd = F.abs("score") == float("inf")
+    finite_counts = counts.select("slice_", F.when(odd, F.lit(0.0)).otherwise(F.col("score")).alias("score"), *[F.when(odd, F.lit(0).cast("long")).otherwise(F.col(c)).alias(c) for c in ("pos", "neg")])
+    points = count_points(finite_counts, ["slice_"])
     ap = points.groupBy("slice_").agg(*ranking_aggregates()).select("slice_", F.col("average_precision").alias("oriented_auprc"))
     prevalence = ratio("n_aigc", F.col("n_real") + F.col("n_aigc"))
     out = names.join(sizes, "slice_").join(ap, "slice_", "left").join(parents, "slice_", "left").fillna(0, ["parents"]).drop("slice_").withColumn("positive_prevalence", prevalence)

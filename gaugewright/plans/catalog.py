@@ -72,8 +72,16 @@ class Tables:
     @property
     def features(self) -> DataFrame:
         """Long feature rows of line items under the conditions of FEATURE_CONDITIONS in two views."""
+        return self._features(FEATURE_CONDITIONS)
+
+    @property
+    def clean_features(self) -> DataFrame:
+        """The rows of ``features`` under the clean condition: the others aren't made first."""
+        return self._features([c for c in FEATURE_CONDITIONS if c[0] == "clean"])
+
+    def _features(self, conditions) -> DataFrame:
         step = F.pmod(F.col("l_orderkey") + 7 * F.col("l_linenumber"), F.lit(10)).cast("double") - 4.5
-        cond = [F.struct(F.lit(n).alias("condition"), F.lit(f).alias("transform_family"), F.lit(o).alias("official_transform"), F.lit(float(k)).alias("k")) for n, f, o, k in FEATURE_CONDITIONS]
+        cond = [F.struct(F.lit(n).alias("condition"), F.lit(f).alias("transform_family"), F.lit(o).alias("official_transform"), F.lit(float(k)).alias("k")) for n, f, o, k in conditions]
         view = [F.struct(F.lit(v).alias("view"), F.lit(float(k)).alias("w")) for v, k in FEATURE_VIEWS]
         numbers = [F.struct(F.lit(c).alias("feature"), F.col(c).alias("x")) for c in FEATURES]
         rows = self.lines.select("*", F.explode(F.array(*cond)).alias("c")).select("*", F.explode(F.array(*view)).alias("v")).select("*", F.explode(F.array(*numbers)).alias("n"))

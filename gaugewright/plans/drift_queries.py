@@ -72,7 +72,7 @@ def directions(t: Tables):
 
 
 def _discovery(t: Tables):
-    return t.features.where("phase = 'discovery' and condition = 'clean'")
+    return t.clean_features.where("phase = 'discovery'")
 
 
 UNIVARIATE = """SELECT * FROM u"""
@@ -108,7 +108,7 @@ def univariate(t: Tables):
 )
 def generator_metrics(t: Tables):
     """Each generator's positives with its dataset's authentic rows."""
-    rows = t.features.where("phase = 'confirmation' and condition = 'clean'")
+    rows = t.clean_features.where("phase = 'confirmation'")
     return E.generator_metrics(rows, E.learned_directions(_discovery(t))).select("view", "dataset", "comparison_generator", "feature", "n_real", "n_aigc", "oriented_auprc")
 
 
@@ -122,7 +122,7 @@ def generator_metrics(t: Tables):
 )
 def chronological(t: Tables):
     """Frozen directions by window."""
-    out = E.chronological_metrics(t.features.where("condition = 'clean'"), E.learned_directions(_discovery(t)))
+    out = E.chronological_metrics(t.clean_features, E.learned_directions(_discovery(t)))
     return out.select("window_column", "phase", "view", "condition", "chronological_window", "feature", "parents", "oriented_auprc")
 
 
@@ -215,7 +215,7 @@ def ledger(t: Tables):
     """One decision per feature."""
     signs = E.learned_directions(_discovery(t)).persist()
     confirmed = t.features.where("phase = 'confirmation'")
-    clean = confirmed.where("condition = 'clean'")
+    clean = t.clean_features.where("phase = 'confirmation'")
     transforms = E.univariate_metrics(confirmed, signs, ["view", "condition"]).persist()
     datasets = E.univariate_metrics(clean, signs, ["view", "dataset"])
     generators = E.generator_metrics(clean, signs).persist()
