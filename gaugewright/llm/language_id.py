@@ -10,9 +10,9 @@ the keys are mixed to 64 bits, one to one, and the tables go out in pieces by ra
 side by side in an unlinked file of its own and looks keys up in the mapped pages. No key is left out or folded.
 
 The language with the lowest cross-entropy per symbol wins, ties by name. It is rejected if that cross-entropy exceeds
-what the language's own texts show: mean + 6 s / sqrt(n) + margin. Each language has an equal share of
-``calibration_rows`` training rows for that, all of its rows if it has fewer, and quantiles of them, so that a few bad
-labels don't move the limit.
+what the language's own texts show: mean + 6 s / sqrt(n) + margin. These are exact quantiles over all training rows of the
+language, found by counting rows in ever narrower intervals, so that a few bad labels don't move the limit. At most about
+``calibration_rows`` distinct values are then on the driver.
 
 Defined cases: texts that are null or without any letter are ``und`` with score 0 and rejected; texts of any length are
 scored whole; training rows with null text or null language are skipped; without any training row everything is
@@ -380,43 +380,72 @@ def _table_pieces(entries: DataFrame, langs: list[str], n: int) -> tuple[list, d
     return pieces, sizes
 
 
-def _limits(sample: DataFrame, shared, pieces: list) -> dict[str, tuple[float, float, float]]:
-    """mean, s and margin of each language in a sample of labelled texts.
+def exact_percentiles(df: DataFrame, key: str, value, share: float, most: int = 20_000, bins: int = 256) -> dict[str, float]:
+    """The percentile of ``value`` (a column; nulls are left out) for each of the few keys, interpolated as F.percentile does.
+
+    Each pass counts the rows of a key's interval by bin, as partial sums, and goes on with the bin that holds the rank. Intervals
+    of few rows are then counted by value. All rows count; no task and no driver holds a key's rows.
+    """
+    rows = df.select(F.col(key).alias("key"), value.cast("double").alias("v")).where("v is not null")
+    found, open_ = {}, {}
+
+    def settle(x: str, rank: float, parts: list[tuple[int, float, float]], below: int) -> None:
+        """parts: (rows, least, greatest) in order, ``below`` rows before them."""
+        low, high = math.floor(rank), math.ceil(rank)
+        ends = []
+        for n, least, greatest in parts:
+            if below <= low < below + n and high < below + n and least < greatest:
+                open_[x] = (rank, below, n, least, greatest)
+                return
+            ends += [(least if r == below else greatest) for r in (low, high) if below <= r < below + n]
+            below += n
+        found[x] = ends[0] + (ends[-1] - ends[0]) * (rank - low)
+
+    for r in rows.groupBy("key").agg(F.count("v").alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).collect():
+        settle(r["key"], share * (r["n"] - 1), [(r["n"], r["a"], r["b"])], 0)
+    while open_:
+        now, open_ = open_, {}
+        each = max(1, most // len(now))
+        inside = F.coalesce(*[F.when((F.col("key") == x) & F.col("v").between(a, b), F.lit(k)) for k, (x, (_, _, _, a, b)) in enumerate(now.items())])
+        place = F.coalesce(*[F.when(F.col("k") == k, F.col("v") if n <= each else F.floor((F.col("v") - a) / F.lit(b - a) * bins).cast("double")) for k, (_, _, n, a, b) in enumerate(now.values())])
+        counts = rows.select(inside.alias("k"), "v").where("k is not null").groupBy("k", place.alias("bin")).agg(F.count("v").alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).collect()
+        for k, (x, (rank, below, *_)) in enumerate(now.items()):
+            settle(x, rank, [(r["n"], r["a"], r["b"]) for r in sorted((r for r in counts if r["k"] == k), key=lambda r: r["a"])], below)
+    return found
+
+
+def _limits(known: DataFrame, shared, pieces: list, most: int) -> dict[str, tuple[float, float, float]]:
+    """mean, s and margin of each language from all of its labelled texts.
 
     All three are quantiles: mean the median, s of the lower three quarters of the deviations, and the margin of the excesses
     of rows not far beyond, so that rows of another language or of garbage move them little while they are few.
     """
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("n", T.LongType()), T.StructField("bits", T.DoubleType())])
-    measured = materialize(sample.mapInArrow(_entropy_rows(shared, pieces), schema), "entropies")
-
-    def by_lang(df: DataFrame, value) -> dict[str, float]:
-        """One number for each of the few languages; partial results meet, never a language's rows."""
-        return {r["lang"]: r["v"] for r in df.groupBy("lang").agg(value.alias("v")).collect()}
+    measured = materialize(known.mapInArrow(_entropy_rows(shared, pieces), schema), "entropies")
 
-    def looked_up(known: dict[str, float]):
-        return F.element_at(F.create_map(*[F.lit(x) for pair in known.items() for x in pair]), F.col("lang"))
+    def looked_up(values: dict[str, float]):
+        return F.element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), F.col("lang"))
 
-    means = by_lang(measured, F.median("bits"))
+    means = exact_percentiles(measured, "lang", F.col("bits"), 0.5, most)
     if means:
         root = F.sqrt("n")
-        middle = measured.withColumn("off", F.col("bits") - looked_up(means))
-        spans = by_lang(middle, F.percentile(F.abs("off") * root, F.lit(0.75)) / 1.15)
-        over = middle.withColumn("over", F.greatest(F.lit(0.0), F.col("off") - 6 * looked_up(spans) / root))
-        margins = by_lang(over, F.coalesce(F.percentile(F.when(F.col("over") <= 0.75, F.col("over")), F.lit(0.99)), F.lit(0.0)))
-        means = {x: (m, spans[x], margins[x] + 0.75) for x, m in means.items()}
+        off = F.col("bits") - looked_up(means)
+        spans = {x: v / 1.15 for x, v in exact_percentiles(measured, "lang", F.abs(off) * root, 0.75, most).items()}
+        over = F.greatest(F.lit(0.0), off - 6 * looked_up(spans) / root)
+        margins = exact_percentiles(measured, "lang", F.when(over <= 0.75, over), 0.99, most)
+        means = {x: (m, spans[x], margins.get(x, 0.0) + 0.75) for x, m in means.items()}
     discard(measured)
     return means
 
 
 def fit_language_models(train: DataFrame, text_col: str = "text", lang_col: str = "lang", max_entries: int = 1 << 23, max_languages: int = 64, calibration_rows: int = 20_000) -> LanguageModels:
-    """Models of every language in train; counts cover all of it."""
+    """Models of every language in train; counts and limits cover all of it."""
     spark = train.sparkSession
     small_batches(spark)
     rows = train.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("gram", T.LongType()), T.StructField("n", T.LongType())])
     counts = materialize(rows.mapInArrow(_count, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
-    seen = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).limit(max_languages + 1).collect()
-    if len(seen) > max_languages:
+    if len(rows.select("lang").distinct().take(max_languages + 1)) > max_languages:
         raise ValueError(f"more than {max_languages} languages; raise max_languages")
     langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
     if not langs:
@@ -432,14 +461,8 @@ def fit_language_models(train: DataFrame, text_col: str = "text", lang_col: str
         pieces, sizes = _table_pieces(entries, langs, math.ceil(n_entries / max_entries))
         models = LanguageModels(langs, 64, [], limits, pieces, sizes)
     discard(entries)
-    share = max(1, calibration_rows // len(langs))
-    every = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(math.ceil(r["rows"] / share))) for r in seen])
     shared = spark.sparkContext.broadcast(replace(models, pieces=[]))
-    known = rows.where(F.col("lang").isin(langs))
-    models.limits.update(_limits(known.where(F.pmod(F.xxhash64("text"), every) == 0), shared, models.pieces))
-    missed = [x for x in langs if not math.isfinite(models.limits[x][2])]
-    if missed:  # few distinct texts, all of them repeated often
-        models.limits.update(_limits(known.where(F.col("lang").isin(missed)).distinct(), shared, models.pieces))
+    models.limits.update(_limits(rows.where(F.col("lang").isin(langs)), shared, models.pieces, calibration_rows))
     shared.unpersist()
     return models
 

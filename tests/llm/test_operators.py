@@ -422,6 +422,33 @@ def test_language_limits_with_bad_labels_and_rare_languages(spark, sample):
     assert np.isfinite(limits(rare[:1] * 3, calibration_rows=5)["xx"]).all()
 
 
+def test_language_limits_cover_every_row(spark, monkeypatch, sample):
+    rows = [(f"{r.text} {k}", r.lang) for k in range(8) for r in sample.where("lang is not null and length(text) > 100").select("text", "lang").limit(40).collect()]
+    measured, put = [], language_id.materialize
+
+    def counting(df, name):
+        out = put(df, name)
+        if name == "entropies":
+            measured.append(out.count())
+        return out
+
+    monkeypatch.setattr(language_id, "materialize", counting)
+    many = language_id.fit_language_models(spark.createDataFrame(rows, "text string, lang string"), calibration_rows=16).limits
+    assert measured == [len(rows)]
+    whole = language_id.fit_language_models(spark.createDataFrame(rows, "text string, lang string")).limits
+    assert many == whole
+
+
+def test_exact_percentiles(spark):
+    rng = np.random.default_rng(4)
+    groups = {"a": rng.normal(3, 0.2, 3000), "b": np.repeat([1.0, 1.0 + 1e-15, 2.0], [700, 3, 400]), "c": np.array([5.0]), "d": 10.0 ** rng.uniform(-9, 9, 500), "e": np.array([1.0, 2.0])}
+    df = spark.createDataFrame([(k, float(x)) for k, v in groups.items() for x in v] + [("a", None), ("f", None)], "lang string, v double")
+    for share in (0.5, 0.99, 1.0):
+        want = {r["lang"]: r["p"] for r in df.groupBy("lang").agg(F.percentile("v", F.lit(share)).alias("p")).collect() if r["p"] is not None}
+        for most in (5, 20_000):
+            assert language_id.exact_percentiles(df, "lang", F.col("v"), share, most) == pytest.approx(want, rel=1e-12)
+
+
 # 7. BPE
 
 
