@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gaugewright.llm import queries
+from gaugewright.llm import language_id, queries
 from gaugewright.llm.common import materialize
 from gaugewright.llm.simhash import near_duplicate_groups, shingle_hashes
 
@@ -56,6 +56,21 @@ def test_stages_keep_columns_and_clean_documents(spark, sf):
     assert last.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and last.count() == docs.count()
 
 
+def test_language_stage_measures_all_training_rows(spark, sf, monkeypatch):
+    docs = spark.range(42_000).selectExpr("id as doc_id", "concat('some words of row ', id, ' and more') as text", "if(id % 2 = 0, 'en', 'fr') as lang", "'s' as source", "30L as n_chars")
+    measured, put = [], language_id.materialize
+
+    def counting(df, name):
+        out = put(df, name)
+        if name == "entropies":
+            measured.append(out.count())
+        return out
+
+    monkeypatch.setattr(language_id, "materialize", counting)
+    corpus_pipeline.STAGES[0][1](spark, docs, sf)
+    assert measured == [language_id.labelled(docs).count()]
+
+
 @pytest.mark.parametrize("number", range(5))
 def test_stages_on_awkward_and_empty_tables(spark, sf, number):
     rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, "the and of thing here " * 40, "en", "a", 9), (3, "the and of thing here " * 40, "en", "a", 9), (None, "some other text of words", "en", "a", 3)]
