@@ -1,6 +1,7 @@
 """The pipeline's stages against brute force, on awkward rows and as a whole."""
 
 import random
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -71,6 +72,19 @@ def test_language_stage_measures_all_training_rows(spark, sf, monkeypatch):
     assert measured == [language_id.labelled(docs).count()]
 
 
+def test_language_stage_learns_from_every_labelled_row(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    held_out = [i for i in range(10_000, 10_100) if zlib.crc32(str(i).encode()) % 3 == 1][:4]
+    texts = ["το σπίτι είναι μεγάλο και η θάλασσα κοντά στο χωριό", "η θάλασσα κοντά στο σπίτι είναι ήσυχη και μεγάλη", "το χωριό είναι μικρό και το σπίτι κοντά στη θάλασσα", "στο μικρό χωριό η ζωή είναι ήσυχη και μεγάλη"]
+    greek = [(i, t, "el", "s", len(t)) for i, t in zip(held_out, texts, strict=True)]
+    nameless = [(None, "дом стоит у моря и деревня рядом с домом", "ru", "s", 40)]
+    extra = spark.createDataFrame(greek + nameless, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.STAGES[0][1](spark, docs.select(*extra.columns).unionByName(extra), sf).where("lang in ('el', 'ru')").collect()
+    assert sorted(r.text for r in kept) == sorted(r[1] for r in greek + nameless)
+    models = language_id.fit_language_models(language_id.labelled(extra))
+    assert models.langs == ["el", "ru"]
+
+
 @pytest.mark.parametrize("number", range(5))
 def test_stages_on_awkward_and_empty_tables(spark, sf, number):
     rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, "the and of thing here " * 40, "en", "a", 9), (3, "the and of thing here " * 40, "en", "a", 9), (None, "some other text of words", "en", "a", 3)]
